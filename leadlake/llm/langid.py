@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from leadlake.llm._text import U, WORD_RE, buffers, lower, slices, span_hashes, word_bounds
+from leadlake.llm._text import WORD_RE, buffers, lower, slices, span_hashes, word_bounds
 
 #: Labelled documents of each language that the model is fitted on, about; a hash of the id draws them.
 TRAIN_DOCS = 600
@@ -164,6 +165,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without those whose language can't be told; all columns stay as they are. One narrow pass."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema.add("_lang", "string").add("_lead", "double").add("_words", "long")
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL("_lang string, _lead double, _words long").fields])
     guessed = docs.mapInArrow(_guess(held, docs.columns.index("doc_id"), docs.columns.index("text"), True), schema)
     return guessed.where("_lang is not null").select(docs.columns)

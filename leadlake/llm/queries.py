@@ -107,7 +107,7 @@ SELECT doc_id, group_id, group_size, doc_id = group_id AS kept FROM (
   FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)) WHERE group_size > 1
 """
 
-_URL_BLOCKED = "len(list_filter(string_split_regex(regexp_extract(key, '^([^/?:]*)', 1), '[.\\-]'), x -> x IN (" + ", ".join(f"'{w}'" for w in urlfilter.BLOCK_WORDS) + "))) > 0"
+_URL_BLOCKED = "len(list_filter(string_split_regex(regexp_extract(key, '^([^/?:]*)', 1), '[.\\-]'), lambda x: x IN (" + ", ".join(f"'{w}'" for w in urlfilter.BLOCK_WORDS) + "))) > 0"
 
 
 def _sql_key(url: str) -> str:
@@ -115,7 +115,7 @@ def _sql_key(url: str) -> str:
     port = rf"regexp_replace(regexp_extract({url}, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?[^/?#:]*(:[0-9]+)', 1), '^:(80|443)$', '')"
     rest = rf"regexp_extract({url}, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*([^#]*)', 1)"
     path = f"regexp_replace(regexp_extract({rest}, '^([^?]*)', 1), '/+$', '')"
-    kept = rf"array_to_string(list_filter(string_split(regexp_extract({rest}, '\?(.*)$', 1), '&'), x -> NOT regexp_matches(x, '^{urlfilter.TRACKING}(=.*)?$')), '&')"
+    kept = rf"array_to_string(list_filter(string_split(regexp_extract({rest}, '\?(.*)$', 1), '&'), lambda x: NOT regexp_matches(x, '^{urlfilter.TRACKING}(=.*)?$')), '&')"
     return f"{host} || {port} || {path} || CASE WHEN {kept} = '' THEN '' ELSE '?' || {kept} END"
 
 
