@@ -1,15 +1,604 @@
-"""The registry of queries for the reference operators, and their SQL."""
+"""The registry: each query runs an operator over whole driver tables, beside SQL that says the same independently."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from leadlake.functions import contacts, text, urls
+from leadlake.operators import decide, profile, progress, relational, resolve
+from leadlake.sources import sinks, tables
+from leadlake.streaming import jobs
 
-def queries() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
 
 
-def oracle_sql() -> dict:
-    return {}
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _rows(spark: SparkSession, schema: str, *rows: tuple) -> DataFrame:
+    return spark.createDataFrame(list(rows), schema)
+
+
+def _values(columns: str, *rows: tuple) -> str:
+    def one(v) -> str:
+        return "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+
+    return f"(VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+# ---- URLs
+
+_HOST = r"lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+_BARE = f"regexp_replace({_HOST}, '^www\\.', '')"
+_PATH = r"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1)"
+_KEPT = "array_to_string(list_filter(string_split(regexp_extract({u}, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND split_part(p, '=', 1) NOT IN (" + ", ".join(f"'{p}'" for p in urls.TRACKING) + ")), '&')"
+_PORT = r"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?[^/?#:]*:([0-9]+)', 1)"
+
+
+def _normal(u: str) -> str:
+    at = lambda s: s.replace("{u}", u)
+    return f"""CASE WHEN {at(_HOST)} = '' THEN regexp_replace(lower(trim({u})), '/$', '') ELSE 'https://' || {at(_BARE)} || CASE WHEN {at(_PORT)} IN ('', '80', '443') THEN '' ELSE ':' || {at(_PORT)} END
+      || CASE WHEN {at(_PATH)} IN ('', '/') THEN '/' ELSE regexp_replace({at(_PATH)}, '/$', '') END || CASE WHEN {at(_KEPT)} = '' THEN '' ELSE '?' || {at(_KEPT)} END END"""
+
+
+_U = lambda s: s.replace("{u}", "url")
+
+
+@query(f"SELECT page_id, normalized_url, host FROM (SELECT *, row_number() OVER (PARTITION BY host, normalized_url ORDER BY page_id DESC) AS n FROM (SELECT page_id, {_normal('url')} AS normalized_url, {_U(_BARE)} AS host FROM pages)) WHERE n = 1")
+def canonical_pages(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _read(spark, sf, "pages").select("page_id", urls.normalized_url(F.col("url")).alias("normalized_url"), urls.bare_host(F.col("url")).alias("host"))
+    return relational.first_of(pages, ["host", "normalized_url"], [F.desc("page_id")])
+
+
+@query(f"SELECT page_id, host, size FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY size DESC, page_id DESC) AS n FROM (SELECT page_id, {_U(_BARE)} AS host, length(html) AS size FROM pages)) WHERE n = 1")
+def page_survivors(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _read(spark, sf, "pages").select("page_id", urls.bare_host(F.col("url")).alias("host"), F.length("html").alias("size"))
+    return relational.survivors(pages, ["host"], F.col("size"), "page_id", "page_id")
+
+
+@query(f"SELECT host, url, depth FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY depth, page_id) AS n FROM (SELECT page_id, url, {_U(_BARE)} AS host, len(list_filter(string_split({_U(_PATH)}, '/'), lambda s: s <> '')) AS depth FROM pages)) WHERE n = 1")
+def shallowest_url_per_host(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _read(spark, sf, "pages").select("page_id", "url", urls.bare_host(F.col("url")).alias("host"), urls.path_depth(F.col("url")).alias("depth"))
+    return relational.first_of(pages, ["host"], [F.asc("depth"), F.asc("page_id")]).select("host", "url", "depth")
+
+
+_SITES = [("https://www.m.facebook.com/acme",), ("https://bg.linkedin.com/",), ("en.wikipedia.org",), ("https://a.b.google.com/x",), ("https://shop.example.bg/",), ("t.me/channel",)]
+_LIST = lambda names: ", ".join(f"'{n}'" for n in names)
+
+
+@query(
+    "WITH raw AS (SELECT url AS site FROM pages UNION ALL SELECT site FROM " + _values("site", *_SITES) + r"), full_ AS (SELECT site, CASE WHEN starts_with(site, 'http') THEN site ELSE 'https://' || site END AS u FROM raw), "
+    + r"named AS (SELECT site, " + _PATH.replace("{u}", "u") + r" AS path, regexp_replace(" + _HOST.replace("{u}", "u") + r", '^(?:(?:www|m|l|lm|web|mobile|business)\.)+', '') AS h FROM full_), "
+    + "hit AS (SELECT *, h IN (" + _LIST(urls.PLATFORMS) + r") OR regexp_replace(h, '^[^.]*\.', '') IN (" + _LIST(urls.PLATFORMS) + ") AS p FROM named) "
+    + "SELECT site, h AS host, CASE WHEN NOT p THEN 'CRAWLABLE' WHEN regexp_replace(path, '/+$', '') <> '' THEN 'SOCIAL_PROFILE' ELSE 'NON_CRAWLABLE_PLATFORM' END AS crawlability FROM hit"
+)
+def host_crawlability(spark: SparkSession, sf: str) -> DataFrame:
+    sites = _read(spark, sf, "pages").select(F.col("url").alias("site")).unionByName(_rows(spark, "site string", *_SITES))
+    return sites.select("site", urls.platform_host(F.col("site")).alias("host"), urls.crawlability(F.col("site")).alias("crawlability"))
+
+
+_DOMAINS = [("varna.bg",), ("school.varna.bg",), ("www2.booking.com",), ("x.com",), ("ruo-sofia.bg",), ("a.government.bg",), ("obshtina-ruse.bg",), ("firma-x.bg",)]
+_PARENTS = "list_transform(generate_series(1, len(string_split(domain, '.'))), lambda k: array_to_string(string_split(domain, '.')[k:], '.'))"
+
+
+@query(
+    f"WITH d AS (SELECT DISTINCT {_U(_BARE)} AS domain FROM pages UNION SELECT domain FROM " + _values("domain", *_DOMAINS) + ") SELECT domain, coalesce(CASE WHEN domain IN (" + _LIST(urls.EXACT_HOSTS) + ") THEN domain END, "
+    + f"list_filter({_PARENTS}, lambda p: p IN (" + _LIST(urls.SUFFIXES) + "))[1], CASE "
+    + " ".join(f"WHEN regexp_matches(domain, '{p}') THEN '{n}'" for p, n in urls.PATTERNS) + " END) AS hit FROM d"
+)
+def blocklist_hits(spark: SparkSession, sf: str) -> DataFrame:
+    names = _read(spark, sf, "pages").select(urls.bare_host(F.col("url")).alias("domain")).unionByName(_rows(spark, "domain string", *_DOMAINS)).distinct()
+    return names.select("domain", urls.blocklist_hit(F.col("domain")).alias("hit"))
+
+
+_SOCIAL = [("https://www.linkedin.com/company/Acme-1/about",), ("https://linkedin.com/in/joe",), ("https://m.facebook.com/Acme.BG/",), ("https://facebook.com/profile.php?id=77",), ("https://facebook.com/pages/Acme/123",), ("https://facebook.com/12345",), ("https://facebook.com/events/1",), ("https://instagram.com/acme",), ("https://instagram.com/p/abc",), ("https://youtube.com/@acme",), ("https://youtube.com/channel/UC1",), ("https://youtube.com/watch?v=1",), ("https://x.com/acme_1",), ("https://twitter.com/intent/x",), ("https://example.com/a",), ("ftp://facebook.com/a",)]
+_SOCIAL_WANT = ["linkedin|https://www.linkedin.com/company/acme-1", None, "facebook|https://www.facebook.com/acme.bg", "facebook|https://www.facebook.com/profile.php?id=77", "facebook|https://www.facebook.com/pages/Acme/123", None, None, "instagram|https://www.instagram.com/acme", None, "youtube|https://www.youtube.com/@acme", "youtube|https://www.youtube.com/channel/UC1", None, "twitter|https://twitter.com/acme_1", None, None, None]
+
+
+@query("SELECT url, split_part(want, '|', 1) AS platform, split_part(want, '|', 2) AS profile FROM " + _values("url, want", *((u[0], w) for u, w in zip(_SOCIAL, _SOCIAL_WANT))))
+def social_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    found = _rows(spark, "url string", *_SOCIAL).withColumn("s", urls.social_profile(F.col("url")))
+    return found.select("url", F.col("s.platform").alias("platform"), F.col("s.url").alias("profile"))
+
+
+_CELLS = [(" HTTPS://www.Acme.bg/about ",), ("acme.bg",), ("Domain",), ("фирма",), ("no dots",), ("a b.bg",), ("shop.acme.bg:8080/x",)]
+
+
+@query(
+    "WITH c AS (SELECT url AS cell FROM pages UNION ALL SELECT cell FROM " + _values("cell", *_CELLS) + "), d AS (SELECT split_part(regexp_replace(regexp_replace(lower(trim(cell)), '^https?://', ''), '^www\\.', ''), '/', 1) AS domain FROM c WHERE lower(trim(cell)) NOT IN (" + _LIST(urls.HEADER_WORDS) + ")), "
+    + r"g AS (SELECT domain, count(*) AS n, domain <> '' AND contains(domain, '.') AND NOT regexp_matches(domain, '\s') AS valid FROM d GROUP BY domain) SELECT domain, valid, n - CASE WHEN valid THEN 1 ELSE 0 END AS invalid_rows FROM g"
+)
+def uploaded_domains(spark: SparkSession, sf: str) -> DataFrame:
+    cells = _read(spark, sf, "pages").select(F.col("url").alias("cell")).unionByName(_rows(spark, "cell string", *_CELLS))
+    return tables.domains(cells)
+
+
+# ---- contacts
+
+_JUNK = "(" + " OR ".join(f"contains(l, '{p}')" for p in contacts.JUNK_PARTS) + ")"
+_GOOD_MAIL = rf"""SELECT doc_id, m AS email FROM (SELECT *, lower(m) AS l, regexp_extract(m, '\.([a-zA-Z0-9]+)$', 1) AS e FROM clipped)
+  WHERE NOT {_JUNK} AND regexp_extract(l, '^[^@]*@(.*)$', 1) NOT IN ({_LIST(contacts.JUNK_DOMAINS)}) AND NOT regexp_matches(m, '^[0-9]{{4,}}[^@]*@') AND lower(e) NOT IN ({_LIST(contacts.FILE_ENDINGS)}) AND NOT (regexp_matches(e, '[a-z]') AND regexp_matches(e, '[A-Z]'))"""
+
+
+@query(rf"WITH raw AS (SELECT doc_id, unnest(regexp_extract_all(text, '{contacts.EMAIL}')) AS r FROM documents), clipped AS (SELECT DISTINCT doc_id, regexp_replace(r, '^([^@]*@.*\.[^.A-Z]{{2,}})[A-Z][^.]*$', '\1') AS m FROM raw) {_GOOD_MAIL}")
+def doc_emails(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "documents").select("doc_id", F.explode(contacts.text_emails(F.col("text"))).alias("email"))
+
+
+_HIDDEN_MAILS = [(1, "write to ivan [at] firma (dot) bg now"), (2, "sales @ shop . firma . bg"), (3, "plain a.b@firma.bg, Office@Firma.comOUR team"), (4, "none"), (5, "x {AT} y [DOT] org")]
+
+
+@query("SELECT doc_id, email FROM " + _values("doc_id, email", (1, "ivan@firma.bg"), (2, "sales@shop.firma.bg"), (3, "a.b@firma.bg"), (3, "Office@Firma.com"), (5, "x@y.org")))
+def doc_emails_obfuscated(spark: SparkSession, sf: str) -> DataFrame:
+    return _rows(spark, "doc_id int, text string", *_HIDDEN_MAILS).select("doc_id", F.explode(contacts.obfuscated_emails(F.col("text"))).alias("email"))
+
+
+@query()
+def doc_phones(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "documents").select("doc_id", F.posexplode(contacts.text_phones(F.col("text"))).alias("nth", "phone"))
+
+
+_PHONES = [("0875 300 000",), ("+359 875 300 000",), ("00359/875-300-000",), ("+44 20 7946 0958",), ("(02) 981 00 00",)]
+
+
+@query(
+    r"WITH p AS (SELECT phone FROM " + _values("phone", *_PHONES) + r" UNION ALL SELECT '0' || CAST(100000000 + c_custkey AS VARCHAR) FROM customer), s AS (SELECT phone, regexp_replace(phone, '[\s\-./()]', '', 'g') AS s FROM p) "
+    r"SELECT phone, CASE WHEN starts_with(s, '+') THEN s WHEN starts_with(s, '00359') THEN '+' || s[3:] WHEN starts_with(s, '0') AND NOT starts_with(s, '00') THEN '+359' || s[2:] ELSE s END AS canonical, regexp_replace(regexp_replace(regexp_replace(phone, '[\s\-().+]', '', 'g'), '^00359', '0'), '^359', '0') AS candidate_key FROM s"
+)
+def phone_canonical(spark: SparkSession, sf: str) -> DataFrame:
+    made = _read(spark, sf, "customer").select(F.concat(F.lit("0"), (F.col("c_custkey") + 100000000).cast("string")).alias("phone"))
+    every = _rows(spark, "phone string", *_PHONES).unionByName(made)
+    return every.select("phone", contacts.canonical_phone(contacts.stripped_phone(F.col("phone"))).alias("canonical"), contacts.candidate_phone_key(F.col("phone")).alias("candidate_key"))
+
+
+# ---- batches
+
+_PROGRESS = """SELECT id, total AS total_companies, CASE WHEN stored = 'COMPLETED' THEN total ELSE done END AS processed_companies, CASE WHEN stored = 'COMPLETED' THEN 100.0::DOUBLE WHEN total > 0 THEN done::DOUBLE / total * 100 ELSE 0.0::DOUBLE END AS percentage,
+  CASE WHEN stored IN ('COMPLETED', 'FAILED') THEN stored WHEN total > 0 AND done >= total THEN 'COMPLETED' ELSE 'PROCESSING' END AS status FROM counts"""
+
+
+def _progress(counts: DataFrame) -> DataFrame:
+    return counts.select("id", progress.progress(F.col("stored"), F.col("total"), F.col("done")).alias("p")).select("id", "p.*")
+
+
+@query("WITH counts AS (SELECT o_custkey AS id, 'PROCESSING' AS stored, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS done FROM orders GROUP BY 1) " + _PROGRESS)
+def batch_progress(spark: SparkSession, sf: str) -> DataFrame:
+    counted = _read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("done"))
+    return _progress(counted.withColumn("stored", F.lit("PROCESSING")))
+
+
+@query(
+    "WITH counts AS (SELECT c_custkey AS id, CASE c_mktsegment WHEN 'BUILDING' THEN 'COMPLETED' WHEN 'MACHINERY' THEN 'FAILED' ELSE 'PROCESSING' END AS stored, coalesce(total, 0) AS total, coalesce(done, 0) AS done FROM customer "
+    "LEFT JOIN (SELECT o_custkey, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS done FROM orders GROUP BY 1) ON o_custkey = c_custkey) " + _PROGRESS
+)
+def batch_progress_zero_filled(spark: SparkSession, sf: str) -> DataFrame:
+    counted = _read(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("done"))
+    status = F.when(F.col("c_mktsegment") == "BUILDING", "COMPLETED").when(F.col("c_mktsegment") == "MACHINERY", "FAILED").otherwise("PROCESSING")
+    ids = _read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), status.alias("stored"))
+    return _progress(ids.join(counted, F.col("id") == F.col("o_custkey"), "left").fillna(0, ["total", "done"]))
+
+
+@query("SELECT count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'F')")
+def batch_companies_count(spark: SparkSession, sf: str) -> DataFrame:
+    members = _read(spark, sf, "orders").where("o_orderstatus <> 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return relational.page_count(_read(spark, sf, "customer").join(members, "c_custkey", "left_semi"), 20)
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'F') ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 40")
+def batch_companies_page(spark: SparkSession, sf: str) -> DataFrame:
+    members = _read(spark, sf, "orders").where("o_orderstatus <> 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return relational.page(_read(spark, sf, "customer").join(members, "c_custkey", "left_semi"), [F.desc("c_acctbal"), F.asc("c_custkey")], 3, 20).select("c_custkey", "c_name")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F')")
+def visible_company(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _read(spark, sf, "lineitem").where("l_returnflag = 'R' and l_linestatus = 'F'").select(F.col("l_suppkey").alias("s_suppkey"))
+    return _read(spark, sf, "supplier").join(rows, "s_suppkey", "left_semi").select("s_suppkey", "s_name")
+
+
+@query("SELECT c_custkey, coalesce(nullif(n_name, ''), nullif(c_mktsegment, ''), '') AS label FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey < 3")
+def profile_left_join(spark: SparkSession, sf: str) -> DataFrame:
+    nation = _read(spark, sf, "nation").where("n_regionkey < 3")
+    joined = _read(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return joined.select("c_custkey", F.coalesce(F.nullif("n_name", F.lit("")), F.nullif("c_mktsegment", F.lit("")), F.lit("")).alias("label"))
+
+
+@query("SELECT user_id, strftime(ts, '%Y-%m') AS month, count(*) AS uses, round(sum(value), 4) AS amount FROM events GROUP BY 1, 2")
+def user_month_usage(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("uses"), F.round(F.sum("value"), 4).alias("amount"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), f AS (
+  SELECT user_id, n, ts AS reset_at, 1 AS used FROM e WHERE n = 1 UNION ALL
+  SELECT e.user_id, e.n, CASE WHEN e.ts >= f.reset_at + INTERVAL 7 DAYS THEN e.ts ELSE f.reset_at END, CASE WHEN e.ts >= f.reset_at + INTERVAL 7 DAYS THEN 1 ELSE f.used + 1 END FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT user_id, used::DOUBLE AS used, reset_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC) AS last FROM f) WHERE last = 1"""
+)
+def weekly_usage_reset(spark: SparkSession, sf: str) -> DataFrame:
+    return progress.weekly_usage(_read(spark, sf, "events").withColumn("one", F.lit(1)), "user_id", "ts", "one")
+
+
+@query(
+    "SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE contains(lower(c_name), '9') AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1997-12-31 23:59:59.999' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50"
+)
+def audit_log_page(spark: SparkSession, sf: str) -> DataFrame:
+    dated = _read(spark, sf, "orders").where("o_orderdate >= TIMESTAMP '1996-01-01' and o_orderdate <= TIMESTAMP '1997-12-31 23:59:59.999'")
+    named = _read(spark, sf, "customer").where(F.lower("c_name").contains("9"))
+    joined = dated.join(named, F.col("o_custkey") == F.col("c_custkey")).join(_read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return relational.page(joined, [F.desc("o_orderdate"), F.asc("o_orderkey")], 1, 50, 100).select("o_orderkey", "c_name", "n_name")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'N')")
+def cache_hit_batches(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_if(F.col("l_returnflag") == "N").alias("open")).where("open = 0")
+    return _read(spark, sf, "orders").join(rows, "o_orderkey", "left_semi").select("o_orderkey")
+
+
+@query(
+    "WITH d AS (SELECT c_nationkey, min(c_custkey) AS d FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1) SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN x.c_custkey ELSE d.d END AS template FROM orders JOIN customer c ON c.c_custkey = o_custkey "
+    "LEFT JOIN customer x ON x.c_custkey = o_orderkey % 1000 AND x.c_nationkey = c.c_nationkey LEFT JOIN d ON d.c_nationkey = c.c_nationkey"
+)
+def template_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    customer = _read(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    default = customer.where("c_mktsegment = 'BUILDING'").groupBy(F.col("c_nationkey").alias("dn")).agg(F.min("c_custkey").alias("d"))
+    asked = _read(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 1000).alias("wanted"))
+    own = asked.join(customer.select("c_custkey", F.col("c_nationkey").alias("tenant")), F.col("o_custkey") == F.col("c_custkey")).drop("c_custkey")
+    found = own.join(customer.select(F.col("c_custkey").alias("x"), F.col("c_nationkey").alias("xn")), (F.col("x") == F.col("wanted")) & (F.col("xn") == F.col("tenant")), "left").join(default, F.col("dn") == F.col("tenant"), "left")
+    return found.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("x")).otherwise(F.col("d")).alias("template"))
+
+
+@query("SELECT n_nationkey, coalesce(n_name || '-contact', c_name) AS contact FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS n_name FROM nation) LEFT JOIN (SELECT c_nationkey, min_by(c_name, c_custkey) AS c_name FROM customer GROUP BY 1) ON c_nationkey = n_nationkey")
+def first_contact_per_group(spark: SparkSession, sf: str) -> DataFrame:
+    first = relational.first_of(_read(spark, sf, "customer"), ["c_nationkey"], [F.asc("c_custkey")])
+    joined = _read(spark, sf, "nation").join(first, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    return joined.select("n_nationkey", F.coalesce(F.when(F.col("n_nationkey") % 2 == 0, F.concat("n_name", F.lit("-contact"))), "c_name").alias("contact"))
+
+
+_NOW = "2001-08-01 00:00:00"
+
+
+@query(
+    f"WITH l AS (SELECT c_custkey, c_acctbal, c_mktsegment, max(o_orderdate) AS t FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL), r AS (SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN 'forced' WHEN c_mktsegment = 'BUILDING' THEN 'status FAILED' WHEN t IS NULL THEN 'never crawled' "
+    f"WHEN t <= TIMESTAMP '{_NOW}' - INTERVAL 30 DAYS THEN 'stale' WHEN c_custkey % 7 = 0 THEN 'no profile' WHEN c_acctbal / 100 < 50 THEN 'low score' WHEN c_custkey % 5 = 0 THEN 'no contact' ELSE 'fresh' END AS reason FROM l) SELECT c_custkey, reason = 'fresh' AS skip, reason FROM r"
+)
+def freshness_decision(spark: SparkSession, sf: str) -> DataFrame:
+    latest = _read(spark, sf, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("t"))
+    own = _read(spark, sf, "customer").join(latest, F.col("o_custkey") == F.col("c_custkey"), "left")
+    key = F.col("c_custkey")
+    told = progress.freshness(F.when(F.col("c_mktsegment") == "BUILDING", "FAILED").otherwise("COMPLETED"), F.col("t"), key % 7 != 0, F.col("c_acctbal") / 100, F.when(key % 5 == 0, 0).otherwise(1), F.lit(0), F.lit("name"), F.lit(None).cast("string"), F.lit(_NOW).cast("timestamp"), key % 50 == 0)
+    return own.select("c_custkey", told.alias("f")).select("c_custkey", "f.*")
+
+
+@query("SELECT user_id, CASE WHEN TIMESTAMP '2024-01-31' - max(ts) < INTERVAL 7 DAYS THEN 'skip' ELSE 'update' END AS action FROM events WHERE event_type = 'purchase' GROUP BY 1 UNION ALL SELECT -1, 'create'")
+def raw_cache_action(spark: SparkSession, sf: str) -> DataFrame:
+    latest = _read(spark, sf, "events").where("event_type = 'purchase'").groupBy("user_id").agg(F.max("ts").alias("t"))
+    every = latest.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("user_id"), F.lit(None).cast(dict(latest.dtypes)["t"]).alias("t")))
+    return every.select("user_id", progress.page_action(F.col("t"), F.lit("2024-01-31").cast("timestamp")).alias("action"))
+
+
+# ---- changes to tables
+
+_OLD, _NEW = "c_custkey % 3 <> 0", "c_custkey % 2 = 0"
+
+
+@query(f"WITH o AS (SELECT * FROM customer WHERE {_OLD}), n AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE upper(c_name) END AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE {_NEW}) SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, CASE WHEN n.c_custkey IS NULL THEN o.c_name ELSE coalesce(nullif(n.c_name, ''), o.c_name) END AS c_name, CASE WHEN n.c_custkey IS NULL THEN o.c_acctbal ELSE n.c_acctbal END AS c_acctbal FROM o FULL JOIN n ON o.c_custkey = n.c_custkey")
+def upsert_preserve(spark: SparkSession, sf: str) -> DataFrame:
+    every = _read(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    new = every.where(_NEW).select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, "").otherwise(F.upper("c_name")).alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    return relational.upsert(every.where(_OLD), new, ["c_custkey"], ["c_name"])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_totalprice + 1 FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey % 3 = 0")
+def insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
+    every = _read(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    new = every.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    again = new.withColumn("o_totalprice", F.col("o_totalprice") + 5)
+    return relational.insert_ignore(every.where("o_orderkey % 2 = 0"), new.unionByName(again), ["o_orderkey"], [F.asc("o_totalprice")])
+
+
+_CODES = {"click": "ENGAGED", "signup": "JOINED", "error": "TECH_FAILURE"}
+
+
+@query("SELECT event_id, CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _CODES.items()) + " ELSE event_type END AS code, starts_with(event_type, 'pur') AS bought FROM events")
+def legacy_code_remap(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "events").select("event_id", relational.remap(F.col("event_type"), _CODES).alias("code"), F.col("event_type").startswith("pur").alias("bought"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus <> 'F' THEN 'BLOCKED' ELSE o_orderstatus END AS status FROM orders")
+def conditional_update(spark: SparkSession, sf: str) -> DataFrame:
+    hit = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & (F.col("o_orderstatus") != "F")
+    return _read(spark, sf, "orders").select("o_orderkey", F.when(hit, "BLOCKED").otherwise(F.col("o_orderstatus")).alias("status"))
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def distinct_on_latest(spark: SparkSession, sf: str) -> DataFrame:
+    return relational.first_of(_read(spark, sf, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id")
+
+
+@query("SELECT 'orders' AS tbl, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_mktsegment <> 'BUILDING'")
+def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
+    held = {"customer": _read(spark, sf, "customer"), "orders": _read(spark, sf, "orders")}
+    left = relational.cascade_delete(held, held["customer"].where("c_mktsegment = 'BUILDING'"), {"customer": "c_custkey", "orders": "o_custkey"}, "c_custkey")
+    count = lambda name: left[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("tbl"), "n")
+    return count("customer").unionByName(count("orders"))
+
+
+@query("SELECT c_custkey, c_custkey = max(CASE WHEN c_acctbal > 9000 THEN c_custkey END) OVER (PARTITION BY c_nationkey) IS TRUE AS is_default FROM customer".replace("c_custkey = max(CASE WHEN c_acctbal > 9000 THEN c_custkey END) OVER (PARTITION BY c_nationkey) IS TRUE", "coalesce(c_custkey = max(CASE WHEN c_acctbal > 9000 THEN c_custkey END) OVER (PARTITION BY c_nationkey), false)"))
+def default_exclusive(spark: SparkSession, sf: str) -> DataFrame:
+    return relational.only_default(_read(spark, sf, "customer"), "c_nationkey", F.col("c_acctbal") > 9000, "c_custkey").select("c_custkey", "is_default")
+
+
+@query("SELECT event_id, event_type, ts FROM events WHERE NOT (regexp_matches(event_type, '^(click|view)$')) AND regexp_matches(props, '[0-4]') ORDER BY ts DESC, event_id LIMIT 100")
+def regex_filter_newest(spark: SparkSession, sf: str) -> DataFrame:
+    events = _read(spark, sf, "events").where(~F.col("event_type").rlike("^(click|view)$") & F.col("props").rlike("[0-4]"))
+    return relational.page(events, [F.desc("ts"), F.asc("event_id")], 1, 100).select("event_id", "event_type", "ts")
+
+
+# ---- text
+
+@query(r"SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin, length(regexp_replace(text, '[^\x{400}-\x{4FF}]', '', 'g')) AS cyrillic, CASE WHEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) < 200 THEN 'mixed' ELSE 'en' END AS language FROM documents")
+def lang_script_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    own = F.col("text")
+    return _read(spark, sf, "documents").select("doc_id", F.length(F.regexp_replace(own, "[^A-Za-z]", "")).alias("latin"), F.length(F.regexp_replace(own, r"[^\x{400}-\x{4FF}]", "")).alias("cyrillic"), text.website_language(own).alias("language"))
+
+
+@query(r"WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w WHERE length(w) > 3 GROUP BY 1, 2) SELECT d.doc_id, coalesce(max(n), 0)::INTEGER AS most FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY 1")
+def token_repetition(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "documents").select("doc_id", text.token_repetition(F.col("text")).alias("most"))
+
+
+@query(rf"SELECT doc_id, len(list_distinct(regexp_extract_all(text, '{contacts.EMAIL}')))::INTEGER AS emails FROM documents")
+def contact_density(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "documents").select("doc_id", F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({contacts.EMAIL})"), F.lit(1)))).alias("emails"))
+
+
+@query(
+    r"WITH d AS (SELECT doc_id, source AS persona, ' гр. ' || upper(lang) || ' ' AS location, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE left(text, 30) END AS kw FROM documents) SELECT doc_id, 'v2|' || regexp_replace(lower(trim(persona)), '\s+', ' ', 'g') || '|' || trim(regexp_replace(regexp_replace(lower(trim(location)), '\s+', ' ', 'g'), '^(гр\.|гр |град )', '')) || '|' || "
+    r"CASE WHEN trim(coalesce(kw, '')) = '' THEN '' ELSE array_to_string(list_sort(string_split(regexp_replace(lower(trim(kw)), '\s+', ' ', 'g'), ' ')), ' ') END AS key FROM d"
+)
+def discovery_key(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents")
+    words = F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.left("text", F.lit(30)))
+    return docs.select("doc_id", text.discovery_key(F.col("source"), F.concat(F.lit(" гр. "), F.upper("lang"), F.lit(" ")), words).alias("key"))
+
+
+_NAMES = [("Враца", "vratsa"), ("Щастлив Юли", "shtastliv yuli"), ("Жълтуша", "zhaltusha"), ("Plovdiv 7", "plovdiv 7"), ("ЦЪРКВИЩЕ", "tsarkvishte")]
+
+
+@query("SELECT name, latin FROM " + _values("name, latin", *_NAMES))
+def transliterate(spark: SparkSession, sf: str) -> DataFrame:
+    return _rows(spark, "name string", *((n,) for n, _ in _NAMES)).select("name", text.transliterated(F.col("name")).alias("latin"))
+
+
+_PLACES = [
+    ("Детска градина във Враца", "гр. Враца", "match", "враца"), ("хотел в Бургас", "Варна", "conflict", "Бургас"), ("почивка в Рила", "София", "unknown", None), ("kindergarten in Vratsa", "Враца", "match", "vratsa"),
+    ("", "София", "unknown", None), ("варненски фирми", "Варна", "match", "варна"), ("училище, Мездра", "област Враца", "match", "мездра"),
+]
+
+
+@query("SELECT txt, place, kind, found FROM " + _values("txt, place, kind, found", *_PLACES))
+def location_signal(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _rows(spark, "txt string, place string", *((t, p) for t, p, _, _ in _PLACES))
+    return rows.select("txt", "place", text.location_signal(F.col("txt"), F.col("place")).alias("s")).select("txt", "place", "s.*")
+
+
+@query(
+    r"WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+'), lambda w: length(w) >= 3)) AS w FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, CASE WHEN least(len(a.w), len(b.w)) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect(a.w, b.w))::DOUBLE / least(len(a.w), len(b.w)), 6) END AS similarity FROM t a JOIN t b ON a.item_id < b.item_id"
+)
+def address_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    one = _read(spark, sf, "benchmark")
+    pairs = one.select(F.col("item_id").alias("a"), F.col("text").alias("x")).join(one.select(F.col("item_id").alias("b"), F.col("text").alias("y")), F.col("a") < F.col("b"))
+    return pairs.select("a", "b", F.round(text.address_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
+
+
+_ADDRESSES = [("ул. Шипка 12, 1504 София", 70), ("bul. Vitosha 5", 40), ("Call us", 0), ("5 Main Street, 10001", 70), ("2008Construction of plant", 0), ("no street here 1234", 70), ("a{b}", 0), ("Home · About", 0)]
+
+
+@query("SELECT address, score FROM " + _values("address, score", *_ADDRESSES))
+def address_score(spark: SparkSession, sf: str) -> DataFrame:
+    return _rows(spark, "address string", *((a,) for a, _ in _ADDRESSES)).select("address", text.address_score(F.col("address")).alias("score"))
+
+
+_CONFIDENCE = [("https://www.facebook.com/acmebuild", "Acme Build", "visit acmebuild.bg today", "Acme Build", "acmebuild.bg", 5), ("https://www.facebook.com/other", "Other", None, "Acme", "acme.bg", 0), ("https://www.linkedin.com/company/acmebuild-sofia", "x", "y", None, "acmebuild.bg", 2)]
+
+
+@query("SELECT url, score FROM " + _values("url, score", *((r[0], r[-1]) for r in _CONFIDENCE)))
+def social_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _rows(spark, "url string, title string, snippet string, company string, domain string", *(r[:-1] for r in _CONFIDENCE))
+    return rows.select("url", text.social_confidence(*map(F.col, rows.columns)).alias("score"))
+
+
+_ERRORS = [("getaddrinfo ENOTFOUND a.bg", "DNS_NOT_FOUND", False), ("EAI_AGAIN b.bg", "DNS_NOT_FOUND", True), ("net::ERR_CERT_DATE_INVALID", "TLS_ERROR", False), ("socket hang up", "CONNECTION_REFUSED", True), ("Navigation timeout of 30000 ms exceeded", "TIMEOUT", True), ("503 - Service Unavailable", "HTTP_5XX", True), ("browserType.launch: no", "BROWSER_LAUNCH", False), ("odd", "UNKNOWN", True)]
+
+
+@query("SELECT message, code, retryable FROM " + _values("message, code, retryable", *_ERRORS))
+def crawl_error_class(spark: SparkSession, sf: str) -> DataFrame:
+    return _rows(spark, "message string", *((m,) for m, _, _ in _ERRORS)).select("message", text.error_code(F.col("message")).alias("code"), text.is_retryable(F.col("message")).alias("retryable"))
+
+
+_SNIPPETS = [("<strong>Мир</strong> &quot;ДГ&quot;<br/>x", 'Мир "ДГ" x'), ("a&#39;s &#x41; &amp; b", "a's A & b"), ("  <p></p> ", None), ("x&unknown;y", "x&unknown;y"), ("&#1046;", "Ж")]
+
+
+@query("SELECT raw, clean FROM " + _values("raw, clean", *_SNIPPETS))
+def search_text(spark: SparkSession, sf: str) -> DataFrame:
+    return _rows(spark, "raw string", *((r,) for r, _ in _SNIPPETS)).select("raw", text.clean_search_text(F.col("raw")).alias("clean"))
+
+
+# ---- pages
+
+@query()
+def page_facts(spark: SparkSession, sf: str) -> DataFrame:
+    f = F.col("facts")
+    return profile.page_facts(_read(spark, sf, "pages")).select("page_id", F.length(f["text"]).alias("chars"), F.size(f["anchors"]).alias("anchors"), F.size(f["paragraphs"]).alias("paragraphs"), f["items"].alias("items"), F.size(f["headings"]).alias("headings"), profile.needs_login(f).alias("login"), profile.bot_protection(F.col("html")).alias("bots"))
+
+
+_UNESCAPED = "replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+
+
+@query(rf"SELECT page_id, trim({_UNESCAPED}) AS title FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)")
+def page_title(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.page_facts(_read(spark, sf, "pages")).select("page_id", F.col("facts.title").alias("title"))
+
+
+@query()
+def page_description(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.page_facts(_read(spark, sf, "pages")).select("page_id", profile.company_name(F.col("facts"), F.col("url")).alias("name"), profile.description(F.col("facts")).alias("description"))
+
+
+@query()
+def url_queue(spark: SparkSession, sf: str) -> DataFrame:
+    base = F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)
+    return profile.page_facts(_read(spark, sf, "pages")).select("page_id", F.posexplode(profile.url_queue(F.col("facts"), base)).alias("nth", "next_url"))
+
+
+@query()
+def page_type(spark: SparkSession, sf: str) -> DataFrame:
+    f = F.col("facts")
+    told = profile.page_facts(_read(spark, sf, "pages")).select("page_id", profile.type_from_content(f).alias("c"), profile.type_from_meta(F.col("url"), f["title"], F.lit("")).alias("m"))
+    return told.select("page_id", F.col("c.type").alias("content_type"), F.col("c.score").alias("content_score"), F.col("m.type").alias("meta_type"))
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.site_profiles(_read(spark, sf, "pages"))
+
+
+_queries["site_profiles"] = flagship
+
+
+@query(
+    "SELECT c_custkey, (CASE WHEN c_custkey % 2 = 0 THEN 20 ELSE 0 END + CASE WHEN c_custkey % 3 = 0 THEN 20 ELSE 0 END + CASE WHEN c_acctbal > 0 THEN 15 ELSE 0 END + CASE WHEN c_acctbal > 5000 THEN 10 ELSE 0 END + CASE WHEN c_nationkey < 5 THEN 10 ELSE 0 END + CASE WHEN c_nationkey > 20 THEN 10 ELSE 0 END + CASE WHEN c_custkey % 5 = 0 THEN 5 ELSE 0 END + CASE WHEN c_custkey % 7 = 0 THEN 5 ELSE 0 END + CASE WHEN c_custkey % 11 = 0 THEN 5 ELSE 0 END)::INTEGER AS score FROM customer"
+)
+def completion_score(spark: SparkSession, sf: str) -> DataFrame:
+    k, n, b = F.col("c_custkey"), F.col("c_nationkey"), F.col("c_acctbal")
+    return _read(spark, sf, "customer").select("c_custkey", profile.completion_score(name=k % 2 == 0, description=k % 3 == 0, emails=b > 0, location=b > 5000, phones=n < 5, services=n > 20, history=k % 5 == 0, social=k % 7 == 0, team=k % 11 == 0).alias("score"))
+
+
+# ---- candidates
+
+_CANDIDATES = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'd' || (o_orderkey % 211) || '.bg' END AS domain, CASE WHEN o_orderkey % 5 = 0 THEN 'E' || (o_orderkey % 173) || '@x.bg' END AS email, CASE WHEN o_orderkey % 3 = 0 THEN '0' || (880000000 + o_orderkey) END AS phone, 'Firm ' || o_orderkey AS name, '' AS address, '' AS website_url, CAST(o_orderkey % 100 AS INTEGER) AS confidence FROM orders"
+
+
+def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return _read(spark, sf, "orders").select(
+        k.alias("id"), F.when(k % 7 == 0, F.concat(F.lit("d"), k % 211, F.lit(".bg"))).alias("domain"), F.when(k % 5 == 0, F.concat(F.lit("E"), k % 173, F.lit("@x.bg"))).alias("email"), F.when(k % 3 == 0, F.concat(F.lit("0"), k + 880000000)).alias("phone"),
+        F.concat(F.lit("Firm "), k).alias("name"), F.lit("").alias("address"), F.lit("").alias("website_url"), (k % 100).cast("int").alias("confidence"),
+    )
+
+
+_ENTITY = (
+    f"WITH RECURSIVE c AS ({_CANDIDATES}), k AS (SELECT id, unnest(list_filter(['d' || lower(domain), 'e' || lower(email)], lambda x: x IS NOT NULL)) AS k FROM c), keys AS (SELECT k, min(id) AS lo, list(id) AS ids FROM k GROUP BY 1), "
+    "e AS (SELECT DISTINCT a.k AS a, b.k AS b FROM k a JOIN k b ON a.id = b.id), r(k, top) AS (SELECT k, k FROM keys UNION SELECT e.b, r.top FROM r JOIN e ON e.a = r.k), g AS (SELECT k, min(top) AS grp FROM r GROUP BY 1), "
+    "m AS (SELECT grp, min(lo) AS entity FROM g JOIN keys USING (k) GROUP BY 1), ent AS (SELECT c.id, coalesce(min(m.entity), c.id) AS entity FROM c LEFT JOIN k ON k.id = c.id LEFT JOIN g ON g.k = k.k LEFT JOIN m ON m.grp = g.grp GROUP BY c.id)"
+)
+
+
+@query(_ENTITY + " SELECT id, entity FROM ent")
+def entity_components(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.entities(_candidates(spark, sf))
+
+
+@query(
+    _ENTITY + ", o AS (SELECT c.*, entity, row_number() OVER (PARTITION BY entity ORDER BY confidence DESC, c.id) AS n FROM c JOIN ent ON ent.id = c.id) SELECT entity, arg_min(id, n) AS id, arg_min(nullif(domain, ''), n) FILTER (WHERE nullif(domain, '') IS NOT NULL) AS domain, arg_min(email, n) FILTER (WHERE email IS NOT NULL) AS email, "
+    "arg_min(phone, n) FILTER (WHERE phone IS NOT NULL) AS phone, arg_min(name, n) AS name, CAST(NULL AS VARCHAR) AS address, CAST(NULL AS VARCHAR) AS website_url, arg_min(confidence, n) AS confidence, count(*) AS members FROM o GROUP BY entity"
+)
+def merged_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.merged(_candidates(spark, sf))
+
+
+@query(
+    "WITH s AS (SELECT user_id, event_type, CASE event_type WHEN 'error' THEN 'REJECT' WHEN 'signup' THEN 'REVIEW' ELSE 'ACCEPT' END AS effect, event_id FROM events), f AS (SELECT user_id, arg_min(event_type, event_id) FILTER (WHERE effect = 'REJECT') AS a, arg_min(event_type, event_id) FILTER (WHERE effect = 'REVIEW') AS b, arg_min(event_type, event_id) FILTER (WHERE effect = 'ACCEPT') AS c FROM s GROUP BY 1) "
+    "SELECT user_id, CASE WHEN a IS NOT NULL THEN 'REJECT' WHEN b IS NOT NULL THEN 'REVIEW' ELSE 'ACCEPT' END AS verdict, coalesce(a, b, c) AS reason FROM f"
+)
+def decision_fold(spark: SparkSession, sf: str) -> DataFrame:
+    effect = F.when(F.col("event_type") == "error", "REJECT").when(F.col("event_type") == "signup", "REVIEW").otherwise("ACCEPT")
+    listed = _read(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.col("event_type").alias("criterion"), effect.alias("effect")))).alias("s"))
+    return listed.select("user_id", decide.fold(F.col("s")).alias("f")).select("user_id", "f.*")
+
+
+@query(
+    "WITH c AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders), k AS (SELECT *, n // 15 AS chunk, n % 15 AS idx FROM c) SELECT o_orderkey, chunk, idx, CASE idx % 4 WHEN 0 THEN 'kept' WHEN 1 THEN 'filtered' ELSE 'review' END AS status, CASE idx % 4 WHEN 1 THEN 'NOT_TARGET_ORGANIZATION' WHEN 2 THEN 'LLM_UNSURE' WHEN 3 THEN 'LLM_UNJUDGED' END AS status_reason FROM k"
+)
+def verdict_join(spark: SparkSession, sf: str) -> DataFrame:
+    rows = decide.chunked(_read(spark, sf, "orders").select("o_orderkey", "o_custkey"), [F.asc("o_orderkey")], ["o_custkey"])
+    decision = F.when(F.col("idx") % 4 == 0, "KEEP").when(F.col("idx") % 4 == 1, "REJECT").otherwise("UNSURE")
+    answers = rows.where("idx % 4 < 3").select("o_custkey", "chunk", "idx", decision.alias("decision"), F.lit(None).cast("string").alias("code"))
+    return decide.apply_verdicts(rows, answers, ["o_custkey", "chunk", "idx"]).select("o_orderkey", F.col("chunk").cast("long").alias("chunk"), F.col("idx").cast("long").alias("idx"), "status", "status_reason")
+
+
+_JSON = [(1, 'Sure: ```json\n{"verified": ["a@b.bg"], "confidence": 80}\n```', 80), (2, "no json", None), (3, '{"confidence": 71}', 71), (4, '{"confidence": 12', None)]
+
+
+@query("SELECT id, confidence, coalesce(confidence >= 70, false) AS accepted FROM " + _values("id, confidence", *((i, c) for i, _, c in _JSON)))
+def json_answers(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _rows(spark, "id int, raw string", *((i, r) for i, r, _ in _JSON)).withColumn("a", text.json_answer(F.col("raw"), "verified array<string>, confidence int"))
+    return rows.select("id", F.col("a.confidence").alias("confidence"), F.coalesce(F.col("a.confidence") >= 70, F.lit(False)).alias("accepted"))
+
+
+# ---- results
+
+@query("SELECT c.conv_id, t.turn, coalesce(t.body, '') AS body FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT conv_id, turn, text AS body FROM conversations WHERE role = 'system' AND trim(text) <> '') t ON t.conv_id = c.conv_id")
+def lead_explode(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _read(spark, sf, "conversations")
+    named = F.when((F.col("role") == "system") & (F.trim("text") != ""), F.struct("turn", F.col("text").alias("body")))
+    listed = rows.groupBy("conv_id").agg(F.collect_list(named).alias("team"))
+    return listed.select("conv_id", F.explode_outer("team").alias("m")).select("conv_id", "m.turn", F.coalesce("m.body", F.lit("")).alias("body"))
+
+
+@query("SELECT 's_suppkey,s_name,s_acctbal' AS line UNION ALL SELECT s_suppkey || ',' || CASE WHEN contains(n, ',') OR contains(n, '\"') THEN '\"' || replace(n, '\"', '\"\"') || '\"' ELSE n END || ',' || s_nationkey FROM (SELECT *, CASE WHEN s_suppkey % 2 = 0 THEN s_name || ', \"ltd\"' ELSE s_name END AS n FROM supplier)".replace("s_acctbal'", "s_nationkey'"))
+def export_csv_lines(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _read(spark, sf, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.concat("s_name", F.lit(', "ltd"'))).otherwise(F.col("s_name")).alias("s_name"), "s_nationkey")
+    return sinks.csv_lines(rows, [F.col("s_suppkey")])
+
+
+@query("SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= 2")
+def top2_pages_by_score(spark: SparkSession, sf: str) -> DataFrame:
+    return relational.first_of(_read(spark, sf, "documents").select("source", "doc_id", "n_chars"), ["source"], [F.desc("n_chars"), F.asc("doc_id")], 2)
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+def status_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The stream's counts by type, over all that is there, each event once."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_folder(sf, "events"))
+    counted = jobs.deduplicated(stream.withColumn("ts", F.col("ts").cast("timestamp"))).groupBy("event_type").agg(F.count("*").alias("n"))
+    return jobs.run_once(counted, "stream_counts", "complete")
+
+
+def _folder(sf: str, name: str) -> str:
+    """A path that a file stream may read: a glob, as the table may be one file or a folder."""
+    return f"{sf}/{name}[.]parquet"
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.windowed_counts(_read(spark, sf, "events"), "ts", "1 day", "1 day", "event_type")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
