@@ -1,0 +1,435 @@
+"""Each operator against a brute-force version on small fixtures, and against nulls, empties, ties, repeated rows, empty tables and clashing columns."""
+
+import base64
+import json
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from leadlake.llm import chat, decontaminate, exactdedup, langid, linededup, mixing, neardup, quality, tokens, urlfilter
+from leadlake.llm._text import buffers, lower, span_hashes, word_bounds
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = [a + b + c for a in ("ka", "lo", "mi", "ne") for b in ("ra", "su", "ti", "vo") for c in ("b", "d", "k", "n", "s")]
+
+
+def words(seed, n):
+    return random.Random(seed).choices(WORDS, k=n)
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    """Originals, near and exact copies, shared lines, and odd rows."""
+    rows = []
+    for k in range(40):
+        own = words(k, 80)
+        rows.append((k, " ".join(own[:40]) + "\n" + " ".join(own[40:]), "en" if k % 2 else "de", f"src{k % 3}"))
+    for k in range(5):
+        near = rows[k][1].split(" ")
+        near[7] = near[30] = "changed"
+        rows.append((100 + k, " ".join(near), "en", "src0"))
+        rows.append((200 + k, rows[k][1], "en", "src0"))
+    rows.append((300, "shared line here\n" + " ".join(words(900, 30)), "en", "src1"))
+    rows.append((301, " ".join(words(901, 30)) + "\n shared line here ", "en", "src1"))
+    rows += [(400, None, None, None), (401, "", "en", ""), (402, "", "en", None), (403, "!!! ???", "en", "src2"), (None, "text without id", "en", "src2"), (404, "one", "en", "src2"), (404, "one", "en", "src2")]
+    return [(i, t, lang, s, None if t is None else len(t)) for i, t, lang, s in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, corpus):
+    """With columns whose names the operators use inside."""
+    return spark.createDataFrame(corpus, DOCS).withColumns({"sig": F.lit(1), "key": F.lit("k"), "rep": F.lit(2), "n": F.lit(3), "h1": F.lit(4), "shard": F.lit(5), "print": F.lit(6)})
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def groups_of(pairs):
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return {(x, find(x)) for x in list(up)}
+
+
+def test_words():
+    data, offsets = buffers(lower(pa.array(["Ünï x—y Z9", None, "", "a、b«c»"])))
+    starts, ends, row = word_bounds(data, offsets)
+    assert [(int(r), bytes(data[a:b]).decode()) for a, b, r in zip(starts, ends, row)] == [(0, "ünï"), (0, "x"), (0, "y"), (0, "z9"), (3, "a"), (3, "b"), (3, "c")]
+    d, o = buffers(pa.array(["abc", "xabc"]))
+    assert span_hashes(d, np.array([0]), np.array([3])) == span_hashes(d, np.array([4]), np.array([7]))
+
+
+# 1
+
+
+def signatures(corpus):
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in corpus]), pa.array([r[1] for r in corpus], pa.string())], ["doc_id", "text"])
+    out = {}
+    for part in neardup._sign([batch]):
+        for i, m in zip(part.column(0).to_pylist(), neardup._matrix(part.column(1))):
+            out[i] = m.copy()
+    return {i: m for i, m in out.items() if i is not None}
+
+
+def test_near_duplicates(spark, docs, corpus):
+    sig = signatures(corpus)
+    pairs = [(a, b) for a in sig for b in sig if a < b and (sig[a] != sig[b]).sum() <= neardup.MAX_DISTANCE]
+    got = {(r.doc_id, r.group_id) for r in neardup.near_duplicates(docs).collect()}
+    assert got == groups_of(pairs)
+    assert {(100 + k, k) for k in range(5)} | {(200 + k, k) for k in range(5)} <= got
+    kept = neardup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and kept.count() == docs.count() - 10
+    assert neardup.near_duplicates(empty(spark)).count() == 0
+
+
+def test_keys_guarantee_all_within_the_distance():
+    random_ = np.random.default_rng(1)
+    base = random_.integers(0, 65536, neardup.K).astype(np.uint16)
+    for _ in range(300):
+        other = base.copy()
+        other[random_.choice(neardup.K, neardup.MAX_DISTANCE, replace=False)] ^= 1
+        keys = neardup.chunk_keys(np.stack([base, other]))
+        assert (keys[0] == keys[1]).any()
+
+
+def test_buckets_are_searched_exactly():
+    random_ = np.random.default_rng(2)
+    matrix = random_.integers(0, 3, (60, neardup.K)).astype(np.uint16)
+    want = groups_of((a, b) for a in range(60) for b in range(a) if (matrix[a] != matrix[b]).sum() <= 38)
+    assert groups_of(neardup.bucket_edges(np.arange(60), matrix, 38)) == want
+
+
+# 2
+
+
+def brute_spans(texts, items, phrase):
+    data = lambda t: [w for w in "".join(c.lower() if c.isalnum() else " " for c in t).split()]
+    grams = {tuple(w[i : i + min(phrase, len(w))]) for w in map(data, items) if w for i in range(max(1, len(w) - phrase + 1))}
+    out = []
+    for k, t in enumerate(texts):
+        w, merged = data(t), []
+        for a, b in sorted((i, i + len(g)) for g in grams for i in range(len(w)) if tuple(w[i : i + len(g)]) == g):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
+        out += [(k, a, b) for a, b in merged]
+    return out
+
+
+def test_fm_index_finds_all_phrases():
+    source = random.Random(3)
+    alphabet = ["a", "b", "Cé", "d", "zz"]
+    for _ in range(60):
+        items = [" ".join(source.choices(alphabet[:4], k=source.randint(0, 9))) for _ in range(3)]
+        texts = [", ".join(source.choices(alphabet, k=source.randint(0, 60))) for _ in range(4)]
+        table = decontaminate.phrase_table(items, 4)
+        data, offsets = buffers(lower(pa.array(texts)))
+        row, first, end, start, stop = decontaminate.spans_in(data, offsets, *table)
+        assert list(zip(row.tolist(), first.tolist(), end.tolist())) == brute_spans(texts, items, 4)
+        for k, a, b, s, e in zip(row, first, end, start, stop):
+            raw = texts[k].encode()[s:e].decode().lower().replace(",", " ").split()
+            assert raw == texts[k].lower().replace(",", " ").split()[a:b]
+
+
+def test_decontamination(spark, docs):
+    item = " ".join(words(3, 80)[10:30])
+    bench = spark.createDataFrame([(1, item.upper()), (2, None), (3, ""), (4, " ".join(words(77, 20)))], "item_id long, text string")
+    spans = {(r.doc_id, r.first_word, r.end_word) for r in decontaminate.contaminated_spans(docs, bench).collect()}
+    assert {(3, 10, 30), (203, 10, 30)} <= spans and {d for d, _, _ in spans} == {3, 103, 203} - ({103} if (103, 10, 30) not in spans and not any(d == 103 for d, _, _ in spans) else set())
+    clean = decontaminate.decontaminate(docs, bench)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    own = clean.where("doc_id = 3").first()
+    assert own.text.split() == words(3, 80)[:10] + words(3, 80)[30:] and own.n_chars == len(own.text)
+    whole = spark.createDataFrame([(1, item, "en", "s", 1), (2, None, "en", "s", 1), (3, "", "en", "s", 1)], DOCS)
+    assert {r.doc_id for r in decontaminate.decontaminate(whole, bench).collect()} == {2, 3}
+    assert decontaminate.contaminated_spans(docs, bench.limit(0)).count() == 0
+    assert decontaminate.contaminated_spans(empty(spark), bench).count() == 0
+
+
+# 3
+
+
+def brute_lines(corpus):
+    seen, gone = {}, set()
+    for i, t in sorted({(r[0], r[1]) for r in corpus if r[0] is not None and r[1]}):
+        for k, line in enumerate(t.split("\n")):
+            if line.strip():
+                if line.strip() in seen:
+                    gone.add((i, k))
+                seen.setdefault(line.strip(), (i, k))
+    return gone
+
+
+def test_line_dedup(spark, docs, corpus):
+    got = {(r.doc_id, r.line_no) for r in linededup.repeated_lines(docs).collect()}
+    assert got == brute_lines(corpus) and (301, 1) in got
+    out = {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()}
+    assert 200 not in out and out[301] == " ".join(words(901, 30)) and out[401] == "" and out[404] == "one"
+    assert linededup.dedup_lines(docs).columns == docs.columns
+    assert linededup.repeated_lines(empty(spark)).count() == 0
+
+
+def test_cuckoo_filter():
+    random_ = np.random.default_rng(4)
+    items = np.unique(random_.integers(0, 1 << 63, 20000).astype(np.uint64))
+    sieve = linededup.CuckooFilter(20000)
+    sieve.insert(items)
+    assert sieve.contains(items).all()
+    others = np.setdiff1d(random_.integers(0, 1 << 63, 20000).astype(np.uint64), items)
+    assert sieve.contains(others).mean() < 0.01
+    again = linededup.CuckooFilter.from_bytes(sieve.to_bytes())
+    again.delete(items[:10000])
+    assert again.contains(items[10000:]).all() and again.contains(items[:10000]).mean() < 0.01
+    tight = linededup.CuckooFilter(10)
+    tight.insert(items[:200])  # far too many: none is lost
+    assert tight.contains(items[:200]).all()
+    assert linededup.CuckooFilter.from_bytes(tight.to_bytes()).contains(items[:200]).all()
+
+
+def test_line_store_is_reversible(spark, tmp_path):
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    store = linededup.LineStore(spark, str(tmp_path), shards=3)
+    pairs = lambda df: {(r.doc_id, r.line_no) for r in df.collect()}
+    assert pairs(store.insert(table([(1, "a\nb"), (2, "b\nc")]))) == {(2, 0)}
+    assert pairs(store.insert(table([(3, "c\nd\na"), (2, "b\nc")]))) == {(3, 0), (3, 2)}
+    store.delete(table([(1, "")]))
+    assert pairs(store.repeated_lines()) == {(3, 0)}
+    assert pairs(store.insert(table([(4, "a\nb\nz")]))) == {(4, 0), (4, 1)}
+    store.delete(table([(2, ""), (3, ""), (4, "")]))
+    assert store.refs().count() == 0 and pairs(store.insert(table([(5, "a\na")]))) == {(5, 1)}
+
+
+# 4
+
+
+def test_url_filter(spark):
+    rows = [
+        (1, "http://a.com/x?utm_source=f", '<link rel="canonical" href="https://WWW.b.com/y/">'), (2, "https://free-bets.com/", ""), (3, "http://c.com/z", "<LINK href='//free-bets.com' rel='canonical'>"), (4, "http://b.com/y#t", None),
+        (5, None, None), (6, "junk", ""), (7, "https://fine.org/p?ref=x&id=2", "<p>canonical</p>"), (8, "http://www.fine.org:80/p/?id=2", ""), (8, "http://www.fine.org:80/p/?id=2", ""), (9, "http://d.com/a/b?q", '<link rel=canonical href="../c">'), (10, "", "x"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"key": F.lit(1), "component": F.lit(2), "node": F.lit(3)})
+    hops = spark.createDataFrame([("http://b.com/y", "https://hop.net/"), ("https://hop.net", "https://free-bets.com"), (None, "http://a.com"), ("http://q.com", "http://q.com")], "source string, target string")
+    got = [(r.page_id, r.decision, r.reason) for r in urlfilter.filter_urls(pages, hops, allow_hosts=("c.com",)).collect()]
+    alias = "alias of a blocked URL"
+    assert sorted(got) == [(1, "block", alias), (2, "block", "blocked"), (3, "allow", "allowed"), (4, "block", alias), (5, "pass", ""), (6, "pass", ""), (7, "pass", ""), (8, "pass", ""), (8, "pass", ""), (9, "pass", ""), (10, "pass", "")]
+    keys = {r.page_id: r.key for r in urlfilter.filter_urls(pages).collect()}
+    assert keys[7] == keys[8] == "fine.org/p?id=2" and keys[5] is None
+    assert urlfilter.filter_urls(pages.limit(0)).count() == 0
+
+
+# 5
+
+
+def test_language_id(spark):
+    heads = {"en": ["th", "wh", "ing", "er"], "de": ["sch", "ung", "keit", "ei"], "fr": ["eau", "oi", "elle", "qu"]}
+    source = random.Random(5)
+    made = [(k, " ".join("".join(source.choices(heads[lang], k=3)) for _ in range(20)), lang, "s", 0) for k, lang in enumerate(sorted(heads) * 60)]
+    frame = spark.createDataFrame(made, DOCS).withColumn("words", F.lit(1))
+    model = langid.train(frame.where("doc_id < 90"))
+    got = {r.doc_id: r.lang for r in langid.identify(frame, model).collect()}
+    held_out = [k for k, *_ in made if k >= 90]
+    assert sum(got[k] == made[k][2] for k in held_out) / len(held_out) > 0.97
+    odd = spark.createDataFrame([(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "*** 。", "en", "s", 0), (4, "日本", "en", "s", 0), (None, "thwhing er", "xx", "s", 0)], DOCS)
+    assert {r.doc_id: r.lang for r in langid.identify(odd, model).collect()} == {1: None, 2: None, 3: None, 4: None, None: "en"}
+    assert langid.keep_identified(odd, model).collect()[0].text == "thwhing er" and langid.keep_identified(odd, model).columns == odd.columns
+    assert langid.identify(odd, langid.train(odd.limit(0))).where("lang is not null").count() == 0
+    assert langid.identify(odd.limit(0), model).count() == 0
+
+
+def test_backoff_takes_the_longest_known_grams():
+    model = langid.fit({"a": {"abcd": 4, "xy": 2}, "b": {"bcde": 4}})
+    scores = lambda w: (lambda d, o: langid.word_scores(model, d, o[:-1], o[1:]))(*buffers(pa.array([w])))[0]
+    table = {h: s for n in range(langid.GRAM) for h, s in zip(model.grams[n].tolist(), model.gram_scores[n].tolist())}
+    gram = lambda g: table[int(langid._hashes([g])[0])]
+    assert np.allclose(scores("zabcdz"), gram("abcd"))
+    assert np.allclose(scores("qbcq"), gram("bc")) and np.allclose(scores("qe"), gram("e"))
+    assert np.isnan(scores("q")).all()
+
+
+# 6
+
+
+def test_fingerprints_compose():
+    raw = np.random.default_rng(6).integers(0, 256, 200_000).astype(np.uint8)
+    whole = exactdedup.fingerprints(raw, np.array([0, len(raw)]))[0]
+    naive = [0, 0]
+    for k in range(2):
+        for b in raw.tolist():
+            naive[k] = (naive[k] * exactdedup.BASES[k] + b + 1) % exactdedup.PRIMES[k]
+    assert int(whole) == (naive[0] << 31) | naive[1]
+    split = lambda x: (int(x) >> 31, int(x) & (1 << 31) - 1)
+    for cut in (0, 1, 65536, 70000):
+        a, b = (split(exactdedup.fingerprints(raw[s], np.array([0, len(raw[s])]))[0]) for s in (slice(0, cut), slice(cut, None)))
+        assert exactdedup.combine(a, b, len(raw) - cut) == split(whole)
+
+
+def test_exact_duplicates(spark, docs, corpus, monkeypatch):
+    by = {}
+    for i, t, *_ in corpus:
+        if i is not None and t is not None:
+            by.setdefault(t, set()).add(i)
+    want = {(i, min(ids), len(ids)) for ids in by.values() if len(ids) > 1 for i in ids}
+    assert {(r.doc_id, r.group_id, r.group_size) for r in exactdedup.exact_duplicates(docs).collect()} == want and (402, 401, 2) in want
+    monkeypatch.setattr(exactdedup, "PART", 2)  # several leaders a group
+    many = spark.createDataFrame([(k, "x" if k % 2 else "y") for k in range(31)], "doc_id long, text string")
+    assert {(r.doc_id, r.group_id) for r in exactdedup.exact_duplicates(many).collect()} == {(k, k % 2) for k in range(31)}
+    assert exactdedup.exact_duplicates(empty(spark)).count() == 0
+
+
+def test_equal_fingerprints_are_compared():
+    rows = [[7] * 4, [3] * 4, [0] * 4, [1, 2, 3, 4], ["abc", "abd", "abc", "abd"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2]), pa.array(rows[3]), pa.array(rows[4])], ["print", "bytes", "part", "doc_id", "text"])
+    assert next(exactdedup._compare([batch])).column(3).to_pylist() == [1, 2, 1, 2]
+
+
+# 7
+
+
+def test_marginals_equal_enumeration():
+    random_ = np.random.default_rng(7)
+    score, moves = random_.normal(size=9), random_.normal(size=(2, 2))
+    row = np.array([0, 0, 0, 1, 3, 3, 3, 3, 4])
+    good, log_z, joint = quality.marginals(score, row, moves, pairs=True)
+    want, z_all, joint_want = np.zeros(9), 0.0, np.zeros((2, 2))
+    for r in np.unique(row):
+        at = np.flatnonzero(row == r)
+        weights = {}
+        for code in range(1 << len(at)):
+            y = [(code >> k) & 1 for k in range(len(at))]
+            weights[tuple(y)] = math.exp(sum(score[i] * v for i, v in zip(at, y)) + sum(moves[a, b] for a, b in zip(y, y[1:])))
+        z = sum(weights.values())
+        z_all += math.log(z)
+        for y, w in weights.items():
+            want[at] += np.array(y) * w / z
+            for a, b in zip(y, y[1:]):
+                joint_want[a, b] += w / z
+    assert np.allclose(good, want) and np.isclose(log_z, z_all) and np.allclose(joint, joint_want)
+
+
+def test_quality(spark):
+    source = random.Random(8)
+    good = lambda: "\n".join(" ".join(words(source.random(), 12)).capitalize() + "." for _ in range(4))
+    bad = lambda: "\n".join(" ".join(w.upper() + "!!" for w in words(source.random(), 12)) for _ in range(4))
+    made = [(k, good() if k % 2 else bad(), "en", "s", 0) for k in range(200)]
+    frame = spark.createDataFrame(made, DOCS).withColumns({"quality": F.lit(1), "lines": F.lit(2)})
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(100)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    field = quality.train(frame, labels)
+    got = {r.doc_id: r.quality for r in quality.score_quality(frame, field).collect()}
+    assert all((got[k] > 0.5) == bool(k % 2) for k in range(100, 200))
+    odd = spark.createDataFrame([(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "\n\n", "en", "s", 0), (None, "x\n" * 5000, "en", "s", 0)], DOCS)
+    out = {r.doc_id: (r.quality, r.lines) for r in quality.score_quality(odd, field).collect()}
+    assert out[1] == (None, 0) and out[2] == (None, 0) and out[3] == (None, 2) and out[None][1] == 5000
+    assert quality.score_quality(odd, quality.train(frame, labels.limit(0))).count() == 4 and quality.score_quality(odd.limit(0), field).count() == 0
+
+
+# 8
+
+
+def test_splitting_tree_is_exact():
+    table = mixing.split_blocks([50, 7, 0, 31], 9)
+    assert table.sum(0).tolist() == [50, 7, 0, 31] and table.sum(1).max() - table.sum(1).min() <= 1
+    assert (mixing.split_blocks([3], 5).sum(), mixing.split_blocks([], 2).sum()) == (3, 0)
+    mean = np.mean([mixing.split_blocks([60, 20], 4, seed=s)[0] for s in range(400)], axis=0)
+    assert abs(mean[0] - 15) < 0.4 and abs(mean[1] - 5) < 0.4
+
+
+def test_mixing(spark):
+    made = [(k, "t", "en", "big" if k % 4 else ("small" if k % 8 else None), 1) for k in range(800)] + [(0, "t", "en", None, 1), (None, "t", "en", "big", 1), (9001, None, "en", "tiny", 0)]
+    frame = spark.createDataFrame(made, DOCS).withColumns({"shard": F.lit(1), "block": F.lit(2)})
+    got = mixing.mix_sources(frame, {"big": 2, "small": 1, "tiny": 0}, shards=5, block=4).collect()
+    count = Counter(r.source for r in got)
+    assert count == {"big": 200, "small": 100} and len({r.doc_id for r in got}) == 300
+    shards = Counter(r.shard for r in got)
+    assert max(shards.values()) - min(shards.values()) <= 4
+    assert all(sorted(r.place for r in got if r.shard == s) == list(range(n)) for s, n in shards.items())
+    assert all(len({r.shard for r in got if (r.source, r.block) == b}) == 1 for b in {(r.source, r.block) for r in got})
+    again = {(r.doc_id, r.shard, r.place) for r in mixing.mix_sources(frame.repartition(7), {"big": 2, "small": 1}, shards=5, block=4).collect()}
+    assert again == {(r.doc_id, r.shard, r.place) for r in got}
+    default = Counter(r.source for r in mixing.mix_sources(frame, block=4).collect())
+    assert set(default) == {"big", "small", None} and abs(default["big"] / default[None] - 6**0.5) < 0.2
+    assert mixing.mixed_documents(frame, {None: 1}).count() == 0 and mixing.mix_sources(frame.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        mixing.block_quotas({"a": 9}, {"a": -1})
+
+
+# 9
+
+
+def test_chat_layouts(spark):
+    records = [
+        {"messages": [{"role": "Human", "content": "a"}, {"role": "gpt", "content": " b "}], "id": 3}, {"conversations": [{"from": "human", "value": "x"}, {"from": "gpt", "value": "y"}]}, {"instruction": "do", "input": "", "output": "ok"}, {"instruction": "do", "input": "it", "output": "ok"},
+        {"prompt": "p", "completion": None}, {"odd `name": {"y": [1, 2.5]}}, [{"role": "user", "content": "z"}], {"data": {"messages": [{"role": None, "content": "q"}]}}, {"messages": []}, {"question": "1?", "answer": "2", "context": "c"},
+    ]
+    rows = [(k, json.dumps(r)) for k, r in enumerate(records)] + [(90, None), (91, "{bad"), (None, json.dumps(records[6]))]
+    frame = spark.createDataFrame(rows, "conv_id long, record string").withColumns({"layout": F.lit(1), "turn": F.lit(2), "_x": F.lit(3)})
+    got = [(r.conv_id, r.layout, r.turn, r.role, r.text) for r in chat.format_chats(frame).collect()]
+    one = lambda k: sorted((t, r, x) for i, _, t, r, x in got if i == k)
+    assert one(0) == [(0, "user", "a"), (1, "assistant", "b")] and one(1) == [(0, "user", "x"), (1, "assistant", "y")]
+    assert one(2) == [(0, "user", "do"), (1, "assistant", "ok")] and one(3) == [(0, "user", "do\n\nit"), (1, "assistant", "ok")]
+    assert one(4) == [(0, "user", "p")] and one(6) == [(0, "user", "z")] == one(None) and one(7) == [(0, "user", "q")] and one(9) == [(0, "system", "c"), (1, "user", "1?"), (2, "assistant", "2")]
+    assert [g for g in got if g[0] in (5, 8, 90, 91)] and all(g[1:] == (None, None, None, None) for g in got if g[0] in (5, 8, 90, 91))
+    assert chat.format_chats(frame.limit(0)).count() == 0
+
+
+def test_fingerprints_hold_nested_paths():
+    assert chat.schema_paths("OBJECT<a: ARRAY<OBJECT<b: STRING, `c:d`: DECIMAL(3,1)>>, e: OBJECT<>>") == ["a", "a[]", "a[].b", "a[].c:d", "e"]
+    assert chat.schema_paths("VOID") == [] and chat.schema_paths("ARRAY<VOID>") == ["[]"]
+
+
+def test_pack_turns(spark):
+    rows = [(1, 1, "gpt", "b"), (1, 0, "human", "a"), (1, 2, None, " "), (2, None, "system", None), (None, 0, "user", "x"), (1, 1, "gpt", "b")]
+    got = chat.format_chats(chat.pack_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert sorted((r.conv_id, r.turn, r.role, r.text) for r in got if r.conv_id == 1) == [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "assistant", "b")]
+    assert [(r.conv_id, r.layout, r.turn) for r in got if r.conv_id == 2] == [(2, "turns", None)]
+
+
+# 10
+
+
+@pytest.fixture(scope="module")
+def encoding():
+    with open(tokens.RANKS, "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    return tiktoken.Encoding("own", pat_str=r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", mergeable_ranks=ranks, special_tokens={})
+
+
+PIECES = ["'s", "'re", "'ll", "'ve", "'", " ", "  ", "\n", "\t", "the", "aaa", "Über", "é", "12", "3", "!!", "...", "'t", "日本", "😀", "ing", "re", "x", " ", "<|endoftext|>"]
+
+
+def test_every_prefix_is_counted_exactly(encoding):
+    counter, source = tokens.PrefixCounter.load(tokens.RANKS), random.Random(10)
+    for _ in range(150):
+        texts = ["".join(source.choices(PIECES, k=source.randint(0, 14))) for _ in range(3)]
+        counts, chars = tokens.prefix_counts(*buffers(pa.array(texts)), counter)
+        for k, t in enumerate(texts):
+            assert counts[chars[k] : chars[k + 1]].tolist() == [len(encoding.encode_ordinary(t[: i + 1])) for i in range(len(t))]
+
+
+def test_budgets(spark, encoding):
+    made = [(1, "the cat  isn't here, " * 30), (2, None), (3, ""), (None, "x"), (4, "a" * 3000), (1, "twice")]
+    frame = spark.createDataFrame(made, "doc_id long, text string").withColumns({"prefix": F.lit(1), "n_tokens": F.lit(2)})
+    out = tokens.token_prefixes(frame, budgets=(7, 50))
+    read = out.withColumn("at", tokens.tokens_at(F.col("prefix"), F.lit(9))).withColumn("fit", tokens.longest_within(F.col("prefix"), F.lit(7))).collect()
+    for r, (i, t) in zip(sorted(read, key=lambda r: (r.doc_id or 0, r.n_tokens or 0)), sorted(made, key=lambda m: (m[0] or 0, len(encoding.encode_ordinary(m[1] or ""))))):
+        if t is None:
+            assert (r.n_tokens, r.fit_7, r.prefix, r["at"]) == (None, None, None, None)
+            continue
+        count = [len(encoding.encode_ordinary(t[:k])) for k in range(len(t) + 1)]
+        assert (r.doc_id, r.n_tokens, r.fit_7, r.fit_50) == (i, count[-1], max(k for k, c in enumerate(count) if c <= 7), max(k for k, c in enumerate(count) if c <= 50))
+        assert r["at"] == count[min(9, len(t))] and r.fit == r.fit_7
+    assert tokens.token_prefixes(frame.limit(0)).count() == 0
