@@ -46,7 +46,7 @@ def _hashes(values: list[str]) -> np.ndarray:
 def _scores(counts: dict[str, dict[str, float]], langs: list[str], keep: int | None = None, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and the log frequency of each in each language, with half an occurrence added."""
     names = sorted({w for lang in langs for w, n in sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:keep] if n >= least})
-    table = np.array([[counts[lang].get(w, 0) for lang in langs] for w in names], float).reshape(-1, len(langs))
+    table = np.array([[counts[lang].get(w, 0) for lang in langs] for w in names], float).reshape(len(names), len(langs))
     total = np.array([sum(counts[lang].values()) for lang in langs]) + 0.5 * max(1, len(names))
     hashes = _hashes(names)
     order = np.argsort(hashes)
