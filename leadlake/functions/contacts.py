@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ _SEP = r"[ \t\-./()]*"
 PHONE = rf"(?<!\d)((?:\+\d{{1,3}}|00\d{{1,3}}){_SEP}(?: *\d{_SEP}){{6,14}}|0\d{{1,4}}{_SEP}(?:\d{_SEP}){{5,11}})(?![\d\-])"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body, or a lambda in it, uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def clipped(mail: Column) -> Column:
     """Cuts a following word in capitals off the last label: x@y.comOUR is x@y.com."""
     return F.regexp_replace(mail, r"^([^@]*@.*\.[^.A-Z]{2,})[A-Z][^.]*$", "$1")
@@ -73,7 +80,7 @@ def script_emails(html: Column) -> Column:
 
 def mailto_emails(html: Column) -> Column:
     found = F.regexp_extract_all(html, F.lit(r"(?i)(?:href=[\"']mailto:|data-e?mail=[\"'])\s*([^\"'?]*)"), F.lit(1))
-    return filter_emails(F.filter(F.transform(found, F.trim), lambda m: m.rlike(EMAIL)))
+    return filter_emails(F.filter(F.transform(found, lambda x: F.trim(x)), lambda m: m.rlike(EMAIL)))
 
 
 def attribute_emails(html: Column) -> Column:
@@ -88,7 +95,7 @@ def merged_emails(text: Column, html: Column) -> Column:
     inner = F.replace(F.replace(F.replace(F.replace(inner, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
     lists = [text_emails(text), mailto_emails(page), split_emails(page), obfuscated_emails(text), cloudflare_emails(page), attribute_emails(page), script_emails(page), text_emails(inner), mailto_emails(inner)]
     every = F.array_distinct(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists)))
-    return F.filter(every, lambda m: ~(m.rlike(r"^\d{1,3}[^\d@]") & F.array_contains(every, F.regexp_replace(m, r"^\d{1,3}", ""))))
+    return let(every, lambda mails: F.filter(mails, lambda m: ~(m.rlike(r"^\d{1,3}[^\d@]") & F.array_contains(mails, F.regexp_replace(m, r"^\d{1,3}", "")))))
 
 
 def stripped_phone(phone: Column) -> Column:
@@ -113,12 +120,11 @@ def text_phones(text: Column) -> Column:
         refused = p.rlike(r"^\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4}$") | p.rlike(r"\d{1,2}[./\-]\d{1,2}[./\-](19|20)\d{2}") | p.rlike(r"^\d+\.\d+$") | digits.rlike(r"^(19|20)\d{2}") | p.rlike(r"^\d+\.\d+\.\d+\.\d+$") | (p.rlike(r"^00\d") & p.rlike(r"\d\.\d{3}(\D|$)"))
         return F.length(digits).between(7, 15) & ~refused & stripped_phone(p).rlike(r"^[+0]")
 
-    kept = F.filter(shown, good)
     form = lambda p: canonical_phone(stripped_phone(p))
     whole = lambda p: stripped_phone(p).startswith("+")
 
-    def best(key: Column) -> Column:
+    def best(kept: Column, key: Column) -> Column:
         own = F.filter(kept, lambda p: form(p) == key)
         return F.coalesce(F.get(F.filter(own, whole), F.lit(0)), F.get(own, F.lit(0)))
 
-    return F.transform(F.array_distinct(F.transform(kept, form)), best)
+    return let(F.filter(shown, good), lambda kept: F.transform(F.array_distinct(F.transform(kept, form)), lambda key: best(kept, key)))

@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadlake.functions import gazetteer
+from leadlake.functions.contacts import let
 
 ENTITIES = {"amp": "&", "apos": "'", "bdquo": "„", "gt": ">", "hellip": "…", "laquo": "«", "ldquo": "“", "lsquo": "‘", "lt": "<", "mdash": "—", "nbsp": " ", "ndash": "–", "quot": '"', "raquo": "»", "rdquo": "”", "rsquo": "’"}
 
@@ -131,19 +132,24 @@ def location_signal(text: Column, location: Column, address: bool = False) -> Co
     In an address, places behind a settlement mark are trusted before any other.
     """
     hay = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")
-    good = acceptable_places(location)
-    hit = F.get(F.filter(good, lambda p: contains_stem(hay, p)), F.lit(0))
     known = F.array(*(F.lit(t.lower()) for t in gazetteer.TOWNS))
     strict = F.array(*(F.lit(t) for t in gazetteer.TOWNS if len(t) >= 4 and t.lower() not in gazetteer.AMBIGUOUS))
     result = lambda kind, found: F.struct(F.lit(kind).alias("kind"), found.alias("found"))
-    other = F.get(F.filter(strict, lambda t: ~F.array_contains(good, F.lower(t)) & contains_exact(hay, F.lower(t))), F.lit(0))
-    out = F.when((F.trim(hay) == "") | (location_name(location) == ""), result("unknown", F.lit(None).cast("string"))).when(hit.isNotNull(), result("match", hit))
-    if address:
-        marked = marked_settlements(F.coalesce(text, F.lit("")))
-        fits = F.get(F.filter(marked, lambda m: F.array_contains(good, F.lower(m))), F.lit(0))
-        clash = F.get(F.filter(marked, lambda m: F.array_contains(known, F.lower(m)) & ~F.array_contains(good, F.lower(m))), F.lit(0))
-        out = out.when(fits.isNotNull(), result("match", F.lower(fits))).when(clash.isNotNull(), result("conflict", clash))
-    return out.when(other.isNotNull(), result("conflict", other)).otherwise(result("unknown", F.lit(None).cast("string")))
+    none = F.lit(None).cast("string")
+
+    def told(v: Column) -> Column:
+        hay, good = v["hay"], v["good"]
+        hit = F.get(F.filter(good, lambda p: contains_stem(hay, p)), F.lit(0))
+        other = F.get(F.filter(strict, lambda t: ~F.array_contains(good, F.lower(t)) & contains_exact(hay, F.lower(t))), F.lit(0))
+        out = F.when((F.trim(hay) == "") | (location_name(location) == ""), result("unknown", none)).when(hit.isNotNull(), result("match", hit))
+        if address:
+            marked = marked_settlements(F.coalesce(text, F.lit("")))
+            fits = F.get(F.filter(marked, lambda m: F.array_contains(good, F.lower(m))), F.lit(0))
+            clash = F.get(F.filter(marked, lambda m: F.array_contains(known, F.lower(m)) & ~F.array_contains(good, F.lower(m))), F.lit(0))
+            out = out.when(fits.isNotNull(), result("match", F.lower(fits))).when(clash.isNotNull(), result("conflict", clash))
+        return out.when(other.isNotNull(), result("conflict", other)).otherwise(result("unknown", none))
+
+    return let(F.struct(hay.alias("hay"), acceptable_places(location).alias("good")), told)
 
 
 def address_tokens(text: Column) -> Column:

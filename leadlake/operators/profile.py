@@ -31,7 +31,7 @@ def company_name(facts: Column, url: Column) -> Column:
     """og:site_name, else a part of the title, else the alternative text of a logo, else the domain."""
     good = lambda s: (s != "") & ~s.rlike(GENERIC_NAME)
     site = meta(facts, "og:site_name")
-    title = F.get(F.filter(F.transform(F.split(facts["title"], r"[|\-–]"), F.trim), good), F.lit(0))
+    title = F.get(F.filter(F.transform(F.split(facts["title"], r"[|\-–]"), lambda x: F.trim(x)), good), F.lit(0))
     alts = F.transform(F.filter(facts["images"], lambda i: i["logo"] | F.lower(i["marks"]).contains("logo") | i["header"]), lambda i: F.trim(F.split(i["alt"], r"[|\-–]")[0]))
     logo = F.get(F.filter(alts, lambda a: good(a) & F.length(a).between(2, 80) & ~a.rlike(r"(?i)^(?:banner|icon|image|img|(?:company |header |site )?logo)$|\s(?:icon|logo)$|\.(?:gif|ico|jpg|png|svg|webp)$")), F.lit(0))
     return F.coalesce(F.when(good(site), site), title, logo, text.name_of_domain(urls.bare_host(url)))
@@ -95,8 +95,12 @@ def social_links(facts: Column) -> Column:
     """platform: profile, the first found of each."""
     refs = F.concat(F.transform(facts["anchors"], lambda a: a["href"]), F.transform(facts["links"], lambda x: x["href"]), F.filter(F.array(meta(facts, "og:url"), meta(facts, "article:publisher")), lambda x: x.isNotNull()))
     found = F.filter(F.transform(refs, urls.social_profile), lambda s: s.isNotNull())
-    names = F.array_distinct(F.transform(found, lambda s: s["platform"]))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.get(F.filter(found, lambda s: s["platform"] == n), F.lit(0))["url"]))
+
+    def first(found: Column) -> Column:
+        names = F.array_distinct(F.transform(found, lambda s: s["platform"]))
+        return F.map_from_arrays(names, F.transform(names, lambda n: F.get(F.filter(found, lambda s: s["platform"] == n), F.lit(0))["url"]))
+
+    return contacts.let(found, first)
 
 
 def logo_urls(facts: Column, base: Column) -> Column:
@@ -120,7 +124,7 @@ def postal_location(facts: Column) -> Column:
     fine = lambda a: (F.length(a) >= 5) & ~text.looks_like_css(a) & ~text.looks_like_timeline(a) & ~text.looks_like_banner(a)
     element = F.get(F.filter(F.transform(facts["addresses"], text.clean_address), fine), F.lit(0))
     json = F.transform(facts["jsonld"], lambda j: F.concat_ws(", ", F.nullif(F.regexp_extract(j, r'"streetAddress"\s*:\s*"([^"]*)"', 1), F.lit("")), F.nullif(F.regexp_extract(j, r'"postalCode"\s*:\s*"([^"]*)"', 1), F.lit("")), F.nullif(F.regexp_extract(j, r'"addressLocality"\s*:\s*"([^"]*)"', 1), F.lit(""))))
-    lines = F.filter(F.transform(F.split(facts["text"], "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(facts["text"], "\n"), lambda x: F.trim(x)), lambda x: x != "")
     street = F.transform(F.filter(lines, lambda x: (text.address_score(x) >= 40) & (F.length(x) < 200) & fine(x)), text.clean_address)
     return F.coalesce(element, F.get(F.filter(json, lambda j: j != ""), F.lit(0)), F.get(street, F.lit(0)))
 
@@ -148,11 +152,14 @@ def team(facts: Column) -> Column:
     role_of = lambda after: F.when(after.rlike(ROLES), F.regexp_extract(after, r"^([^,.;|]{2,60})", 1))
     headed = F.transform(F.filter(facts["headings"], lambda h: person(h["text"]) & h["after"].rlike(ROLES)), lambda h: member(h["text"], role_of(h["after"])))
     carded = F.transform(F.filter(facts["blocks"], lambda b: b["title"].isNotNull() & b["classes"].rlike("member|person|team") & person(b["title"])), lambda b: member(b["title"], F.lit(None).cast("string")))
-    lines = F.filter(F.transform(F.split(facts["text"], "\n"), F.trim), lambda x: x.rlike(r"^[^:]{2,40}:\s*\p{Lu}") & x.rlike(ROLES))
+    lines = F.filter(F.transform(F.split(facts["text"], "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^[^:]{2,40}:\s*\p{Lu}") & x.rlike(ROLES))
     said = F.filter(F.transform(lines, lambda x: member(F.trim(F.regexp_extract(x, r":\s*(.*)$", 1)), F.trim(F.regexp_extract(x, "^([^:]*)", 1)))), lambda m: person(m["name"]))
-    every = F.concat(headed, said, carded)
-    names = F.array_distinct(F.transform(every, lambda m: m["name"]))
-    return F.slice(F.transform(names, lambda n: F.get(F.filter(every, lambda m: m["name"] == n), F.lit(0))), 1, 50)
+
+    def first(every: Column) -> Column:
+        names = F.array_distinct(F.transform(every, lambda m: m["name"]))
+        return F.slice(F.transform(names, lambda n: F.get(F.filter(every, lambda m: m["name"] == n), F.lit(0))), 1, 50)
+
+    return contacts.let(F.concat(headed, said, carded), first)
 
 
 def history(facts: Column, url: Column) -> Column:
