@@ -78,8 +78,9 @@ def train(labelled: DataFrame, docs_per_language: int = TRAIN_DOCS) -> Model:
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
     words = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD_RE), F.lit(0))).alias("word"))
     counts: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
-    for lang, word, n in words.groupBy("lang", "word").count().collect():
-        counts[lang][word] = n
+    for part in words.groupBy("lang", "word").count().toArrow().to_batches():
+        for lang, word, n in zip(*(c.to_pylist() for c in part.columns)):
+            counts[lang][word] = n
     return fit(counts)
 
 

@@ -3,7 +3,7 @@
 import corpus_pipeline
 from leadlake.llm import langid, neardup
 
-from test_operators import DOCS, brute_lines, brute_spans, groups_of, signatures, words
+from test_corpus_operators import DOCS, brute_lines, brute_spans, groups_of, signatures, words
 
 
 def own(k, n):
