@@ -22,9 +22,11 @@ TRAIN_DOCS = 2000
 ROUNDS = 150
 RIDGE = 1e-3
 OWN = 9
-#: Features of the line before and the one after that a line looks at: all but the constant.
-FEATURES = OWN + 2 * (OWN - 1)
-GOOD = 0.5
+#: A line looks at the features of the one before and the one after too; their constant says that there is one.
+FEATURES = 3 * OWN
+#: A line is good, and a document worth keeping, from here on. Bad documents gather near 0 and good ones above a half, so
+#: the bar for documents stands where few of either are.
+GOOD, KEEP = 0.5, 0.3
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,8 +60,8 @@ def features(raw: np.ndarray, folded: np.ndarray, cuts: np.ndarray, row: np.ndar
     out = np.zeros((n, FEATURES))
     out[:, :OWN] = own
     same = row[1:] == row[:-1]
-    out[1:, OWN : 2 * OWN - 1] = own[:-1, 1:] * same[:, None]
-    out[:-1, 2 * OWN - 1 :] = own[1:, 1:] * same[:, None]
+    out[1:, OWN : 2 * OWN] = own[:-1] * same[:, None]
+    out[:-1, 2 * OWN :] = own[1:] * same[:, None]
     return out, np.maximum(chars - (raw[cuts[1:] - 1] == 10), 0).astype(float)
 
 
@@ -166,10 +168,10 @@ def _judge(held):
 
 
 def score_quality(docs: DataFrame, field: Field) -> DataFrame:
-    """(doc_id, quality, lines, good_lines) for every row: the length-weighted mean probability that a line is good.
+    """(doc_id, quality, lines, good_lines, keep) for every row: the length-weighted mean probability that a line is good.
 
-    A null or empty text, or one of line breaks only, has quality null. Repeated rows are each scored, a null doc_id stays
+    A null or empty text, or one of line breaks only, has quality and keep null. Repeated rows are each scored, a null doc_id stays
     null, an empty table gives no row, other columns aren't read. One narrow pass over whole texts.
     """
     held = docs.sparkSession.sparkContext.broadcast(field)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_judge(held), "doc_id long, quality double, lines long, good_lines long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_judge(held), "doc_id long, quality double, lines long, good_lines long").withColumn("keep", F.col("quality") >= KEEP)
