@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+EMAIL = r"[-+%._0-9A-Za-z]+@[-.0-9A-Za-z]+\.[A-Za-z]{2,}"
 JUNK_PARTS = "donotreply git@ no-reply noreply open@ recipient@ reply@ sender@ u003e user1@ user2@".split()
 JUNK_DOMAINS = "cluster.mongodb.net company.com demo.com domain.com email.com example.bg example.com example.org mail.com mailserver.com mysite.com placeholder.com sampleemail.com sentry.io test.com website.com yourcompany.com yourdomain.com yoursite.com yourwebsite.com".split()
 FILE_ENDINGS = "bmp css csv doc docx gif gz htm html ico jpeg jpg js json mp3 mp4 pdf png svg tar tif tiff txt webp xls xlsx xml zip".split()
 #: Separators inside a phone number; a line break is none.
 _SEP = r"[ \t\-./()]*"
-PHONE = rf"(?<!\d)((?:\+\d{{1,3}}|00\d{{1,3}}){_SEP}(?: *\d{_SEP}){{6,14}}|0\d{{1,4}}{_SEP}(?:\d{_SEP}){{5,11}})(?![\d\-])"
+PHONE = rf"(?<![0-9])((?:\+|00)[0-9]{{1,3}}{_SEP}(?: *\d{_SEP}){{6,14}}|0\d{{1,4}}{_SEP}(?:\d{_SEP}){{5,11}})(?![\d\-])"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -46,17 +46,21 @@ def text_emails(text: Column) -> Column:
 
 def split_emails(html: Column) -> Column:
     """Addresses whose name and domain have tags or white space between them."""
-    joined = F.regexp_extract_all(html, F.lit(r"([a-zA-Z0-9._%+\-]+@(?:<[^>]*>\s*|\s)+[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,})"), F.lit(1))
+    joined = F.regexp_extract_all(html, F.lit(r"([-+%._0-9A-Za-z]+@(?:\s|<[^>]*>\s*)+[-.0-9A-Za-z]+\.[A-Za-z]{2,})"), F.lit(1))
     return filter_emails(F.transform(joined, lambda m: F.regexp_replace(m, r"<[^>]*>|\s", "")))
 
 
+def _bracketed(word: str) -> str:
+    return "(?i)" + "|".join(rf"\{a}\s*{word}\s*\{b}" for a, b in ("()", "[]", "{}"))
+
+
 def obfuscated_emails(text: Column) -> Column:
     """After undoing "[at]", "(dot)" and spaces around @ and the dots of the domain."""
-    out = F.regexp_replace(text, r"(?i)\[\s*at\s*\]|\(\s*at\s*\)|\{\s*at\s*\}", "@")
-    out = F.regexp_replace(out, r"(?i)\[\s*dot\s*\]|\(\s*dot\s*\)|\{\s*dot\s*\}", ".")
-    out = F.regexp_replace(out, r"([a-zA-Z0-9._%+\-])\s+@\s+([a-zA-Z0-9])", "$1@$2")
+    out = F.regexp_replace(text, _bracketed("at"), "@")
+    out = F.regexp_replace(out, _bracketed("dot"), ".")
+    out = F.regexp_replace(out, r"([-+%._0-9A-Za-z])\s+@\s+([0-9A-Za-z])", "$1@$2")
     for _ in range(2):
-        out = F.regexp_replace(out, r"(@[a-zA-Z0-9\-]+(?:\.[a-zA-Z0-9\-]+)*)\s+\.\s+([a-zA-Z]{2,})", "$1.$2")
+        out = F.regexp_replace(out, r"(@[-0-9A-Za-z]+(?:\.[-0-9A-Za-z]+)*)\s+\.\s+([A-Za-z]{2,})", "$1.$2")
     return text_emails(out)
 
 
@@ -117,7 +121,7 @@ def text_phones(text: Column) -> Column:
 
     def good(p: Column) -> Column:
         digits = F.regexp_replace(p, r"\D", "")
-        refused = p.rlike(r"^\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4}$") | p.rlike(r"\d{1,2}[./\-]\d{1,2}[./\-](19|20)\d{2}") | p.rlike(r"^\d+\.\d+$") | digits.rlike(r"^(19|20)\d{2}") | p.rlike(r"^\d+\.\d+\.\d+\.\d+$") | (p.rlike(r"^00\d") & p.rlike(r"\d\.\d{3}(\D|$)"))
+        refused = p.rlike(r"^(?:[0-9]{1,2}[-./]){2}[0-9]{2,4}$") | p.rlike(r"(?:[0-9]{1,2}[-./]){2}(?:20|19)[0-9]{2}") | p.rlike(r"^\d+\.\d+$") | digits.rlike(r"^(19|20)\d{2}") | p.rlike(r"^(?:[0-9]+\.){3}[0-9]+$") | (p.rlike(r"^00\d") & p.rlike(r"\d\.\d{3}(\D|$)"))
         return F.length(digits).between(7, 15) & ~refused & stripped_phone(p).rlike(r"^[+0]")
 
     form = lambda p: canonical_phone(stripped_phone(p))

@@ -23,7 +23,7 @@ def squeezed(text: Column) -> Column:
 
 def clean_search_text(raw: Column) -> Column:
     """Text of a marked-up snippet: block tags are a space, inline tags nothing, entities characters; null if empty."""
-    out = F.regexp_replace(raw, r"(?i)<br\s*/?>|</(?:p|div|li|tr|td|h[1-6])>", " ")
+    out = F.regexp_replace(raw, r"(?i)<br\s*/?>|</(?:div|h[1-6]|li|p|td|tr)>", " ")
     out = F.regexp_replace(out, r"<[^>]*>", "")
 
     def code(text: Column, pattern: str, base: int) -> Column:
@@ -73,8 +73,8 @@ def discovery_key(persona: Column, location: Column, keywords: Column) -> Column
 
 def location_name(raw: Column) -> Column:
     out = F.regexp_replace(F.lower(raw), "[„“\"'`]", "")
-    out = F.regexp_replace(out, r"^\s*(?:област|обл\.|oblast)\s+", "")
-    out = F.regexp_replace(out, r"^\s*(?:гр\.|гр\s|град\s|с\.|село\s)\s*", "")
+    out = F.regexp_replace(out, r"^\s*(?:oblast|обл(?:аст|\.))\s+", "")
+    out = F.regexp_replace(out, r"^\s*(?:с\.|село\s|град\s|гр[.\s])\s*", "")
     return squeezed(out)
 
 
@@ -113,7 +113,7 @@ def contains_stem(text: Column, name: Column) -> Column:
 
 
 def marked_settlements(address: Column) -> Column:
-    return F.regexp_extract_all(address, F.lit(r"(?:^|[\s,;(])(?:гр\.|град|с\.|село|общ\.|община)\s*([А-ЯЁ][а-яё]+(?:\s+[А-ЯЁ][а-яё]+)?)"), F.lit(1))
+    return F.regexp_extract_all(address, F.lit(r"(?:[(;,\s]|^)(?:община|общ\.|село|с\.|град|гр\.)\s*([ЁА-Я][ёа-я]+(?:\s+[ЁА-Я][ёа-я]+)?)"), F.lit(1))
 
 
 def acceptable_places(location: Column) -> Column:
@@ -164,19 +164,19 @@ def address_similarity(a: Column, b: Column) -> Column:
 
 
 def looks_like_timeline(text: Column) -> Column:
-    years = F.size(F.regexp_extract_all(text, F.lit(r"(?<![0-9A-Za-z_])((?:19|20)\d{2})(?![0-9A-Za-z_])"), F.lit(1)))
-    return text.rlike(r"(?<![0-9A-Za-z_])(?:19|20)\d{2}[A-Za-zА-Яа-яЁё]") | ((F.length(text) >= 40) & (years >= 2))
+    years = F.size(F.regexp_extract_all(text, F.lit(r"(?<![0-9A-Za-z_])((?:20|19)[0-9]{2})(?![0-9A-Za-z_])"), F.lit(1)))
+    return text.rlike(r"(?<![0-9A-Za-z_])(?:20|19)[0-9]{2}[ЁёА-Яа-яA-Za-z]") | ((F.length(text) >= 40) & (years >= 2))
 
 
 def looks_like_css(text: Column) -> Column:
-    return text.rlike(r"(?i)[{}]|!important|:\s*#[0-9a-f]{3,6}|:\s*\d+px|rgba?\(|border|margin|padding|font-size|background")
+    return text.rlike(r"(?i)rgba?\(|background|border|font-size|margin|padding|!important|:\s*(?:#[a-f0-9]{3,6}|[0-9]+px)|[{}]")
 
 
 def looks_like_banner(text: Column) -> Column:
     return text.rlike(r"(?i)^(?:apache|nginx|microsoft-iis)\b|server at .+ port \d+")
 
 
-_STREET = r"""(?iu)(?:ул|бул|пл|кв|ж\.к|жк)\.\s*["'«»“”]?\S|(?:blvd?|bul|str|ul)\.\s*["'«»“”]?[A-Za-z0-9_]|\b(?:avenue|boulevard|drive|lane|plaza|road|street)\b|(?:address|headquarters?|адрес)\s*:|(?:office|офис)\s+\d|,\s*no\.\s*\d"""
+_STREET = r"""(?iu)(?:бул|ж\.?к|кв|пл|ул)\.\s*["'«»“”]?\S|(?:blvd?|bul|str|ul)\.\s*["'«»“”]?[A-Za-z0-9_]|\b(?:avenue|boulevard|drive|lane|plaza|road|street)\b|(?:address|headquarters?|адрес)\s*:|(?:office|офис)\s+\d|,\s*no\.\s*\d"""
 
 
 def address_score(text: Column, context: Column | None = None, company: Column | None = None, domain: Column | None = None) -> Column:
@@ -186,16 +186,16 @@ def address_score(text: Column, context: Column | None = None, company: Column |
     base = F.lower(F.split(F.coalesce(domain, F.lit("")), r"\.")[0]) if domain is not None else F.lit("")
     points = lambda test, n: F.when(test, n).otherwise(0)
     named = (company != "") & low.contains(F.lower(company))
-    total = points(text.rlike(_STREET), 40) + points(text.rlike(r"(?<![0-9])(?:[1-9]\d{3}|\d{5})(?![0-9])"), 20) + points(F.length(text) >= 15, 10) + points(low.rlike("address|contact|headquarter|location|office|адрес|контакт|офис|седалище"), 10)
+    total = points(text.rlike(_STREET), 40) + points(text.rlike(r"(?<!\d)(?:\d{5}|[1-9]\d{3})(?!\d)"), 20) + points(F.length(text) >= 15, 10) + points(low.rlike("address|contact|headquarter|location|office|адрес|контакт|офис|седалище"), 10)
     total = total + F.when(named, 10).when((F.length(base) >= 4) & low.contains(base), 5).otherwise(0)
-    bad = looks_like_timeline(text) | text.rlike(r"(?i)[{}]|!important|:\s*#[0-9a-f]{3,6}|rgba?\(") | text.rlike(r"\s·\s")
+    bad = looks_like_timeline(text) | text.rlike(r"(?i)rgba?\(|!important|:\s*#[a-f0-9]{3,6}|[{}]") | text.rlike(r"\s·\s")
     return F.when(text.isNull() | (F.length(text) < 5) | bad, 0).otherwise(total)
 
 
 def clean_address(raw: Column) -> Column:
     """Without label, map-widget buttons, tax numbers and navigation; the first of several forms."""
     out = F.regexp_replace(raw, r"(?iu)^\s*(?:address|адрес)\s*:\s*", "")
-    for pattern in (r"(?i)\s+Distance:.*$", r"(?i)\s+(?:(?:get\s+)?directions?|(?:open|show|view)(?:\s+on)?\s+map)\b.*$", r"\s+ИН\s*:\s*\d+.*$", r"(?i)\s+contacts?\b.*$"):
+    for pattern in (r"(?i)\s+Distance:.*$", r"(?i)\s+(?:(?:get\s+)?directions?|(?:open|show|view)(?:\s+on)?\s+map)\b.*$", r"\s+ИН\s*:\s*[0-9].*$", r"(?i)\s+contacts?\b.*$"):
         out = F.regexp_replace(out, pattern, "")
     out = F.trim(out)
     out = F.when(F.instr(out, " | ") > 1, F.trim(F.substring_index(out, " | ", 1))).otherwise(out)
@@ -280,7 +280,7 @@ def truncated(text: Column, half: int = 4000, mark: str = "\n…\n") -> Column:
 
 
 def looks_like_history(text: Column) -> Column:
-    signs = (r"(?i)\b(?:began|created|established|founded|incorporated|launched|started)\b", r"(?i)\b(?:in|since)\s+(?:19|20)\d{2}\b", "(?iu)(?:основан|създаден)[аео]", r"(?iu)(?:19|20)\d{2}\s*(?:г|год)", "(?iu)история", r"(?iu)от\s+(?:19|20)\d{2}")
+    signs = (r"(?i)\b(?:began|created|established|founded|incorporated|launched|started)\b", r"(?i)\b(?:in|since)\s+(?:20|19)[0-9]{2}\b", "(?iu)(?:основан|създаден)[аео]", r"(?iu)(?:20|19)[0-9]{2}\s*г", "(?iu)история", r"(?iu)от\s+(?:20|19)[0-9]{2}")
     return (F.length(text) >= 30) & reduce(lambda a, b: a | b, (text.rlike(s) for s in signs))
 
 
@@ -301,4 +301,4 @@ def csv_cell(value: Column) -> Column:
 
 
 def safe_filename(name: Column) -> Column:
-    return F.regexp_replace(name, r"[^\p{L}\p{N}._-]", "_")
+    return F.regexp_replace(name, r"[^-._\p{N}\p{L}]", "_")

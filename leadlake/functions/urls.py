@@ -73,7 +73,7 @@ def raw_domain(raw: Column) -> Column:
 
 def platform_host(raw: Column) -> Column:
     """Host without any of the generic first labels, however many."""
-    return F.regexp_replace(host(F.when(raw.startswith("http"), raw).otherwise(F.concat(F.lit("https://"), raw))), r"^(?:(?:www|m|l|lm|web|mobile|business)\.)+", "")
+    return F.regexp_replace(host(F.when(raw.startswith("http"), raw).otherwise(F.concat(F.lit("https://"), raw))), r"^(?:(?:business|l|lm|m|mobile|web|www)\.)+", "")
 
 
 def is_platform(raw: Column) -> Column:
@@ -127,7 +127,7 @@ def social_profile(url: Column) -> Column:
     under = lambda site, *rest: F.concat(F.lit(f"https://{site}/"), *rest)
     facebook = (
         F.when(first.isin(_REFUSED["facebook"]), None)
-        .when(first == "profile.php", F.concat(F.lit("https://www.facebook.com/profile.php?id="), ident))
+        .when(first == "profile.php", under("www.facebook.com", F.lit("profile.php?id="), ident))
         .when(first == "pages", F.when(n >= 3, under("www.facebook.com", F.lit("pages/"), two, F.lit("/"), three)))
         .when(first.rlike(r"^\d+$"), None)
         .otherwise(under("www.facebook.com", first))

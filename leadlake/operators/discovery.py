@@ -89,7 +89,7 @@ _ELSEWHERE = r"(?i)\b(?:associates and relatives|currently lives|home address|re
 
 def address_from_hits(companies: DataFrame, hits: DataFrame) -> DataFrame:
     """(domain, address, source, score, others): the site's own address if it scores at all, else the best fragment of the hits."""
-    parts = F.filter(F.transform(F.split(F.concat_ws("\n", "title", "snippet"), r"[\n\r|·…]|\.{3,}"), lambda f: text.clean_address(F.trim(f))), lambda f: F.length(f).between(5, 199) & ~f.rlike(_ELSEWHERE) & ~text.looks_like_timeline(f))
+    parts = F.filter(F.transform(F.split(F.concat_ws("\n", "title", "snippet"), r"\.\.\.+|[|·…\r\n]"), lambda f: text.clean_address(F.trim(f))), lambda f: F.length(f).between(5, 199) & ~f.rlike(_ELSEWHERE) & ~text.looks_like_timeline(f))
     context = F.concat_ws("\n", "title", "snippet")
     scored = hits.join(companies.select("domain", "name"), "domain").select("domain", "rank", "name", context.alias("_c"), F.posexplode(parts).alias("_p", "_f")).withColumn("_s", text.address_score(F.col("_f"), F.col("_c"), F.col("name"), F.col("domain"))).where("_s >= 50")
     listed = scored.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct((-F.col("_s")).alias("s"), "rank", "_p", F.col("_f").alias("f")))).alias("_a"))
@@ -113,7 +113,7 @@ def logo_text_name(raw: Column) -> Column:
     def points(t: Column) -> Column:
         plus = lambda test, n: F.when(test, n).otherwise(0)
         none = (F.length(t) < 2) | t.rlike(_LOGO_GENERIC) | t.rlike(r"^(?:https?|www\.|[0-9]+$)") | ~t.rlike(r"[a-zA-Z\x{400}-\x{4FF}]") | (t.rlike("[.!?,]$") & (F.length(t) > 30))
-        total = F.lit(40) + plus((t == F.upper(t)) & (F.length(t) > 2), 25) + plus(F.length(t).between(3, 35), 15) + plus(t.rlike(r"^\p{Lu}[\p{Ll}\p{Lo}]+(?:\s\p{Lu}[\p{Ll}\p{Lo}]+)*$"), 10) + plus(t.rlike(r"(?i)\b(?:ad|bv|corp|eood|gmbh|inc|jsc|ltd|nv|ood|srl)\b"), 10) - plus(F.length(t) > 40, 20)
+        total = F.lit(40) + plus((t == F.upper(t)) & (F.length(t) > 2), 25) + plus(F.length(t).between(3, 35), 15) + plus(t.rlike(r"^(?:\p{Lu}(?:\p{Lo}|\p{Ll})+(?:\s(?=\p{Lu})|$))+$"), 10) + plus(t.rlike(r"(?i)\b(?:ad|bv|corp|eood|gmbh|inc|jsc|ltd|nv|ood|srl)\b"), 10) - plus(F.length(t) > 40, 20)
         return F.when(none, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), total)))
 
     lines = F.filter(F.transform(F.split(raw, "\n"), lambda x: F.trim(x)), lambda t: F.length(t) > 1)

@@ -165,7 +165,7 @@ def team(facts: Column) -> Column:
 def history(facts: Column, url: Column) -> Column:
     """What follows a heading about the past, or on an about page a paragraph that tells of it."""
     heads = F.filter(facts["headings"], lambda h: (h["level"] <= 4) & F.lower(h["text"]).rlike("(?iu)establish|found(?:ed|ing)|histor|journey|mileston|our story|(?:brand|company) story|timeline|история|основаване") & text.looks_like_history(h["after"]))
-    about = url.rlike("(?iu)/(?:about|about-us|history|story|за-нас|история)(?:[/?#]|$)")
+    about = url.rlike("(?iu)/(?:about(?:-us)?|story|history|история|за-нас)(?:$|[#/?])")
     told = F.filter(F.transform(facts["paragraphs"], text.squeezed), text.looks_like_history)
     return F.coalesce(F.get(heads, F.lit(0))["after"], F.when(about, F.get(told, F.lit(0))))
 
@@ -218,7 +218,7 @@ def type_from_content(facts: Column, least: int | Column = 30) -> Column:
     head = F.concat_ws(" ", title, F.lower(F.get(heads, F.lit(0))["text"]))
     points = lambda test, n: F.when(F.coalesce(test, F.lit(False)), n).otherwise(0)
     distinct = lambda pattern: F.size(F.array_distinct(F.regexp_extract_all(body, F.lit(f"({pattern})"), F.lit(1))))
-    mails, phones = distinct(contacts.EMAIL), distinct(r"0[789]\d{2}[\s\-.]?\d{3}[\s\-.]?\d{3}|(?:\+|00)359\d{2}[\s\-.]?\d{3}[\s\-.]?\d{3}|\d{3,5}[\s\-]\d{3,6}")
+    mails, phones = distinct(contacts.EMAIL), distinct(r"(?:0[7-9][0-9]{2}|(?:\+|00)359[0-9]{2})(?:[-.\s]?[0-9]{3}){2}|[0-9]{3,5}[-\s][0-9]{3,6}")
     many, some = (mails >= 5) | (phones >= 5), (mails >= 2) & (phones >= 2)
     n_muni = _hits(body, _SIGNALS["muni"])
     muni = points(_hits(head, _SIGNALS["muni"]) > 0, 70) + F.when(n_muni >= 2, n_muni * 20).otherwise(0)

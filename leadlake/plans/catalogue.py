@@ -84,7 +84,7 @@ _LIST = lambda names: ", ".join(f"'{n}'" for n in names)
 
 @query(
     "WITH raw AS (SELECT url AS site FROM pages UNION ALL SELECT site FROM " + _values("site", *_SITES) + r"), full_ AS (SELECT site, CASE WHEN starts_with(site, 'http') THEN site ELSE 'https://' || site END AS u FROM raw), "
-    + r"named AS (SELECT site, " + _PATH.replace("{u}", "u") + r" AS path, regexp_replace(" + _HOST.replace("{u}", "u") + r", '^(?:(?:www|m|l|lm|web|mobile|business)\.)+', '') AS h FROM full_), "
+    + r"named AS (SELECT site, " + _PATH.replace("{u}", "u") + r" AS path, regexp_replace(" + _HOST.replace("{u}", "u") + r", '^(?:(?:business|l|lm|m|mobile|web|www)\.)+', '') AS h FROM full_), "
     + "hit AS (SELECT *, h IN (" + _LIST(urls.PLATFORMS) + r") OR regexp_replace(h, '^[^.]*\.', '') IN (" + _LIST(urls.PLATFORMS) + ") AS p FROM named) "
     + "SELECT site, h AS host, CASE WHEN NOT p THEN 'CRAWLABLE' WHEN regexp_replace(path, '/+$', '') <> '' THEN 'SOCIAL_PROFILE' ELSE 'NON_CRAWLABLE_PLATFORM' END AS crawlability FROM hit"
 )
@@ -108,7 +108,8 @@ def blocklist_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SOCIAL = [("https://www.linkedin.com/company/Acme-1/about",), ("https://linkedin.com/in/joe",), ("https://m.facebook.com/Acme.BG/",), ("https://facebook.com/profile.php?id=77",), ("https://facebook.com/pages/Acme/123",), ("https://facebook.com/12345",), ("https://facebook.com/events/1",), ("https://instagram.com/acme",), ("https://instagram.com/p/abc",), ("https://youtube.com/@acme",), ("https://youtube.com/channel/UC1",), ("https://youtube.com/watch?v=1",), ("https://x.com/acme_1",), ("https://twitter.com/intent/x",), ("https://example.com/a",), ("ftp://facebook.com/a",)]
-_SOCIAL_WANT = ["linkedin|https://www.linkedin.com/company/acme-1", None, "facebook|https://www.facebook.com/acme.bg", "facebook|https://www.facebook.com/profile.php?id=77", "facebook|https://www.facebook.com/pages/Acme/123", None, None, "instagram|https://www.instagram.com/acme", None, "youtube|https://www.youtube.com/@acme", "youtube|https://www.youtube.com/channel/UC1", None, "twitter|https://twitter.com/acme_1", None, None, None]
+_FB = "https://www.facebook.com/"
+_SOCIAL_WANT = ["linkedin|https://www.linkedin.com/company/acme-1", None, "facebook|https://www.facebook.com/acme.bg", "facebook|" + _FB + "profile.php?id=77", "facebook|https://www.facebook.com/pages/Acme/123", None, None, "instagram|https://www.instagram.com/acme", None, "youtube|https://www.youtube.com/@acme", "youtube|https://www.youtube.com/channel/UC1", None, "twitter|https://twitter.com/acme_1", None, None, None]
 
 
 @query("SELECT url, split_part(want, '|', 1) AS platform, split_part(want, '|', 2) AS profile FROM " + _values("url, want", *((u[0], w) for u, w in zip(_SOCIAL, _SOCIAL_WANT))))

@@ -13,7 +13,7 @@ from leadlake.sources import sinks, tables
 from leadlake.streaming import jobs
 
 PAGE = """<html><head><title>Начало | Acme Steel</title><meta name="description" content="We make steel parts for cranes and ships."><meta property="og:image" content="/og.png"></head>
-<body><header><a href="/"><img class="logo" src="/logo-acme.svg" alt="Acme"></a><nav><ul><li><a href="/about">About<li><a href="/news?page=2">News</a></ul></nav></header>
+<body><header><a href="/" class="home"><img class="logo" src="/logo-acme.svg" alt="Acme"></a><nav><ul><li><a href="/about">About<li><a href="/news?page=2">News</a></ul></nav></header>
 <h1>Acme</h1><p>one<p>two <b>bold</b><h2>Our services</h2><ul><li>Welding<li>Cutting</ul><h3>Maria Petrova</h3><div>Sales Manager, Sofia</div>
 <h2>Company history</h2><p>Acme was founded in 1994 by two engineers from Pernik.</p><address>ул. Шипка 12, 1504 София</address>
 <a href="https://www.facebook.com/acme">fb</a><a href="/contacts">Contact</a><script>var t="</p>";</script><p>call 0888 123 456 or office@acmesteel.bg</p></body></html>"""
