@@ -31,37 +31,34 @@ def filter_emails(mails: Column) -> Column:
 
     def good(mail: Column) -> Column:
         low, last = F.lower(mail), F.regexp_extract(mail, r"\.([a-zA-Z0-9]+)$", 1)
-        junk = F.lit(False)
-        for part in JUNK_PARTS:
-            junk = junk | low.contains(part)
-        junk = junk | F.regexp_extract(low, r"^[^@]*@(.*)$", 1).isin(JUNK_DOMAINS) | mail.rlike(r"^\d{4,}[^@]*@") | F.lower(last).isin(FILE_ENDINGS)
+        junk = low.rlike("|".join(JUNK_PARTS)) | F.regexp_extract(low, r"^[^@]*@(.*)$", 1).isin(JUNK_DOMAINS) | mail.rlike(r"^\d{4,}[^@]*@") | F.lower(last).isin(FILE_ENDINGS)
         return ~(junk | (last.rlike("[a-z]") & last.rlike("[A-Z]")))
 
     return F.array_distinct(F.filter(F.transform(mails, clipped), good))
 
 
-def text_emails(text: Column) -> Column:
-    return filter_emails(F.regexp_extract_all(text, F.lit(f"({EMAIL})"), F.lit(1)))
+def _raw_text(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({EMAIL})"), F.lit(1))
 
 
-def split_emails(html: Column) -> Column:
+def _raw_split(html: Column) -> Column:
     """Addresses whose name and domain have tags or white space between them."""
     joined = F.regexp_extract_all(html, F.lit(r"([-+%._0-9A-Za-z]+@(?:\s|<[^>]*>\s*)+[-.0-9A-Za-z]+\.[A-Za-z]{2,})"), F.lit(1))
-    return filter_emails(F.transform(joined, lambda m: F.regexp_replace(m, r"<[^>]*>|\s", "")))
+    return F.transform(joined, lambda m: F.regexp_replace(m, r"<[^>]*>|\s", ""))
 
 
 def _bracketed(word: str) -> str:
     return "(?i)" + "|".join(rf"\{a}\s*{word}\s*\{b}" for a, b in ("()", "[]", "{}"))
 
 
-def obfuscated_emails(text: Column) -> Column:
+def _raw_obfuscated(text: Column) -> Column:
     """After undoing "[at]", "(dot)" and spaces around @ and the dots of the domain."""
     out = F.regexp_replace(text, _bracketed("at"), "@")
     out = F.regexp_replace(out, _bracketed("dot"), ".")
     out = F.regexp_replace(out, r"([-+%._0-9A-Za-z])\s+@\s+([0-9A-Za-z])", "$1@$2")
     for _ in range(2):
         out = F.regexp_replace(out, r"(@[-0-9A-Za-z]+(?:\.[-0-9A-Za-z]+)*)\s+\.\s+([A-Za-z]{2,})", "$1.$2")
-    return text_emails(out)
+    return _raw_text(out)
 
 
 def decoded_cloudflare(code: Column) -> Column:
@@ -71,25 +68,53 @@ def decoded_cloudflare(code: Column) -> Column:
     return F.when((F.length(code) >= 4) & code.rlike("^[0-9a-fA-F]+$"), F.array_join(chars, ""))
 
 
-def cloudflare_emails(html: Column) -> Column:
+def _raw_cloudflare(html: Column) -> Column:
     codes = F.regexp_extract_all(html, F.lit(r"(?i)(?:data-cfemail=[\"']|/cdn-cgi/l/email-protection#)([0-9a-f]{4,})"), F.lit(1))
-    return filter_emails(F.filter(F.transform(codes, decoded_cloudflare), lambda m: m.rlike(f"^{EMAIL}$")))
+    return F.filter(F.transform(codes, decoded_cloudflare), lambda m: m.rlike(f"^{EMAIL}$"))
 
 
-def script_emails(html: Column) -> Column:
+def _raw_script(html: Column) -> Column:
     """Addresses put together in scripts from two strings and an @ between them."""
     whole = F.regexp_extract_all(html, F.lit(r"(?i)([\"'][a-z0-9._%+\-]+[\"']\s*\+\s*[\"'](?:@|&#64;)[\"']\s*\+\s*[\"'][a-z0-9.\-]+\.[a-z]{2,}[\"'])"), F.lit(1))
-    return filter_emails(F.transform(whole, lambda m: F.regexp_replace(F.replace(m, F.lit("&#64;"), F.lit("@")), r"[\"'+\s]", "")))
+    return F.transform(whole, lambda m: F.regexp_replace(F.replace(m, F.lit("&#64;"), F.lit("@")), r"[\"'+\s]", ""))
 
 
-def mailto_emails(html: Column) -> Column:
+def _raw_mailto(html: Column) -> Column:
     found = F.regexp_extract_all(html, F.lit(r"(?i)(?:href=[\"']mailto:|data-e?mail=[\"'])\s*([^\"'?]*)"), F.lit(1))
-    return filter_emails(F.filter(F.transform(found, lambda x: F.trim(x)), lambda m: m.rlike(EMAIL)))
+    return F.filter(F.transform(found, lambda x: F.trim(x)), lambda m: m.rlike(EMAIL))
 
 
-def attribute_emails(html: Column) -> Column:
+def _raw_attribute(html: Column) -> Column:
     values = F.regexp_extract_all(html, F.lit(r"(?i)\s(?:alt|title|aria-label|content|placeholder|value|data-[a-z\-]+)=[\"']([^\"']*@[^\"']*)"), F.lit(1))
-    return filter_emails(F.flatten(F.transform(values, lambda v: F.regexp_extract_all(v, F.lit(f"({EMAIL})"), F.lit(1)))))
+    return F.flatten(F.transform(values, lambda v: F.regexp_extract_all(v, F.lit(f"({EMAIL})"), F.lit(1))))
+
+
+def text_emails(text: Column) -> Column:
+    return filter_emails(_raw_text(text))
+
+
+def mailto_emails(html: Column) -> Column:
+    return filter_emails(_raw_mailto(html))
+
+
+def split_emails(html: Column) -> Column:
+    return filter_emails(_raw_split(html))
+
+
+def obfuscated_emails(text: Column) -> Column:
+    return filter_emails(_raw_obfuscated(text))
+
+
+def cloudflare_emails(html: Column) -> Column:
+    return filter_emails(_raw_cloudflare(html))
+
+
+def attribute_emails(html: Column) -> Column:
+    return filter_emails(_raw_attribute(html))
+
+
+def script_emails(html: Column) -> Column:
+    return filter_emails(_raw_script(html))
 
 
 def merged_emails(text: Column, html: Column) -> Column:
@@ -97,8 +122,8 @@ def merged_emails(text: Column, html: Column) -> Column:
     page = F.coalesce(html, F.lit(""))
     inner = F.array_join(F.regexp_extract_all(page, F.lit(r"(?is)<iframe[^>]*\bsrcdoc=\"([^\"]*)\""), F.lit(1)), " ")
     inner = F.replace(F.replace(F.replace(F.replace(inner, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
-    lists = [text_emails(text), mailto_emails(page), split_emails(page), obfuscated_emails(text), cloudflare_emails(page), attribute_emails(page), script_emails(page), text_emails(inner), mailto_emails(inner)]
-    every = F.array_distinct(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists)))
+    lists = [_raw_text(text), _raw_mailto(page), _raw_split(page), _raw_obfuscated(text), _raw_cloudflare(page), _raw_attribute(page), _raw_script(page), _raw_text(inner), _raw_mailto(inner)]
+    every = filter_emails(F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists)))
     return let(every, lambda mails: F.filter(mails, lambda m: ~(m.rlike(r"^\d{1,3}[^\d@]") & F.array_contains(mails, F.regexp_replace(m, r"^\d{1,3}", "")))))
 
 
