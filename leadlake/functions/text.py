@@ -57,7 +57,7 @@ PREFIXES = (
 def org_key(name: Column) -> Column:
     """A name as a key: lower case, without quotes and dashes, without the first kind-of-institution prefix that fits."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "[«»„“”\"'‘’\\-_]", " "), r"\s+", " "))
-    return F.trim(F.coalesce(*(F.when(plain.startswith(p + " "), F.substring(plain, len(p) + 2, 1 << 20)) for p in PREFIXES), plain))
+    return F.trim(F.regexp_replace(plain, "^(?:" + "|".join(PREFIXES) + ") ", ""))  # the first alternative that fits, in the order of the list
 
 
 def search_query(text: Column) -> Column:

@@ -15,7 +15,7 @@ def shared_keys(candidates: DataFrame) -> DataFrame:
     """(id, key) for each key that a candidate has; short names are no key."""
     some = lambda kind, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(kind + ":"), c))
     name = text.org_key(F.col("name"))
-    keys = F.array(some("d", F.lower("domain")), some("e", F.lower(F.trim("email"))), some("p", contacts.candidate_phone_key(F.col("phone"))), some("n", F.when(F.length(name) > 2, name)))
+    keys = F.array(some("d", F.lower("domain")), some("e", F.lower(F.trim("email"))), some("p", contacts.candidate_phone_key(F.col("phone"))), contacts.let(name, lambda n: some("n", F.when(F.length(n) > 2, n))))
     return candidates.select("id", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key"))
 
 
