@@ -119,11 +119,12 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     prints = durable(own.mapInArrow(_print, "doc_id long, print long, bytes long").distinct())
     size = prints.groupBy("print", "bytes").agg(F.count("*").alias("n")).where("n > 1")
     named = durable(prints.join(size, ["print", "bytes"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / PART))))
-    texts = own.join(named, "doc_id").select("print", "bytes", "part", "doc_id", "text")
+    # the one shuffle of texts: only candidates' are left after it
+    texts = durable(own.join(named, "doc_id").select("print", "bytes", "part", "doc_id", "text"))
     first = durable(_led(texts))
     # leaders of the parts of a group, compared in turn
     split = first.join(named.where(f"n > {PART}").select("print", "bytes").distinct(), ["print", "bytes"], "left_semi")
-    lead = split.select("print", "bytes", F.col("leader").alias("doc_id")).distinct().join(own, "doc_id").select("print", "bytes", F.lit(0).cast("long").alias("part"), "doc_id", "text")
+    lead = split.select("print", "bytes", F.col("leader").alias("doc_id")).distinct().join(texts.select("doc_id", "text"), "doc_id").select("print", "bytes", F.lit(0).cast("long").alias("part"), "doc_id", "text")
     second = _led(lead).select(F.col("doc_id").alias("leader"), F.col("leader").alias("head")).distinct()
     groups = first.join(second, "leader", "left").select("doc_id", F.coalesce("head", "leader").alias("group_id")).distinct()
     sized = groups.withColumn("group_size", F.count("*").over(Window.partitionBy("group_id"))).where("group_size > 1")
