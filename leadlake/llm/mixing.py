@@ -4,7 +4,8 @@ Documents of a source are numbered in a random order and cut into blocks. Every
 over the output shards hands them out: at each node the left half draws its blocks from the node's without replacement
 (multivariate hypergeometric), the right half has the rest. So shards hold equally many blocks, sources meet their quotas
 exactly, and no block is in two shards. The blocks of a source are permuted before they are dealt; each shard then
-shuffles its own documents.
+shuffles its own documents. With ``epochs`` a scarce source is gone through several times, up to that number, so that it
+doesn't set the size of the mix; each further pass over its blocks counts as blocks of their own.
 """
 
 from __future__ import annotations
@@ -24,27 +25,61 @@ SHARDS = 16
 SEED = 20_240_601
 #: Without given weights, a source's weight is its number of documents to this power.
 TEMPER = 0.5
+#: Passes over a scarce source in the registered query.
+EPOCHS = 4
 #: Documents that one task numbers, about; their number sets how finely a source is cut before it is sorted.
 BUCKET = 50_000
 #: The stratum of documents without a source.
 NONE = "\x00none"
 
 
+def _shares(docs: dict[str, int], weights: dict[str, float] | None) -> dict[str, float]:
+    share = {s: n**TEMPER for s, n in docs.items()} if weights is None else {s: float(weights.get(s, 0.0)) for s in docs}
+    if any(w < 0 or not np.isfinite(w) for w in share.values()):
+        raise ValueError("weights must be finite and not negative")
+    return {s: w for s, w in share.items() if w > 0}
+
+
 def block_quotas(docs: dict[str, int], weights: dict[str, float] | None, block: int = BLOCK) -> dict[str, int]:
     """Blocks to draw from each source: the largest mix at the target weights that repeats no document.
 
     Only whole blocks are drawn. A source that is not in ``weights``, or has weight 0, has none.
     """
-    share = {s: n**TEMPER for s, n in docs.items()} if weights is None else {s: float(weights.get(s, 0.0)) for s in docs}
-    if any(w < 0 or not np.isfinite(w) for w in share.values()):
-        raise ValueError("weights must be finite and not negative")
-    share = {s: w for s, w in share.items() if w > 0 and docs[s] >= block}
+    share = {s: w for s, w in _shares(docs, weights).items() if docs[s] >= block}
     if not share:
         return dict.fromkeys(docs, 0)
     total = min((docs[s] // block) / w for s, w in share.items())
     return {s: min(docs[s] // block, int(total * share[s] + 1e-9)) if s in share else 0 for s in docs}
 
 
+def filled_quotas(docs: dict[str, int], weights: dict[str, float] | None, block: int = BLOCK, epochs: int = 1, total: int | None = None) -> dict[str, int]:
+    """Blocks to draw from each source, passes included, where scarce sources don't set the size of the mix.
+
+    A source gives its share of ``total`` documents, ``epochs`` times its documents at most; what scarce sources can't give
+    is spread over the rest by weight. Without ``total`` the mix is the least that has every document of every source with a
+    weight. The last block of a source may be a partial one and a pass ends with it.
+    """
+    share = _shares(docs, weights)
+    if epochs < 1 or (total is not None and total < 0):
+        raise ValueError("epochs must be 1 at least, total not negative")
+    if total is None:
+        level = max((docs[s] / w for s, w in share.items()), default=0.0)
+    else:
+        level, left, weight = math.inf, float(total), sum(share.values())
+        for s in sorted(share, key=lambda s: epochs * docs[s] / share[s]):
+            if left / weight <= epochs * docs[s] / share[s]:
+                level = left / weight
+                break
+            left, weight = left - epochs * docs[s], weight - share[s]
+    out = dict.fromkeys(docs, 0)
+    for s, w in share.items():
+        n, blocks = docs[s], -(-docs[s] // block)
+        wanted = min(epochs * n, level * w)
+        passes = min(epochs, int(wanted / n + 1e-9))
+        out[s] = passes * blocks + min(blocks, round(max(0.0, wanted - passes * n) * blocks / n))
+    return out
+
+
 def split_blocks(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
     """Blocks of each source in each shard: a row for each shard; columns sum to the quotas, rows differ by one at most."""
     out = np.zeros((shards, len(quotas)), np.int64)
@@ -68,8 +103,9 @@ def split_blocks(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray
 def deal_blocks(quotas: dict[str, int], blocks: dict[str, int], shards: int, seed: int = SEED) -> list[tuple[str, int, int, int, list[int]]]:
     """(source, blocks, factor, offset, ends): how the blocks of each source that has a quota are dealt.
 
-    Block b stands at place (factor * b + offset) mod blocks, a permutation as factor and blocks have no common divisor; the
-    shard is the first whose end is above that place, none beyond the last end, which is the quota.
+    Block b stands at place (factor * b + offset) mod blocks, a permutation as factor and blocks have no common divisor, and
+    in each further pass that many blocks later; the shard is the first whose end is above that place, none beyond the last
+    end, which is the quota.
     """
     names = sorted(s for s in quotas if quotas[s])
     table = split_blocks([quotas[s] for s in names], shards, seed)
@@ -84,23 +120,29 @@ def deal_blocks(quotas: dict[str, int], blocks: dict[str, int], shards: int, see
     return out
 
 
-def _key(seed: int, salt: int):
-    return F.xxhash64(F.lit(seed), F.lit(salt), F.col("doc_id"))
+def _key(seed: int, salt: int, *more: str):
+    return F.xxhash64(F.lit(seed), F.lit(salt), F.col("doc_id"), *more)
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED, epochs: int | None = None, total: int | None = None) -> DataFrame:
     """(doc_id, source, block, shard, place): the documents drawn, their output shard and their place in it.
 
     ``weights`` are shares of documents by source, to any scale; None takes the number of documents to the power TEMPER.
-    The numbers of documents drawn match the weights to within a block a source, and no document is drawn twice.
+    Without ``epochs`` the numbers of documents drawn match the weights to within a block a source, no document is drawn
+    twice, and the least source for its weight sets the size of the mix; only whole blocks are drawn. With ``epochs`` the
+    size is ``total``, or what takes every document at least once, see ``filled_quotas``: a source is gone through up to
+    ``epochs`` times, and partial blocks and sources smaller than a block take part. The blocks of a further pass are
+    numbered on, so a document has a row for each pass that draws it.
 
     Nulls and empties: documents without a source are a source of their own; a null doc_id is left out; texts aren't read,
     so empty and null ones count as documents. Repeated rows of one doc_id are one document, with the least source. An empty
-    table, or sources all smaller than a block, give no row. Other columns aren't read.
+    table gives no row, nor, without ``epochs``, do sources all smaller than a block. Other columns aren't read.
 
     Numbering sorts small buckets of the hash, never a whole source in one task. Through the driver pass only numbers by
     source and by source and shard, as many for any number of documents.
     """
+    if epochs is None and total is not None:
+        raise ValueError("total needs epochs")
     spark = docs.sparkSession
     own = durable(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source")).groupBy("doc_id").agg(F.min("source").alias("source")))
     count = {r[0]: r[1] for r in own.groupBy("source").count().collect()}
@@ -109,20 +151,25 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, shards
     sizes = keyed.groupBy("source", "_bucket").count().withColumn("_before", F.sum("count").over(Window.partitionBy("source").orderBy("_bucket")) - F.col("count")).drop("count")
     numbered = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("source", "_bucket").orderBy("_order", "doc_id")) - 1).join(sizes, ["source", "_bucket"])
     numbered = numbered.select("doc_id", "source", F.floor((F.col("_before") + F.col("_nth")) / block).alias("block"))
-    quotas = block_quotas(count, weights, block)
-    plan = deal_blocks(quotas, {s: n // block for s, n in count.items()}, shards, seed)
+    if epochs is None:
+        blocks, quotas = {s: n // block for s, n in count.items()}, block_quotas(count, weights, block)
+    else:
+        blocks, quotas = {s: -(-n // block) for s, n in count.items()}, filled_quotas(count, weights, block, epochs, total)
+    plan = deal_blocks(quotas, blocks, shards, seed)
     table = spark.createDataFrame(plan, "source string, _blocks long, _factor long, _offset long, _ends array<long>")
-    drawn = numbered.join(table, "source").withColumn("_at", F.when(F.col("block") < F.col("_blocks"), F.pmod(F.col("_factor") * F.col("block") + F.col("_offset"), F.col("_blocks"))))
-    drawn = drawn.withColumn("shard", F.size(F.filter("_ends", lambda end: end <= F.col("_at")))).where(F.col("_at").isNotNull() & (F.col("shard") < shards)).select("doc_id", "source", "block", "shard")
+    first = numbered.join(table, "source").where(F.col("block") < F.col("_blocks")).withColumn("_at", F.pmod(F.col("_factor") * F.col("block") + F.col("_offset"), F.col("_blocks")))
+    last = F.floor((F.element_at("_ends", -1) - 1) / F.col("_blocks"))
+    drawn = first.withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumns({"_at": F.col("_at") + F.col("_pass") * F.col("_blocks"), "block": F.col("block") + F.col("_pass") * F.col("_blocks")})
+    drawn = drawn.withColumn("shard", F.size(F.filter("_ends", lambda end: end <= F.col("_at")))).where(F.col("shard") < shards).select("doc_id", "source", "block", "shard")
     fine = max(1, -(-sum(quotas.values()) * block // shards // BUCKET))
-    local = drawn.withColumn("_order", _key(seed, 3)).withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), F.lit(4), "doc_id"), F.lit(fine)))
+    local = drawn.withColumn("_order", _key(seed, 3, "block")).withColumn("_bucket", F.pmod(_key(seed, 4, "block"), F.lit(fine)))
     local = durable(local)
     before = local.groupBy("shard", "_bucket").count().withColumn("_before", F.sum("count").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("count")).drop("count")
     placed = local.withColumn("_nth", F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_order", "doc_id")) - 1).join(before, ["shard", "_bucket"])
     return placed.select("doc_id", F.when(F.col("source") != NONE, F.col("source")).alias("source"), "block", "shard", (F.col("_before") + F.col("_nth")).alias("place"))
 
 
-def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """The documents drawn, with all their columns and their shard and place; each repeated row of a doc_id is there."""
-    plan = mix_sources(docs, weights, shards, block, seed).select(F.col("doc_id").alias("_id"), F.col("shard").alias("mix_shard"), F.col("place").alias("mix_place"))
+def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED, epochs: int | None = None, total: int | None = None) -> DataFrame:
+    """The documents drawn, with all their columns and their shard and place; each repeated row of a doc_id is there, once a pass."""
+    plan = mix_sources(docs, weights, shards, block, seed, epochs, total).select(F.col("doc_id").alias("_id"), F.col("shard").alias("mix_shard"), F.col("place").alias("mix_place"))
     return docs.join(plan, F.col("doc_id").cast("long") == F.col("_id")).drop("_id")

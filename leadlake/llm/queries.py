@@ -44,7 +44,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_read(spark, sf_dir, "documents"))
+    return mixing.mix_sources(_read(spark, sf_dir, "documents"), epochs=mixing.EPOCHS)
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

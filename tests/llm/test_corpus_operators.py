@@ -12,7 +12,8 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from leadlake.llm import chat, decontaminate, exactdedup, langid, linededup, mixing, neardup, quality, tokens, urlfilter
+import corpus_pipeline
+from leadlake.llm import chat, decontaminate, exactdedup, langid, linededup, mixing, neardup, quality, queries, tokens, urlfilter
 from leadlake.llm._text import buffers, lower, span_hashes, word_bounds
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -367,6 +368,27 @@ def test_mixing(spark):
         mixing.block_quotas({"a": 9}, {"a": -1})
 
 
+def test_mixing_is_not_set_by_the_least_source(spark, tmp_path):
+    uneven = {f"s{k:02}": 500 for k in range(19)} | {"least": 9}
+    assert sum(min(8 * q, uneven[s]) for s, q in mixing.filled_quotas(uneven, None).items()) == 9509
+    assert mixing.filled_quotas({"a": 7, "b": 1}, None, epochs=4) == {"a": 1, "b": 3}
+    given = mixing.filled_quotas({"a": 8000, "b": 8000, "c": 80}, {"a": 3, "b": 1, "c": 4}, total=8080)
+    assert given == {"a": 750, "b": 250, "c": 10}
+    assert mixing.filled_quotas({"a": 80, "b": 8}, None, total=500) == {"a": 10, "b": 1} and mixing.filled_quotas({}, None, total=5) == {}
+    rows = [(k, "t", "en", "big", 1) for k in range(203)] + [(1000 + k, "t", "en", "mid", 1) for k in range(50)] + [(2000 + k, "t", "en", "low", 1) for k in range(7)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix_sources(docs, shards=4, epochs=4).collect()
+    assert {r.doc_id for r in got} == {r[0] for r in rows}
+    count, times = Counter(r.source for r in got), Counter(r.doc_id for r in got)
+    assert count["big"] == 203 and abs(count["mid"] - (203 * 50) ** 0.5) <= 8 and count["low"] == 28 and max(times.values()) == 4
+    assert len({(r.shard, r.place) for r in got}) == len({(r.doc_id, r.block) for r in got}) == len(got)
+    assert all(sorted(r.place for r in got if r.shard == s) == list(range(n)) for s, n in Counter(r.shard for r in got).items())
+    once = mixing.mixed_documents(docs, shards=4, epochs=1).collect()
+    assert sorted(r.doc_id for r in once) == sorted(r[0] for r in rows) and {r.mix_shard for r in once if r.source == "big"} == {0, 1, 2, 3}
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id for r in queries.op8_mixing(spark, str(tmp_path)).collect()} == {r[0] for r in rows} == {r.doc_id for r in corpus_pipeline.mix(spark, docs, "").collect()}
+
+
 # 9
 
 
