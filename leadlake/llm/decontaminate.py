@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.llm._text import buffers, lower, slices, span_hashes, word_bounds
@@ -177,13 +177,46 @@ def spans_in(data: np.ndarray, offsets: np.ndarray, words: np.ndarray, phrases:
     return owner, first - base, end - base, starts[first] - offsets[owner], ends[end - 1] - offsets[owner]
 
 
-def _finder(held):
+def _merged(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Spans of several ``spans_in`` over the same rows as one: overlapping and touching ones of a row are joined."""
+    if len(found) == 1:
+        return found[0]
+    row, first, end, start, stop = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((end, first, row))
+    row, first, end, start, stop = (x[order] for x in (row, first, end, start, stop))
+    if not len(row):
+        return row, first, end, start, stop
+    wide, high = int(end.max()) + 1, int(stop.max()) + 1
+    reach = np.maximum.accumulate(row * wide + end) - row * wide  # of a row's own spans, as a later row's keys are higher
+    fresh = np.r_[True, (row[1:] != row[:-1]) | (first[1:] > reach[:-1])]
+    last = np.r_[np.flatnonzero(fresh)[1:] - 1, len(row) - 1]
+    return row[fresh], first[fresh], reach[last], start[fresh], (np.maximum.accumulate(row * high + stop) - row * high)[last]
+
+
+def _tables(held: list) -> Iterator[tuple]:
+    """The phrase table of each part; of several only one stays in memory."""
+    for part in held:
+        yield part.value
+        if len(held) > 1 and getattr(part, "_path", None) is not None:  # read again from the worker's disk when it is next used
+            part.__dict__.pop("_value", None)
+
+
+def _found(held: list, column: pa.Array) -> Iterator[tuple]:
+    """(first row, bytes, offsets, spans of all parts) of each slice of a lower-case column."""
+    cuts = list(slices(column, SHARD))
+    spans: list[list] = [[] for _ in cuts]
+    for words, phrases in _tables(held):
+        for own, (_, _, data, offsets) in zip(spans, cuts):
+            own.append(spans_in(data, offsets, words, phrases))
+    for own, (low, _, data, offsets) in zip(spans, cuts):
+        yield low, data, offsets, _merged(own)
+
+
+def _finder(held: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, phrases = held.value
         for batch in batches:
             ids = batch.column(0)
-            for low, _, data, offsets in slices(lower(batch.column(1)), SHARD):
-                row, first, end, start, stop = spans_in(data, offsets, words, phrases)
+            for low, data, offsets, (row, first, end, start, stop) in _found(held, lower(batch.column(1))):
                 if len(row):
                     chars = np.zeros(len(data) + 1, np.int64)
                     np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
@@ -213,30 +246,20 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRA
 
     Nulls and empties: a null or wordless text holds no span and no phrase; a null doc_id is reported as null. Repeated
     rows are each reported. An empty benchmark or table gives no row. Columns other than doc_id and text aren't read.
-    The pass is narrow: no shuffle. Only a benchmark of more than PART_WORDS words needs more passes and one aggregation.
+    The pass is narrow: no shuffle. A benchmark of more than PART_WORDS words is searched part by part within it.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text <> ''")
-    found = [narrow.mapInArrow(_finder(spark.sparkContext.broadcast(part)), "doc_id long, first_word long, end_word long, start long, stop long") for part in _parts(benchmark, phrase)]
-    if len(found) == 1:
-        return found[0]
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    order = Window.partitionBy("doc_id").orderBy("first_word", "end_word")
-    gap = every.withColumn("_reach", F.max("end_word").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    island = gap.withColumn("_island", F.sum((F.col("_reach").isNull() | (F.col("first_word") > F.col("_reach"))).cast("int")).over(order))
-    return island.groupBy("doc_id", "_island").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_island")
+    held = [spark.sparkContext.broadcast(part) for part in _parts(benchmark, phrase)]
+    return narrow.mapInArrow(_finder(held), "doc_id long, first_word long, end_word long, start long, stop long")
 
 
-def _cutter(held, text: int):
+def _cutter(held: list, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, phrases = held.value
         for batch in batches:
             column = batch.column(text).cast(pa.large_string())
             new = None
-            for low, _, data, offsets in slices(lower(column), SHARD):
-                row, _, _, start, stop = spans_in(data, offsets, words, phrases)
+            for low, _, _, (row, _, _, start, stop) in _found(held, lower(column)):
                 if len(row):
                     new = new or column.to_pylist()
                     for k in np.unique(row):
@@ -261,7 +284,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE) -
     had = F.col("text").rlike(r"[\p{L}\p{N}]")
     out = docs.withColumn("_had", F.coalesce(had, F.lit(False)))
     place, schema = out.columns.index("text"), out.schema
-    for part in _parts(benchmark, phrase):
-        out = out.mapInArrow(_cutter(docs.sparkSession.sparkContext.broadcast(part), place), schema)
+    held = [docs.sparkSession.sparkContext.broadcast(part) for part in _parts(benchmark, phrase)]
+    out = out.mapInArrow(_cutter(held, place), schema)
     out = out.where(~(F.col("_had") & ~F.coalesce(had, F.lit(False)))).drop("_had")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -162,6 +162,21 @@ def test_decontamination(spark, docs):
     assert decontaminate.contaminated_spans(empty(spark), bench).count() == 0
 
 
+def test_parts_of_a_benchmark_are_one_benchmark(spark, monkeypatch):
+    own = words(77, 40)
+    items = [own[10 + 4 * k : 22 + 4 * k] for k in range(4)] + [own[:3], own[2:5]]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    rows = [(1, " ".join(own)), (1, " ".join(own[8:])), (None, " ".join(own[:20])), (None, " ".join(own[12:])), (2, " ".join(words(78, 30))), (3, None), (4, "É " + " ".join(own))]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], DOCS).coalesce(1)
+    answers = []
+    for words_held in (decontaminate.PART_WORDS, 40):
+        monkeypatch.setattr(decontaminate, "PART_WORDS", words_held)
+        answers.append((len(list(decontaminate._parts(bench, 8))), Counter(tuple(r) for r in decontaminate.contaminated_spans(docs, bench).collect()), Counter(tuple(r) for r in decontaminate.decontaminate(docs, bench).collect())))
+    assert answers[0][0] == 1 < answers[1][0] and answers[0][1:] == answers[1][1:]
+    want = [(rows[k][0], a, b) for k, a, b in brute_spans([t or "" for _, t in rows], [" ".join(w) for w in items], 8)]
+    assert Counter((i, a, b) for i, a, b, *_ in answers[1][1].elements()) == Counter(want)
+
+
 # 3
 
 
