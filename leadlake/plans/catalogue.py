@@ -379,6 +379,16 @@ def discovery_key(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", text.discovery_key(F.col("source"), F.concat(F.lit(" гр. "), F.upper("lang"), F.lit(" ")), words).alias("key"))
 
 
+@query(
+    r"WITH d AS (SELECT doc_id, source AS persona, ' гр. ' || upper(lang) || ' ' AS location, text AS kw FROM documents UNION ALL SELECT -1, 'Dentist  Office', 'град Варна', NULL UNION ALL SELECT -2, 'dentist', 'Варна', ' Zeta  alpha zeta ') SELECT doc_id, 'v2|' || regexp_replace(lower(trim(persona)), '\s+', ' ', 'g') || '|' || trim(regexp_replace(regexp_replace(lower(trim(location)), '\s+', ' ', 'g'), '^(гр\.|гр |град )', '')) || '|' || "
+    r"CASE WHEN trim(coalesce(kw, '')) = '' THEN '' ELSE array_to_string(list_sort(string_split(regexp_replace(lower(trim(kw)), '\s+', ' ', 'g'), ' ')), ' ') END AS key FROM d"
+)
+def discovery_key_whole(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("persona"), F.concat(F.lit(" гр. "), F.upper("lang"), F.lit(" ")).alias("location"), F.col("text").alias("kw"))
+    every = docs.unionByName(_rows(spark, "doc_id long, persona string, location string, kw string", (-1, "Dentist  Office", "град Варна", None), (-2, "dentist", "Варна", " Zeta  alpha zeta ")))
+    return every.select("doc_id", text.discovery_key(F.col("persona"), F.col("location"), F.col("kw")).alias("key"))
+
+
 _NAMES = [("Враца", "vratsa"), ("Щастлив Юли", "shtastliv yuli"), ("Жълтуша", "zhaltusha"), ("Plovdiv 7", "plovdiv 7"), ("ЦЪРКВИЩЕ", "tsarkvishte")]
 
 
