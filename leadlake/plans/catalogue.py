@@ -150,6 +150,13 @@ def doc_emails_obfuscated(spark: SparkSession, sf: str) -> DataFrame:
     return _rows(spark, "doc_id int, text string", *_HIDDEN_MAILS).select("doc_id", F.explode(contacts.obfuscated_emails(F.col("text"))).alias("email"))
 
 
+@query()
+def doc_emails_obfuscated_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Over all documents and the literal rows; the order of the replacements is beyond SQL, the tests hold it by brute force."""
+    every = _read(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(_rows(spark, "doc_id long, text string", *_HIDDEN_MAILS))
+    return every.select("doc_id", F.explode(contacts.obfuscated_emails(F.col("text"))).alias("email"))
+
+
 @query()
 def doc_phones(spark: SparkSession, sf: str) -> DataFrame:
     return _read(spark, sf, "documents").select("doc_id", F.posexplode(contacts.text_phones(F.col("text"))).alias("nth", "phone"))
