@@ -6,6 +6,7 @@ A *word* is a maximal run of ASCII letters and digits and of characters from U+0
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _tables: dict[str, np.ndarray] = {}
+_patterns: dict[str, re.Pattern] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,11 +65,36 @@ def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.n
         low = high
 
 
+def _odd() -> re.Pattern:
+    """The characters whose lower case has another length in bytes."""
+    if "odd" not in _patterns:
+        every = pa.array([chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000])
+        other = pc.not_equal(pc.binary_length(every), pc.binary_length(pc.utf8_lower(every)))
+        _patterns["odd"] = re.compile("([" + "".join(map(re.escape, every.filter(other).to_pylist())) + "]+)")
+    return _patterns["odd"]
+
+
 def lower(column: pa.Array) -> pa.Array:
-    """Lower case of the same length in bytes, so that places in it are places in the text: where the Unicode form has another length, only ASCII letters are folded."""
+    """Lower case of the same length in bytes, so that places in it are places in the text. Each character is folded by itself;
+    only those whose lower case has another length in bytes stay as they are."""
     column = column.cast(pa.large_string())
     folded = pc.utf8_lower(column)
-    return pc.if_else(pc.equal(pc.binary_length(column), pc.binary_length(folded)), folded, pc.ascii_lower(column))
+    same = pc.fill_null(pc.equal(pc.binary_length(column), pc.binary_length(folded)), True)
+    if pc.all(same, min_count=0).as_py() and not _may_be_odd(column):
+        return folded
+    out = folded.to_pylist()
+    for k, text in enumerate(column.to_pylist()):
+        if text is not None and (parts := _odd().split(text))[1:]:
+            parts[::2] = pc.utf8_lower(pa.array(parts[::2], pa.large_string())).to_pylist()
+            out[k] = "".join(parts)
+    return pa.array(out, pa.large_string())
+
+
+def _may_be_odd(column: pa.Array) -> bool:
+    """Whether lengths that are equal may hide a longer and a shorter lower case that cancel out: only with a character of each kind."""
+    data, _ = buffers(column)
+    # those that grow (two bytes to three) have the lead byte C8; without one, equal lengths mean that no length changed
+    return bool((data == 0xC8).any())
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,3 +142,14 @@ def binary_rows(matrix: np.ndarray) -> pa.Array:
     if n * width > 1 << 30:
         return pa.concat_arrays([binary_rows(matrix[: n // 2]), binary_rows(matrix[n // 2 :])])
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(matrix.tobytes())])
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Column names that clash with none of ``taken``, with more underscores in front where needed."""
+    low, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in low:
+            name = "_" + name
+        low.add(name.lower())
+        out.append(name)
+    return out

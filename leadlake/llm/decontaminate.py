@@ -254,23 +254,31 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRA
     return narrow.mapInArrow(_finder(held), "doc_id long, first_word long, end_word long, start long, stop long")
 
 
-def _cutter(held: list, text: int):
+def _cutter(held: list, text: int, chars: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(text).cast(pa.large_string())
-            new = None
+            new: dict[int, str] = {}
             for low, _, _, (row, _, _, start, stop) in _found(held, lower(column)):
-                if len(row):
-                    new = new or column.to_pylist()
-                    for k in np.unique(row):
-                        raw, own = new[low + k].encode(), row == k
-                        for a, b in zip(start[own][::-1], stop[own][::-1]):
-                            raw = raw[:a] + raw[b:]
-                        new[low + k] = raw.decode()
-            if new is None:
+                edge = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else row
+                for a, b in zip(edge, np.r_[edge[1:], len(row)]):
+                    raw, at = column[int(low + row[a])].as_py().encode(), 0
+                    kept = []
+                    for x, y in zip(start[a:b].tolist(), stop[a:b].tolist()):
+                        kept.append(raw[at:x])
+                        at = y
+                    new[int(low + row[a])] = b"".join([*kept, raw[at:]]).decode()
+            if not new:
                 yield batch
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(new, batch.schema.field(k).type) if k == text else batch.column(k) for k in range(batch.num_columns)], schema=batch.schema)
+                continue
+            stays = np.ones(len(batch), bool)
+            stays[[k for k, t in new.items() if not any(map(str.isalnum, t))]] = False
+            columns = list(batch.columns)
+            columns[text] = pa.array([new.get(k, t) for k, t in enumerate(column.to_pylist())], batch.schema.field(text).type)
+            if chars is not None:
+                counted = columns[chars].to_pylist()
+                columns[chars] = pa.array([len(new[k]) if k in new else n for k, n in enumerate(counted)], batch.schema.field(chars).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(stays))
 
     return run
 
@@ -278,13 +286,10 @@ def _cutter(held: list, text: int):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE) -> DataFrame:
     """``docs`` with all spans of ``contaminated_spans`` cut out of the text; a text of which no word is left goes.
 
-    Other columns and all other rows stay as they are, null and wordless texts among them. n_chars, if there is one, is set anew
-    for texts that changed.
+    Other columns and all other rows stay as they are, null and wordless texts among them. n_chars, if there is one and it is
+    a number, is set anew for texts that changed. Repeated rows and rows with a null doc_id are each cut by their own text; an
+    empty benchmark or table changes nothing; columns of any name are carried along.
     """
-    had = F.col("text").rlike(r"[\p{L}\p{N}]")
-    out = docs.withColumn("_had", F.coalesce(had, F.lit(False)))
-    place, schema = out.columns.index("text"), out.schema
     held = [docs.sparkSession.sparkContext.broadcast(part) for part in _parts(benchmark, phrase)]
-    out = out.mapInArrow(_cutter(held, place), schema)
-    out = out.where(~(F.col("_had") & ~F.coalesce(had, F.lit(False)))).drop("_had")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    chars = docs.columns.index("n_chars") if dict(docs.dtypes).get("n_chars") in ("int", "bigint") else None
+    return docs.mapInArrow(_cutter(held, docs.columns.index("text"), chars), docs.schema)

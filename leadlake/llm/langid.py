@@ -2,7 +2,8 @@
 
 A word known from training scores by its log frequency in each language. A word that was never seen scores by the mean over
 its known n-grams of the longest length, from GRAM characters down to one, of which it has any. A text's score in a
-language is the mean over its words.
+language is the mean over its words. Every word of the sample is known: the sample is bounded in documents, by TRAIN_DOCS,
+and nothing else cuts the model.
 """
 
 from __future__ import annotations
@@ -17,13 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from leadlake.llm._text import WORD_RE, buffers, lower, slices, span_hashes, word_bounds
+from leadlake.llm._text import WORD_RE, buffers, free_names, lower, slices, span_hashes, word_bounds
 
 #: Labelled documents of each language that the model is fitted on, about; a hash of the id draws them.
 TRAIN_DOCS = 600
-#: Words kept for each language, the most frequent ones.
-MODEL_WORDS = 50_000
-LEAST = 2
 GRAM = 4
 #: The least lead of the best language, in log frequency a word; below it the language is undetermined.
 MARGIN = 0.05
@@ -43,9 +41,9 @@ def _hashes(values: list[str]) -> np.ndarray:
     return span_hashes(data, offsets[:-1], offsets[1:])
 
 
-def _scores(counts: dict[str, dict[str, float]], langs: list[str], keep: int | None = None, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def _scores(counts: dict[str, dict[str, float]], langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and the log frequency of each in each language, with half an occurrence added."""
-    names = sorted({w for lang in langs for w, n in sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:keep] if n >= least})
+    names = sorted({w for lang in langs for w in counts[lang]})
     table = np.array([[counts[lang].get(w, 0) for lang in langs] for w in names], float).reshape(len(names), len(langs))
     total = np.array([sum(counts[lang].values()) for lang in langs]) + 0.5 * max(1, len(names))
     hashes = _hashes(names)
@@ -64,18 +62,30 @@ def fit(counts: dict[str, dict[str, int]]) -> Model:
                 for k in range(len(word) - size + 1):
                     by[lang][word[k : k + size]] += n
         grams.append(_scores(by, langs))
-    words = _scores(counts, langs, MODEL_WORDS, LEAST)
-    return Model(langs, *words, [g[0] for g in grams], [g[1] for g in grams])
+    return Model(langs, *_scores(counts, langs), [g[0] for g in grams], [g[1] for g in grams])
+
+
+def draw_bound(rows: int, wanted: int) -> int | None:
+    """The signed 64-bit bound under which a hash draws ``wanted`` of ``rows`` rows, about; None draws all. Exact at any size."""
+    if rows <= wanted:
+        return None
+    return -(1 << 63) + max(1, (wanted << 64) // rows)
 
 
 def train(labelled: DataFrame, docs_per_language: int = TRAIN_DOCS) -> Model:
-    """Fits on about ``docs_per_language`` rows of each value of ``lang``, whole texts; all of them where there are fewer."""
-    known = labelled.select("doc_id", "lang", F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
+    """Fits on about ``docs_per_language`` rows of each value of ``lang``, whole texts; all of them where there are fewer.
+
+    Rows with a null lang or text aren't labelled and take no part; empty texts have no word. A hash of id and text draws the
+    rows, so rows with a null id are drawn like others, and repeated rows are drawn together. Ties in frequency need no order.
+    An empty table gives a model of no language, which leaves every text undetermined. Other columns aren't read.
+    """
+    known = labelled.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
     sizes = dict(known.groupBy("lang").count().collect())
     if not sizes:
         return fit({})
-    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, docs_per_language / n) * 1_000_000)))), F.col("lang"))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    bounds = {lang: draw_bound(n, docs_per_language) for lang, n in sizes.items()}
+    share = F.element_at(F.create_map(*(F.lit(x) for lang, b in bounds.items() for x in (lang, (1 << 63) - 1 if b is None else b))), F.col("lang"))
+    drawn = known.where(F.xxhash64("doc_id", "text") <= share)
     words = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD_RE), F.lit(0))).alias("word"))
     counts: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
     for part in words.groupBy("lang", "word").count().toArrow().to_batches():
@@ -127,7 +137,7 @@ def text_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np
     return n, mean / np.maximum(n, 1)[:, None]
 
 
-def _guess(held, id_at: int, text_at: int, carry: bool):
+def _guess(held, id_at: int, text_at: int, carry: bool, added_names: list[str]):
     """Adds the best language, its lead and the number of words; carries the whole row, or only its id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +157,7 @@ def _guess(held, id_at: int, text_at: int, carry: bool):
                     best[sure] = names[order[sure, 0]]
                 part = batch.slice(low, high - low)
                 added = [pa.array(best.tolist(), pa.string()), pa.array(np.where(n > 0, lead, 0.0)), pa.array(n.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([*(part.columns if carry else [part.column(id_at)]), *added], [*(batch.schema.names if carry else ["doc_id"]), "_lang", "_lead", "_words"])
+                yield pa.RecordBatch.from_arrays([*(part.columns if carry else [part.column(id_at)]), *added], [*(batch.schema.names if carry else ["doc_id"]), *added_names])
 
     return run
 
@@ -160,12 +170,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(_guess(held, 0, 1, False), "doc_id long, _lang string, _lead double, _words long").withColumnsRenamed({"_lang": "lang", "_lead": "lead", "_words": "words"})
+    return narrow.mapInArrow(_guess(held, 0, 1, False, ["lang", "lead", "words"]), "doc_id long, lang string, lead double, words long")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without those whose language can't be told; all columns stay as they are. One narrow pass."""
+    """``docs`` without those whose language can't be told; all columns stay as they are. One narrow pass.
+
+    A row goes where ``identify`` has a null lang: null, empty and wordless texts, foreign scripts, ties. Each repeated row and
+    each row with a null doc_id is judged by its own text; an empty table stays empty; columns of any name are carried along.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields, *StructType.fromDDL("_lang string, _lead double, _words long").fields])
-    guessed = docs.mapInArrow(_guess(held, docs.columns.index("doc_id"), docs.columns.index("text"), True), schema)
-    return guessed.where("_lang is not null").select(docs.columns)
+    names = free_names(docs.columns, "lang", "lead", "words")
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` long").fields])
+    guessed = docs.mapInArrow(_guess(held, docs.columns.index("doc_id"), docs.columns.index("text"), True, names), schema)
+    return guessed.where(F.col(names[0]).isNotNull()).select(docs.columns)

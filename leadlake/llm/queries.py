@@ -62,31 +62,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _WORD = r"[0-9A-Za-z\x{C0}-\x{1FFF}\x{2070}-\x{2FFF}\x{3040}-\x{10FFFF}]+"
 _GAP = r"[^0-9A-Za-z\x{C0}-\x{1FFF}\x{2070}-\x{2FFF}\x{3040}-\x{10FFFF}]*"
 
+_EIGHT = ", ".join(f"lead(word, {k}) OVER d AS w{k}" for k in range(1, decontaminate.PHRASE))
+_NAMES = ["word", *(f"w{k}" for k in range(1, decontaminate.PHRASE))]
+
+# phrases are joined on as many words as they have, one equality a word; no list of a whole text is carried along its words
 _SPANS = rf"""
-WITH RECURSIVE pieces AS (
-  SELECT doc_id, unnest(regexp_extract_all(text, '{_GAP}{_WORD}')) AS piece, generate_subscripts(regexp_extract_all(text, '{_GAP}{_WORD}'), 1) - 1 AS nth FROM documents
+WITH pieces AS (
+  SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) - 1 AS nth FROM (SELECT doc_id, regexp_extract_all(text, '{_GAP}{_WORD}') AS p FROM documents)
 ), words AS (
-  SELECT doc_id, nth, lower(regexp_extract(piece, '{_WORD}')) AS word, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY nth) AS stop FROM pieces
+  SELECT doc_id, nth, length(piece) AS width, regexp_extract(piece, '{_WORD}') AS raw, lower(regexp_extract(piece, '{_WORD}')) AS word FROM pieces
 ), items AS (
-  SELECT regexp_extract_all(lower(text), '{_WORD}') AS w FROM benchmark
+  SELECT item_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM benchmark WHERE len(regexp_extract_all(lower(text), '{_WORD}')) > 0
 ), phrases AS (
-  SELECT DISTINCT len(p) AS n, array_to_string(p, ' ') AS phrase FROM (
-    SELECT w[k : k + {decontaminate.PHRASE} - 1] AS p FROM (SELECT w, unnest(generate_series(1, greatest(1, len(w) - {decontaminate.PHRASE} + 1))) AS k FROM items WHERE len(w) > 0))
-), sizes AS (
-  SELECT DISTINCT n FROM phrases
+  SELECT DISTINCT w[k : k + {decontaminate.PHRASE} - 1] AS p FROM (SELECT w, unnest(generate_series(1, greatest(1, len(w) - {decontaminate.PHRASE} + 1))) AS k FROM items)
 ), grams AS (
-  SELECT doc_id, nth, s.n, array_to_string(l[nth + 1 : nth + s.n], ' ') AS phrase FROM (
-    SELECT doc_id, l, unnest(generate_series(0, len(l) - 1)) AS nth FROM (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS l FROM documents)), sizes s
-  WHERE nth + s.n <= len(l)
+  SELECT doc_id, nth, word, {_EIGHT} FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY nth)
 ), hits AS (
-  SELECT g.doc_id, g.nth AS a, g.nth + g.n AS b FROM grams g JOIN phrases p ON g.n = p.n AND g.phrase = p.phrase
+  {" UNION ALL ".join(f"SELECT g.doc_id, g.nth AS a, g.nth + {n} AS b FROM grams g JOIN (SELECT p FROM phrases WHERE len(p) = {n}) x ON " + " AND ".join(f"g.{_NAMES[k]} = x.p[{k + 1}]" for k in range(n)) for n in range(1, decontaminate.PHRASE + 1))}
 ), marked AS (
   SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM hits
 ), grouped AS (
   SELECT doc_id, min(a) AS a, max(b) AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM marked) GROUP BY doc_id, g
+), placed AS (
+  SELECT w.doc_id, nth, sum(width) OVER (PARTITION BY w.doc_id ORDER BY nth) AS stop, length(raw) AS own FROM words w WHERE w.doc_id IN (SELECT doc_id FROM hits)
 )
-SELECT g.doc_id, g.a AS first_word, g.b AS end_word, CAST(f.stop - length(f.word) AS BIGINT) AS start, CAST(l.stop AS BIGINT) AS stop
-FROM grouped g JOIN words f ON f.doc_id = g.doc_id AND f.nth = g.a JOIN words l ON l.doc_id = g.doc_id AND l.nth = g.b - 1
+SELECT g.doc_id, g.a AS first_word, g.b AS end_word, CAST(f.stop - f.own AS BIGINT) AS start, CAST(l.stop AS BIGINT) AS stop
+FROM grouped g JOIN placed f ON f.doc_id = g.doc_id AND f.nth = g.a JOIN placed l ON l.doc_id = g.doc_id AND l.nth = g.b - 1
 """
 
 _LINES = r"""
