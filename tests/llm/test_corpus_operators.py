@@ -66,6 +66,18 @@ def groups_of(pairs):
     return {(x, find(x)) for x in list(up)}
 
 
+def test_case_is_folded_character_by_character():
+    texts = ["ÄÖ İ ÉX", "ΚΆΤΙ Ⱥ K ẞ Б", "Ș İȺ Ü", None, "", "plain", "İ"]
+    folded = lower(pa.array(texts)).to_pylist()
+    small = lambda c: c.lower() if len(c.lower().encode()) == len(c.encode()) else c
+    assert folded == [None if t is None else "".join(map(small, t)) for t in texts]
+    item, text = "ПРИВЕТ МИР ЭТО ДОЛГАЯ ФРАЗА ИЗ ВОСЬМИ СЛОВ", "x {} привет мир это ДОЛГАЯ фраза из восьми слов y"
+    for odd in ("İ", "K", "z"):
+        table = decontaminate.phrase_table([item.lower()])
+        data, offsets = buffers(lower(pa.array([text.format(odd)])))
+        assert [x.tolist() for x in decontaminate.spans_in(data, offsets, *table)[:3]] == [[0], [2], [10]]
+
+
 def test_words():
     data, offsets = buffers(lower(pa.array(["Ünï x—y Z9", None, "", "a、b«c»"])))
     starts, ends, row = word_bounds(data, offsets)
@@ -158,6 +170,12 @@ def test_decontamination(spark, docs):
     assert own.text.split() == words(3, 80)[:10] + words(3, 80)[30:] and own.n_chars == len(own.text)
     whole = spark.createDataFrame([(1, item, "en", "s", 1), (2, None, "en", "s", 1), (3, "", "en", "s", 1)], DOCS)
     assert {r.doc_id for r in decontaminate.decontaminate(whole, bench).collect()} == {2, 3}
+    clash = whole.withColumns({"_had": F.lit(1), "first_word": F.lit(2)})
+    assert decontaminate.decontaminate(clash, bench).columns == clash.columns
+    kept = spark.createDataFrame([(7, "fine words", "en", "s", 99), (3, "x " + item + " y", "en", "s", 5)], DOCS)
+    assert {(r.doc_id, r.n_chars) for r in decontaminate.decontaminate(kept, bench).collect()} == {(7, 99), (3, 4)}
+    long = spark.createDataFrame([(1, "zz " * 400_000 + item + " zz" * 5, "en", "s", 0)], DOCS)
+    assert [(r.first_word, r.end_word) for r in decontaminate.contaminated_spans(long, bench).collect()] == [(400_000, 400_020)]
     assert decontaminate.contaminated_spans(docs, bench.limit(0)).count() == 0
     assert decontaminate.contaminated_spans(empty(spark), bench).count() == 0
 
@@ -217,17 +235,69 @@ def test_cuckoo_filter():
     assert linededup.CuckooFilter.from_bytes(tight.to_bytes()).contains(items[:200]).all()
 
 
+def test_rows_of_one_id_are_told_apart(spark):
+    rows = [(1, "a\nb"), (2, "a\nq"), (2, "unique\nr"), (2, "unique\nr"), (None, "a\nb"), (3, None), (4, ""), (5, " \n"), (6, "a\n b \na")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_gone": F.lit(1), "_id": F.lit(2), "row": F.lit(3), "lost": F.lit(4), "ident": F.lit(5), "n_chars": F.length("text").cast("long")})
+    out = linededup.dedup_lines(docs)
+    assert out.columns == docs.columns
+    assert Counter((r.doc_id, r.text, r.n_chars) for r in out.collect()) == Counter([(1, "a\nb", 3), (2, "q", 1), (2, "unique\nr", 8), (2, "unique\nr", 8), (None, "a\nb", 3), (3, None, None), (4, "", 0), (5, " \n", 2)])
+    assert linededup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_hot_lines_are_counted_where_they_are_read(spark, monkeypatch):
+    rows = [(k, f"hot line\nown {k}\nhot line") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    refs = linededup.line_refs(docs)
+    assert linededup.counted_lines(refs).where("refs > 1").count() <= 3  # a row a task, not 6000
+    monkeypatch.setattr(linededup, "COMBINE", 700)  # the run of a task is cut
+    got = {(r.doc_id, r.line_no, r.first_doc, r.first_line, r.refs) for r in linededup.repeated_lines(docs).collect()}
+    assert got == {(k, n, 0, 0, 6000) for k in range(3000) for n in (0, 2)} - {(0, 0, 0, 0, 6000)}
+
+
 def test_line_store_is_reversible(spark, tmp_path):
     table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
-    store = linededup.LineStore(spark, str(tmp_path), shards=3)
+    opened = lambda: linededup.LineStore(spark, str(tmp_path), shards=3, shard_lines=1)
+    store = opened()
     pairs = lambda df: {(r.doc_id, r.line_no) for r in df.collect()}
-    assert pairs(store.insert(table([(1, "a\nb"), (2, "b\nc")]))) == {(2, 0)}
+    store.delete(table([(1, "")]))  # nothing is there
+    assert store.version == 0
+    assert pairs(store.insert(table([(1, "a\nb"), (2, "b\nc"), (None, "a"), (9, None)]))) == {(2, 0)}
     assert pairs(store.insert(table([(3, "c\nd\na"), (2, "b\nc")]))) == {(3, 0), (3, 2)}
-    store.delete(table([(1, "")]))
+    store = opened()
+    assert store.version == 2 and store.size > 1 and pairs(store.repeated_lines()) == {(2, 0), (3, 0), (3, 2)}
+    store.delete(table([(1, ""), (77, "")]))
     assert pairs(store.repeated_lines()) == {(3, 0)}
-    assert pairs(store.insert(table([(4, "a\nb\nz")]))) == {(4, 0), (4, 1)}
-    store.delete(table([(2, ""), (3, ""), (4, "")]))
-    assert store.refs().count() == 0 and pairs(store.insert(table([(5, "a\na")]))) == {(5, 1)}
+    assert pairs(store.insert(table([(1, "a\nb\nz")]))) == {(1, 0), (1, 1)}  # a smaller id that comes later takes no line away
+    assert pairs(opened().repeated_lines()) == {(3, 0), (1, 0), (1, 1)}
+    store = opened()
+    store.delete(table([(2, ""), (3, ""), (1, "")]))
+    assert store.refs().count() == 0 and pairs(store.insert(table([(5, "a\na"), (6, "b"), (7, "zz")]))) == {(5, 1)}
+    assert pairs(store.insert(table([]))) == set() and pairs(store.insert(table([(8, "zz\nnew")]))) == {(8, 0)}
+
+
+def test_line_store_equals_brute_force(spark, tmp_path):
+    source, store, there, version = random.Random(12), linededup.LineStore(spark, str(tmp_path), shards=2, shard_lines=4), {}, 0
+    for step in range(5):
+        if step == 3:
+            gone = sorted(there)[::2]
+            store.delete(spark.createDataFrame([(i,) for i in gone], "doc_id long"))
+            for i in gone:
+                del there[i]
+            version += 1
+        rows = [(source.randint(0, 40), "\n".join(source.choices("abcdefghijkl", k=source.randint(1, 4)))) for _ in range(8)]
+        rows = list({i: (i, t) for i, t in rows}.values())
+        version += 1
+        fresh = {i for i, _ in rows if i not in there}
+        there |= {i: (version, t) for i, t in rows if i not in there}
+        seen, want = set(), set()
+        for i, (v, t) in sorted(there.items(), key=lambda x: (x[1][0], x[0])):
+            for k, line in enumerate(t.split("\n")):
+                if line in seen:
+                    want.add((i, k))
+                seen.add(line)
+        got = {(r.doc_id, r.line_no) for r in store.insert(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {w for w in want if w[0] in fresh}
+        assert {(r.doc_id, r.line_no) for r in linededup.LineStore(spark, str(tmp_path)).repeated_lines().collect()} == want
 
 
 # 4
@@ -262,7 +332,10 @@ def test_language_id(spark):
     assert sum(got[k] == made[k][2] for k in held_out) / len(held_out) > 0.97
     odd = spark.createDataFrame([(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "*** 。", "en", "s", 0), (4, "日本", "en", "s", 0), (None, "thwhing er", "xx", "s", 0)], DOCS)
     assert {r.doc_id: r.lang for r in langid.identify(odd, model).collect()} == {1: None, 2: None, 3: None, 4: None, None: "en"}
-    assert langid.keep_identified(odd, model).collect()[0].text == "thwhing er" and langid.keep_identified(odd, model).columns == odd.columns
+    named = odd.withColumns({"_lang": F.lit(1), "lead": F.lit(2), "words": F.lit(3), "_lead": F.lit(4)})
+    assert langid.keep_identified(named, model).collect()[0].text == "thwhing er" and langid.keep_identified(named, model).columns == named.columns
+    long = spark.createDataFrame([(1, "ingther thth " * 100_000, "en", "s", 0)], DOCS)
+    assert langid.identify(long, model).first().lang == "en"
     assert langid.identify(odd, langid.train(odd.limit(0))).where("lang is not null").count() == 0
     assert langid.identify(odd.limit(0), model).count() == 0
 
@@ -277,6 +350,63 @@ def test_backoff_takes_the_longest_known_grams():
     assert np.isnan(scores("q")).all()
 
 
+def brute_language(counts, texts):
+    """Word first, then the longest known n-grams; the mean over the scored words."""
+    langs = sorted(counts)
+    grams = [{g: Counter() for g in langs} for _ in range(langid.GRAM)]
+    for n in range(1, langid.GRAM + 1):
+        for g in langs:
+            for w, c in counts[g].items():
+                for k in range(len(w) - n + 1):
+                    grams[n - 1][g][w[k : k + n]] += c
+
+    def scores(table, x):
+        names = {w for g in langs for w in table[g]}
+        return [math.log((table[g].get(x, 0) + 0.5) / (sum(table[g].values()) + 0.5 * max(1, len(names)))) for g in langs] if x in names else None
+
+    out = []
+    for t in texts:
+        every = []
+        for w in "".join(c.lower() if c.isalnum() else " " for c in t).split():
+            own = scores(counts, w)
+            for n in range(langid.GRAM, 0, -1):
+                if own is None:
+                    known = [s for s in (scores(grams[n - 1], w[k : k + n]) for k in range(len(w) - n + 1)) if s]
+                    own = [sum(x) / len(known) for x in zip(*known)] if known else None
+            if own:
+                every.append(own)
+        mean = [sum(x) / len(every) for x in zip(*every)] if every else []
+        best = sorted(mean, reverse=True)
+        lead = best[0] - best[1] if best else 0.0
+        out.append((langs[mean.index(best[0])] if best and lead >= langid.MARGIN else None, lead, len(every)))
+    return out
+
+
+def test_language_id_equals_brute_force(spark):
+    source = random.Random(21)
+    made = [(k, " ".join("".join(source.choices({"en": ["th", "ing", "a"], "de": ["sch", "ung", "a"], "fr": ["eau", "oi", "a"]}[g], k=source.randint(1, 3))) for _ in range(source.randint(0, 8))), g, "s", 0) for k, g in enumerate(sorted(["en", "de", "fr"]) * 20)]
+    made += [(100, "qqq 日本 thxx a", None, "s", 0), (101, None, "en", "s", 0), (102, "", "en", "s", 0), (103, "a", "en", "s", 0)]
+    frame = spark.createDataFrame(made, DOCS)
+    model = langid.train(frame)
+    counts = {g: Counter() for g in ("de", "en", "fr")}
+    for _, t, g, *_ in made:
+        if t is not None and g is not None:
+            counts[g].update(t.split())
+    got = {r.doc_id: r for r in langid.identify(frame, model).collect()}
+    for (i, *_), (lang, lead, n) in zip(made, brute_language(counts, [t or "" for _, t, *_ in made])):
+        assert (got[i].lang, got[i].words) == (lang, n) and abs(got[i].lead - lead) < 1e-9
+
+
+def test_training_draw_holds_at_any_size(spark):
+    for n in (601, 10**6, 6 * 10**8 + 1, 10**9, 10**13):
+        bound = langid.draw_bound(n, 600)
+        assert abs((bound + 2**63) / 2**64 * n - 600) < 1e-3 and -(2**63) < bound < 2**63
+    assert langid.draw_bound(600, 600) is None
+    frame = spark.range(20000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("word"), "id").alias("text"), F.lit("en").alias("lang"))
+    drawn = len(langid.train(frame, 500).words)
+    assert 400 < drawn < 600  # null ids are drawn by their texts
+
+
 # 6
 
 
