@@ -109,6 +109,38 @@ def test_near_duplicates(spark, docs, corpus):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_hot_buckets_are_searched_exactly(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BUCKET", 3)
+    source, rows = random.Random(31), []
+    for family in range(3):
+        base = words(700 + family, 60)
+        for k in range(25):
+            own = list(base)
+            for _ in range(source.randint(0, 9)):  # some reach the pivot, some only others
+                own[source.randrange(60)] = source.choice(WORDS) + "x"
+            rows.append((100 * family + k, " ".join(own)))
+    sig = signatures(rows)
+    pairs = [(a, b) for a in sig for b in sig if a < b and (sig[a] != sig[b]).sum() <= neardup.MAX_DISTANCE]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.group_id) for r in neardup.near_duplicates(docs).collect()} == groups_of(pairs) and len(pairs) > 100
+    # one bucket of all, at a distance that leaves several components
+    copies = spark.createDataFrame([(i, bytearray(m.tobytes())) for i, m in sig.items()], "rep long, sig binary")
+    hot = copies.select(F.lit(5).cast("long").alias("key"), "rep", F.lit(75).cast("long").alias("n"))
+    for distance in (8, 16, 25):
+        want = groups_of((a, b) for a in sig for b in sig if a < b and (sig[a] != sig[b]).sum() <= distance)
+        assert groups_of((r.u, r.v) for r in neardup.hot_edges(hot, copies, distance).collect()) == want and want
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    one, two = " ".join(words(41, 60)), " ".join(words(42, 60))
+    rows = [(1, one), (2, one), (2, two), (2, two), (3, two), (None, one), (5, None), (6, ""), (7, "?!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"gone": F.lit(1), "row": F.lit(2), "rid": F.lit(3), "_gone": F.lit(4), "group": F.lit(5)})
+    out = neardup.drop_near_duplicates(docs)
+    assert out.columns == docs.columns and Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(1, one), (2, two), (2, two), (None, one), (5, None), (6, ""), (7, "?!")])
+    long = spark.createDataFrame([(k, " ".join(words(43, 150_000)) + f" end {k}") for k in range(2)], "doc_id long, text string")
+    assert neardup.near_duplicates(long).count() == 2 and neardup.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
 def test_keys_guarantee_all_within_the_distance():
     random_ = np.random.default_rng(1)
     base = random_.integers(0, 65536, neardup.K).astype(np.uint16)
