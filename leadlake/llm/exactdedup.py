@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.llm._graph import durable
@@ -71,7 +71,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low, high, data, offsets in slices(batch.column(1)):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(fingerprints(data, offsets).view(np.int64)), pa.array(np.diff(offsets))], ["doc_id", "print", "bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low), pa.array(fingerprints(data, offsets).view(np.int64)), pa.array(np.diff(offsets))], ["doc_id", "row", "print", "bytes"])
 
 
 def same(a: memoryview, b: memoryview) -> bool:
@@ -80,7 +80,7 @@ def same(a: memoryview, b: memoryview) -> bool:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over (print, bytes, part, doc_id, text) sorted by all but the text: each document with the first of the same text.
+    """Over (print, bytes, part, rid, text) sorted by all but the text: each text with the first of the same bytes.
 
     Of a group, only its differing texts are held, one unless fingerprints collide.
     """
@@ -99,33 +99,44 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lead = ids[k]
                 leaders.append((lead, memoryview(bytes(text))))
             out.append(lead)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(out, pa.int64())], ["print", "bytes", "doc_id", "leader"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(out, pa.int64())], ["print", "bytes", "rid", "leader"])
 
 
 def _led(rows: DataFrame) -> DataFrame:
-    return rows.select("print", "bytes", "part", "doc_id", "text").repartition("print", "bytes", "part").sortWithinPartitions("print", "bytes", "part", "doc_id").mapInArrow(_compare, "print long, bytes long, doc_id long, leader long")
+    """(print, bytes, rid, leader) from (print, bytes, n, rid, text), by parts of about PART texts of one fingerprint."""
+    parted = rows.select("print", "bytes", F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / PART)).alias("part"), "rid", "text")
+    return parted.repartition("print", "bytes", "part").sortWithinPartitions("print", "bytes", "part", "rid").mapInArrow(_compare, "print long, bytes long, rid long, leader long")
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, group_id, group_size, kept): documents whose text is byte for byte that of another one.
 
     group_id is the smallest doc_id of the group, which is also the one kept. There is no false and no missed pair: equal
-    texts have equal fingerprints and lengths, and these are compared in full.
+    texts have equal fingerprints and lengths, and these are compared in full. Copies of one text are compared in parts of
+    about PART, then the leaders of the parts, and so on until one is left, so no task sees a whole hot group.
 
     Nulls and empties: empty texts are equal to each other, null texts to none; a null doc_id is left out. Repeated rows of
-    one doc_id and text are one document. An empty table gives no row. Columns other than doc_id and text aren't read.
+    one doc_id and text are one document; rows of one doc_id with other texts are other documents. An empty table gives no
+    row. Columns other than doc_id and text aren't read.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    prints = durable(own.mapInArrow(_print, "doc_id long, print long, bytes long").distinct())
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null").withColumn("row", F.xxhash64("text"))
+    prints = durable(own.mapInArrow(_print, "doc_id long, row long, print long, bytes long").distinct())
     size = prints.groupBy("print", "bytes").agg(F.count("*").alias("n")).where("n > 1")
-    named = durable(prints.join(size, ["print", "bytes"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / PART))))
+    named = prints.join(size, ["print", "bytes"])
     # the one shuffle of texts: only candidates' are left after it
-    texts = durable(own.join(named, "doc_id").select("print", "bytes", "part", "doc_id", "text"))
-    first = durable(_led(texts))
-    # leaders of the parts of a group, compared in turn
-    split = first.join(named.where(f"n > {PART}").select("print", "bytes").distinct(), ["print", "bytes"], "left_semi")
-    lead = split.select("print", "bytes", F.col("leader").alias("doc_id")).distinct().join(texts.select("doc_id", "text"), "doc_id").select("print", "bytes", F.lit(0).cast("long").alias("part"), "doc_id", "text")
-    second = _led(lead).select(F.col("doc_id").alias("leader"), F.col("leader").alias("head")).distinct()
-    groups = first.join(second, "leader", "left").select("doc_id", F.coalesce("head", "leader").alias("group_id")).distinct()
-    sized = groups.withColumn("group_size", F.count("*").over(Window.partitionBy("group_id"))).where("group_size > 1")
-    return sized.withColumn("kept", F.col("doc_id") == F.col("group_id"))
+    texts = durable(own.join(named, ["doc_id", "row"]).select("print", "bytes", "n", "doc_id", "row", "text", F.monotonically_increasing_id().alias("rid")))
+    led = durable(_led(texts))
+    most = size.agg(F.max("n")).first()[0] or 0
+    while most > PART:
+        # the leaders of groups in parts, compared in turn
+        open_ = led.join(size.where(F.col("n") > PART), ["print", "bytes"], "left_semi").select("print", "bytes", F.col("leader").alias("rid")).distinct()
+        size = durable(open_.groupBy("print", "bytes").agg(F.count("*").alias("n")))
+        before, most = most, size.agg(F.max("n")).first()[0] or 0
+        if most >= before:  # more than PART different texts of one fingerprint: one last time, in one part
+            size, most = size.withColumn("n", F.lit(1).cast("long")), 0
+        again = open_.join(size, ["print", "bytes"]).join(texts.select("rid", "text"), "rid")
+        head = _led(again).select(F.col("rid").alias("leader"), F.col("leader").alias("head"))
+        led = durable(led.join(head, "leader", "left").select("print", "bytes", "rid", F.coalesce("head", "leader").alias("leader")))
+    groups = texts.select("rid", "doc_id").join(led.select("rid", "leader"), "rid").select("leader", "doc_id").distinct()
+    sized = groups.groupBy("leader").agg(F.count("*").alias("group_size"), F.min("doc_id").alias("group_id")).where("group_size > 1")
+    return groups.join(sized, "leader").select("doc_id", "group_id", "group_size", (F.col("doc_id") == F.col("group_id")).alias("kept"))

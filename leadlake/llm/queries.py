@@ -120,11 +120,17 @@ def _sql_key(url: str) -> str:
     return f"{host} || {port} || {path} || CASE WHEN {kept} = '' THEN '' ELSE '?' || {kept} END"
 
 
-# pages without canonical links have no edges, so equal keys are the only aliases; links are covered by tests/llm
+# pages here say nothing of themselves, so the edges are those of mobile hosts; what pages say is covered by tests/llm
 _URLS = f"""
-WITH keyed AS (SELECT page_id, url, {_sql_key("trim(url)")} AS key FROM pages),
-told AS (SELECT *, coalesce(key <> '' AND {_URL_BLOCKED}, false) AS bad FROM keyed)
-SELECT page_id, url, key, key AS component, CASE WHEN bad THEN 'block' ELSE 'pass' END AS decision, CASE WHEN bad THEN 'blocked' ELSE '' END AS reason FROM told
+WITH RECURSIVE keyed AS (SELECT page_id, url, {_sql_key("trim(url)")} AS key FROM pages),
+edges AS (SELECT DISTINCT key AS u, regexp_replace(key, '^(amp|m|mobile|touch)\\.', '') AS v FROM keyed WHERE regexp_matches(key, '^(amp|m|mobile|touch)\\.[^/?:]*\\.')),
+ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+reach(node, low) AS (SELECT u, u FROM ways UNION SELECT b.v, r.low FROM reach r JOIN ways b ON b.u = r.node),
+groups AS (SELECT node, min(low) AS component FROM reach GROUP BY 1),
+nodes AS (SELECT key FROM keyed WHERE key IS NOT NULL UNION SELECT node FROM groups),
+bad AS (SELECT DISTINCT component FROM groups JOIN nodes n ON n.key = groups.node WHERE {_URL_BLOCKED}),
+told AS (SELECT k.*, coalesce(g.component, k.key) AS component, coalesce(key <> '' AND {_URL_BLOCKED}, false) AS own, g.component IN (SELECT component FROM bad) AS alias FROM keyed k LEFT JOIN groups g ON g.node = k.key)
+SELECT page_id, url, key, component, CASE WHEN own OR coalesce(alias, false) THEN 'block' ELSE 'pass' END AS decision, CASE WHEN own THEN 'blocked' WHEN coalesce(alias, false) THEN 'alias of a blocked URL' ELSE '' END AS reason FROM told
 """
 
 _CHAT = r"""

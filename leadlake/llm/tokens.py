@@ -9,6 +9,7 @@ encoded again to answer how long a prefix fits a budget, or what a cut costs.
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 import unicodedata
 from collections.abc import Iterator
@@ -26,6 +27,8 @@ from leadlake.llm._text import slices, span_hashes
 #: A rank file: a line for each token, base64 and rank. The environment may name another.
 RANKS = os.environ.get("LEADLAKE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 BUDGETS = (512, 2048, 8192)
+#: Bytes of a rank file that are handed to workers at most.
+MOST_RANKS = 64 << 20
 #: Pieces whose counts a worker remembers; beyond that it starts anew.
 REMEMBERED = 300_000
 
@@ -59,12 +62,17 @@ class PrefixCounter:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.known: dict[bytes, np.ndarray] = {}
 
+    @classmethod
+    def of(cls, raw: bytes) -> PrefixCounter:
+        """The counter of a rank file's bytes, made once a worker."""
+        key = hashlib.sha256(raw).digest()
+        if key not in _state:
+            _state[key] = cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())})
+        return _state[key]
+
     @classmethod
     def load(cls, path: str) -> PrefixCounter:
-        if ("ranks", path) not in _state:
-            with open(path, "rb") as file:
-                _state["ranks", path] = cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())})
-        return _state["ranks", path]
+        return cls.of(rank_file(path))
 
     def encode(self, piece: bytes) -> list[int]:
         return self.plain._encode_single_piece(piece)
@@ -96,6 +104,24 @@ class PrefixCounter:
         return out
 
 
+def rank_file(path: str) -> bytes:
+    """The bytes of a rank file, which the driver reads and hands to the workers: at most MOST_RANKS."""
+    if (size := os.path.getsize(path)) > MOST_RANKS:
+        raise ValueError(f"{path} has {size} bytes, more than the {MOST_RANKS} that are handed to workers")
+    with open(path, "rb") as file:
+        return file.read()
+
+
+def stored(steps: np.ndarray) -> bytes:
+    """The steps of one text as bytes: the width of a step, 1 or 4, and the steps, little-endian. None is too large."""
+    width = 1 if not len(steps) or (steps.min() >= -128 and steps.max() <= 127) else 4
+    return bytes([width]) + steps.astype(f"<i{width}").tobytes()
+
+
+def steps_of(prefix: bytes) -> np.ndarray:
+    return np.frombuffer(prefix, f"<i{prefix[0]}", offset=1)
+
+
 def piece_starts(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Where the pieces of the split pattern begin; first and last place of each run of white space whose last place is a
     piece of its own or leads the next one; the middle places of contractions of three characters."""
@@ -163,9 +189,9 @@ def prefix_counts(data: np.ndarray, offsets: np.ndarray, counter: PrefixCounter)
     return out - np.repeat(zero, np.diff(chars)), chars
 
 
-def _count(path: str, budgets: tuple[int, ...], names: list[str]):
+def _count(held, budgets: tuple[int, ...], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter.load(path)
+        counter = PrefixCounter.of(held.value)
         for batch in batches:
             for low, high, data, offsets in slices(batch.column(1)):
                 counts, chars = prefix_counts(data, offsets, counter)
@@ -174,8 +200,6 @@ def _count(path: str, budgets: tuple[int, ...], names: list[str]):
                 at = chars[:-1][full]
                 step = np.diff(counts, prepend=0)
                 step[at] = counts[at]
-                step = step.astype("<i2")
-                raw = step.tobytes()
                 tokens = np.zeros(len(size), np.int64)
                 tokens[full] = counts[chars[1:][full] - 1]
                 fits = []
@@ -187,7 +211,7 @@ def _count(path: str, budgets: tuple[int, ...], names: list[str]):
                     fits.append(fit)
                 gone = pa.compute.is_null(batch.column(1).slice(low, high - low)).to_numpy(zero_copy_only=False)
                 null = lambda x: pa.array(x, mask=gone)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), null(tokens), *map(null, fits), pa.array([None if g else raw[2 * a : 2 * b] for a, b, g in zip(chars[:-1], chars[1:], gone)], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), null(tokens), *map(null, fits), pa.array([None if g else stored(step[a:b]) for a, b, g in zip(chars[:-1], chars[1:], gone)], pa.binary())], names)
 
     return run
 
@@ -196,7 +220,7 @@ def token_prefixes(docs: DataFrame, ranks: str = RANKS, budgets: tuple[int, ...]
     """(doc_id, n_tokens, fit_<budget>..., prefix) for every row.
 
     prefix holds, for each character of the text, by how much the exact token count of the text up to it differs from the
-    count one character before (16 bits each, little-endian); ``tokens_at`` and ``longest_within`` read it. fit_<budget> is the
+    count one character before, see ``stored``; ``tokens_at`` and ``longest_within`` read it. fit_<budget> is the
     longest prefix, in characters, of at most so many tokens.
 
     Nulls and empties: a null text has null for all, an empty one 0 and an empty prefix; a null doc_id stays null. Repeated
@@ -204,7 +228,8 @@ def token_prefixes(docs: DataFrame, ranks: str = RANKS, budgets: tuple[int, ...]
     """
     names = ["doc_id", "n_tokens", *(f"fit_{b}" for b in budgets), "prefix"]
     schema = "doc_id long, n_tokens long, " + "".join(f"fit_{b} long, " for b in budgets) + "prefix binary"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_count(ranks, tuple(budgets), names), schema)
+    held = docs.sparkSession.sparkContext.broadcast(rank_file(ranks))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_count(held, tuple(budgets), names), schema)
 
 
 def tokens_at(prefix: str | Column, chars: str | Column) -> Column:
@@ -212,7 +237,7 @@ def tokens_at(prefix: str | Column, chars: str | Column) -> Column:
 
     @F.pandas_udf("long")
     def read(prefix: pd.Series, chars: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or pd.isna(c) else int(np.frombuffer(p, "<i2")[: max(0, int(c))].sum(dtype=np.int64)) for p, c in zip(prefix, chars)], dtype="Int64")
+        return pd.Series([None if p is None or pd.isna(c) else int(steps_of(p)[: max(0, int(c))].sum(dtype=np.int64)) for p, c in zip(prefix, chars)], dtype="Int64")
 
     return read(prefix, chars)
 
@@ -223,7 +248,7 @@ def longest_within(prefix: str | Column, budget: str | Column) -> Column:
     @F.pandas_udf("long")
     def read(prefix: pd.Series, budget: pd.Series) -> pd.Series:
         def one(p: bytes, most: int) -> int:
-            within = np.flatnonzero(np.cumsum(np.frombuffer(p, "<i2"), dtype=np.int64) <= most)
+            within = np.flatnonzero(np.cumsum(steps_of(p), dtype=np.int64) <= most)
             return int(within[-1]) + 1 if len(within) else 0
 
         return pd.Series([None if p is None or pd.isna(b) else one(p, int(b)) for p, b in zip(prefix, budget)], dtype="Int64")

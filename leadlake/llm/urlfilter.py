@@ -1,8 +1,9 @@
 """Operator 4: URL filters over redirect equivalence.
 
-URLs that differ in scheme, "www.", default port, fragment, tracking parameters or a last slash are one node. Canonical links
-found in pages, and redirects where a table of them is given, are edges; pages in one connected component are aliases, and a
-block that hits one of them holds for all. An explicit allow of a page's own URL takes precedence over every block.
+URLs that differ in scheme, "www.", default port, fragment, tracking parameters or a last slash are one node. Edges are what
+pages say of themselves (canonical link, og:url, a refresh that sends on), the mobile hosts that stand for a site, and
+redirects where a table of them is given; pages in one connected component are aliases, and a block that hits one of them
+holds for all. An explicit allow of a page's own URL takes precedence over every block.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ BLOCK_WORDS = ("bets", "casino", "pills", "porn", "poker", "viagra", "xxx", "war
 #: Hosts that are blocked or allowed with all their subdomains.
 BLOCK_HOSTS: tuple[str, ...] = ()
 ALLOW_HOSTS: tuple[str, ...] = ()
+#: First labels of hosts that stand for the site behind them.
+MOBILE = r"^(?:amp|m|mobile|touch)\.(?=[^/?:]*\.)"
 TRACKING = "(?:utm_[a-z]+|ref|gclid|fbclid|mc_cid|mc_eid|igshid)"
 
 
@@ -37,11 +40,36 @@ def url_key(url: Column) -> Column:
     return F.concat(url_host(url), port, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute of a tag, without its quotes; '' if there is none."""
+    value = F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", 0)
+    return F.trim(F.regexp_replace(value, rf"(?is)^\s*{name}\s*=\s*[\"']?|[\"']$", ""))
+
+
+def said_targets(html: Column) -> Column:
+    """The addresses that a page gives for itself, as they are written: canonical link, og:url, refresh; '' where there is none."""
+    shared = _attribute(F.regexp_extract(html, r"(?is)<meta\b(?=[^>]*\b(?:property|name)\s*=\s*[\"']?og:url\b)[^>]*>", 0), "content")
+    sent = _attribute(F.regexp_extract(html, r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*>", 0), "content")
+    target = F.regexp_replace(F.regexp_extract(sent, r"(?is)^\s*[\d.]*\s*[;,]\s*url\s*=\s*(.*)$", 1), r"^[\"']|[\"']$", "")
+    return F.array(canonical_link(html), shared, F.trim(target))
+
+
 def canonical_link(html: Column) -> Column:
     """The target of the first <link rel=canonical>, as it is written; '' if there is none."""
-    tag = F.regexp_extract(html, r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*>", 0)
-    target = F.regexp_extract(tag, r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", 0)
-    return F.trim(F.regexp_replace(target, r"(?is)^\s*href\s*=\s*[\"']?|[\"']$", ""))
+    return _attribute(F.regexp_extract(html, r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*>", 0), "href")
+
+
+def without_dots(url: Column) -> Column:
+    """A URL whose path has no "." and ".." segments left; one above the top is dropped."""
+    site = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
+    tail = F.regexp_extract(url, r"^[^?#]*(.*)$", 1)
+    parts = F.split(rest, "/")
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(parts, none, lambda out, p: F.when(p == ".", out).when(p == "..", F.when(F.size(out) > 1, F.slice(out, F.lit(1), F.size(out) - 1)).otherwise(out)).otherwise(F.concat(out, F.array(p))))
+    path = F.array_join(kept, "/")
+    path = F.when(rest.rlike(r"/\.\.?$"), F.concat(path, F.lit("/"))).otherwise(path)
+    return F.when((site != "") & rest.rlike(r"/\.\.?(?:/|$)"), F.concat(site, path, tail)).otherwise(url)
 
 
 def _resolved(target: Column, base: Column) -> Column:
@@ -49,7 +77,7 @@ def _resolved(target: Column, base: Column) -> Column:
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1)
     site = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    return (
+    return without_dots(
         F.when(target == "", None)
         .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), target)
         .when(target.startswith("//"), F.concat(scheme, target))
@@ -65,6 +93,11 @@ def _under(host: Column, hosts: tuple[str, ...]) -> Column:
     return out
 
 
+def main_key(key: Column) -> Column:
+    """The key of the site that a mobile host stands for; null where the host is none."""
+    return F.when(key.rlike(MOBILE), F.regexp_replace(key, MOBILE, ""))
+
+
 def filter_urls(pages: DataFrame, redirects: DataFrame | None = None, block_words: tuple[str, ...] = BLOCK_WORDS, block_hosts: tuple[str, ...] = BLOCK_HOSTS, allow_hosts: tuple[str, ...] = ALLOW_HOSTS, block_urls: tuple[str, ...] = (), allow_urls: tuple[str, ...] = ()) -> DataFrame:
     """(page_id, url, key, component, decision, reason) for every row of ``pages`` (page_id, url, html).
 
@@ -72,14 +105,17 @@ def filter_urls(pages: DataFrame, redirects: DataFrame | None = None, block_word
     "pass"; reason is "allowed", "blocked", "alias of a blocked URL" or "". Redirect targets and sources that are no page take
     part, so a block passes through them. Rule lists are parameters of a job, not data.
 
-    Nulls and empties: a null URL has null key and component and passes; null html has no link; URLs that can't be read have
+    Nulls and empties: a null URL has null key and component and passes; null html says nothing; URLs that can't be read have
     the key ''  and are no aliases of each other. Repeated rows are each decided. An empty table gives no row. Other
     columns aren't read.
     """
     html = F.col("html").cast("string")
-    own = pages.select("page_id", F.col("url").cast("string").alias("url"), F.when(html.contains("canonical") | html.contains("CANONICAL") | html.contains("Canonical"), canonical_link(html)).otherwise("").alias("_link"))
-    keyed = own.withColumn("key", url_key(F.col("url"))).withColumn("_to", url_key(_resolved(F.col("_link"), F.trim("url"))))
-    edges = keyed.select(F.col("key").alias("u"), F.col("_to").alias("v"))
+    none = F.array().cast("array<string>")
+    said = F.when(html.rlike(r"(?i)canonical|og:url|http-equiv"), said_targets(html)).otherwise(none)
+    own = pages.select("page_id", F.col("url").cast("string").alias("url"), said.alias("_said"))
+    keyed = own.withColumn("key", url_key(F.col("url")))
+    targets = F.transform(F.coalesce("_said", none), lambda t: url_key(_resolved(t, F.trim("url"))))
+    edges = keyed.select(F.col("key").alias("u"), F.explode(F.concat(targets, F.array(main_key(F.col("key"))))).alias("v"))
     if redirects is not None:
         edges = edges.unionByName(redirects.select(url_key(F.col("source").cast("string")).alias("u"), url_key(F.col("target").cast("string")).alias("v")))
     edges = durable(edges.where("u is not null and v is not null and u <> '' and v <> '' and u <> v").distinct())

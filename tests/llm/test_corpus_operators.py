@@ -350,6 +350,19 @@ def test_url_filter(spark):
     assert urlfilter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_what_pages_say_of_themselves(spark):
+    rows = [
+        (1, "http://a.com/x/y/z.html", '<LINK REL=CANONICAL HREF="../../blocked">'), (2, "http://a.com/blocked", ""), (3, "http://b.com/p", '<meta content="0; URL=\'//a.com/./blocked\'" http-equiv="Refresh">'), (4, "http://c.com/", "<META property=\"og:url\" content='https://b.com/p#x'>"),
+        (5, "https://m.a.com/blocked/", ""), (6, "http://m.com/blocked", ""), (7, "http://e.com/q", '<meta http-equiv="refresh" content="30">'), (8, "http://a.com/../../", '<link rel=canonical href="//f.com/a/../">'), (9, "http://f.com", "x " * 600_000),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("_said", F.lit(1))
+    got = {r.page_id: (r.decision, r.reason) for r in urlfilter.filter_urls(pages, block_urls=("https://a.com/blocked",), allow_urls=("http://c.com",)).collect()}
+    alias = ("block", "alias of a blocked URL")
+    assert got == {1: alias, 2: ("block", "blocked"), 3: alias, 4: ("allow", "allowed"), 5: alias, 6: ("pass", ""), 7: ("pass", ""), 8: ("pass", ""), 9: ("pass", "")}
+    same = {r.page_id: r.component for r in urlfilter.filter_urls(pages).collect()}
+    assert same[8] == same[9] and same[1] == same[5] != same[6]
+
+
 # 5
 
 
@@ -467,11 +480,23 @@ def test_exact_duplicates(spark, docs, corpus, monkeypatch):
     many = spark.createDataFrame([(k, "x" if k % 2 else "y") for k in range(31)], "doc_id long, text string")
     assert {(r.doc_id, r.group_id) for r in exactdedup.exact_duplicates(many).collect()} == {(k, k % 2) for k in range(31)}
     assert exactdedup.exact_duplicates(empty(spark)).count() == 0
+    # all fingerprints alike: only the comparison tells texts apart, in any number of parts
+    def same_print(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.zeros(len(b), np.int64)), pa.array(np.full(len(b), 6))], ["doc_id", "row", "print", "bytes"])
+
+    monkeypatch.setattr(exactdedup, "_print", same_print)
+    alike = [(k, f"text {k % 6}") for k in range(40)] + [(1, "text 0"), (1, "text 0")]
+    got = {(r.doc_id, r.group_id, r.group_size) for r in exactdedup.exact_duplicates(spark.createDataFrame(alike, "doc_id long, text string")).collect()}
+    by = {}
+    for i, t in alike:
+        by.setdefault(t, set()).add(i)
+    assert got == {(i, min(ids), len(ids)) for ids in by.values() for i in ids}
 
 
 def test_equal_fingerprints_are_compared():
     rows = [[7] * 4, [3] * 4, [0] * 4, [1, 2, 3, 4], ["abc", "abd", "abc", "abd"]]
-    batch = pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2]), pa.array(rows[3]), pa.array(rows[4])], ["print", "bytes", "part", "doc_id", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2]), pa.array(rows[3]), pa.array(rows[4])], ["print", "bytes", "part", "rid", "text"])
     assert next(exactdedup._compare([batch])).column(3).to_pylist() == [1, 2, 1, 2]
 
 
@@ -632,3 +657,13 @@ def test_budgets(spark, encoding):
         assert (r.doc_id, r.n_tokens, r.fit_7, r.fit_50) == (i, count[-1], max(k for k, c in enumerate(count) if c <= 7), max(k for k, c in enumerate(count) if c <= 50))
         assert r["at"] == count[min(9, len(t))] and r.fit == r.fit_7
     assert tokens.token_prefixes(frame.limit(0)).count() == 0
+    steps = np.array([1, 0, 300, -299, 1, -129, 70_000])
+    assert tokens.steps_of(tokens.stored(steps)).tolist() == steps.tolist() and tokens.steps_of(tokens.stored(steps[:2])).tolist() == [1, 0] and tokens.stored(steps[:0]) == b"\1"
+    long = "word, " * 200_000
+    assert tokens.token_prefixes(spark.createDataFrame([(1, long)], "doc_id long, text string")).first().n_tokens == len(encoding.encode_ordinary(long))
+
+
+def test_only_bounded_rank_files_are_handed_out(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_RANKS", 10)
+    with pytest.raises(ValueError):
+        tokens.rank_file(tokens.RANKS)
