@@ -144,6 +144,13 @@ def binary_rows(matrix: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(matrix.tobytes())])
 
 
+def draw_bound(rows: int, wanted: int) -> int | None:
+    """The signed 64-bit bound under which a hash draws ``wanted`` of ``rows`` rows, about; None draws all. Exact at any size."""
+    if rows <= wanted:
+        return None
+    return -(1 << 63) + max(1, (wanted << 64) // rows)
+
+
 def free_names(taken: list[str], *wanted: str) -> list[str]:
     """Column names that clash with none of ``taken``, with more underscores in front where needed."""
     low, out = {c.lower() for c in taken}, []

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from leadlake.llm._text import WORD_RE, buffers, free_names, lower, slices, span_hashes, word_bounds
+from leadlake.llm._text import WORD_RE, buffers, draw_bound, free_names, lower, slices, span_hashes, word_bounds
 
 #: Labelled documents of each language that the model is fitted on, about; a hash of the id draws them.
 TRAIN_DOCS = 600
@@ -65,13 +65,6 @@ def fit(counts: dict[str, dict[str, int]]) -> Model:
     return Model(langs, *_scores(counts, langs), [g[0] for g in grams], [g[1] for g in grams])
 
 
-def draw_bound(rows: int, wanted: int) -> int | None:
-    """The signed 64-bit bound under which a hash draws ``wanted`` of ``rows`` rows, about; None draws all. Exact at any size."""
-    if rows <= wanted:
-        return None
-    return -(1 << 63) + max(1, (wanted << 64) // rows)
-
-
 def train(labelled: DataFrame, docs_per_language: int = TRAIN_DOCS) -> Model:
     """Fits on about ``docs_per_language`` rows of each value of ``lang``, whole texts; all of them where there are fewer.
 

@@ -4,8 +4,8 @@ Documents of a source are numbered in a random order and cut into blocks. Every
 over the output shards hands them out: at each node the left half draws its blocks from the node's without replacement
 (multivariate hypergeometric), the right half has the rest. So shards hold equally many blocks, sources meet their quotas
 exactly, and no block is in two shards. The blocks of a source are permuted before they are dealt; each shard then
-shuffles its own documents. With ``epochs`` a scarce source is gone through several times, up to that number, so that it
-doesn't set the size of the mix; each further pass over its blocks counts as blocks of their own.
+shuffles its own documents. A scarce source doesn't set the size of the mix: it is gone through several times, up to
+``epochs``, and each further pass over its blocks counts as blocks of their own; what it can't give is spread over the rest.
 """
 
 from __future__ import annotations
@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadlake.llm._graph import durable
+from leadlake.llm._text import free_names
 
 #: Documents in a block.
 BLOCK = 8
 SHARDS = 16
+#: Documents of an output shard, about, where their number isn't given: there are SHARDS or more.
+SHARD_DOCS = 1_000_000
 SEED = 20_240_601
 #: Without given weights, a source's weight is its number of documents to this power.
 TEMPER = 0.5
@@ -34,24 +37,16 @@ NONE = "\x00none"
 
 
 def _shares(docs: dict[str, int], weights: dict[str, float] | None) -> dict[str, float]:
-    share = {s: n**TEMPER for s, n in docs.items()} if weights is None else {s: float(weights.get(s, 0.0)) for s in docs}
+    if weights is None:
+        share = {s: n**TEMPER for s, n in docs.items()}
+    else:
+        given = {NONE if s is None else s: w for s, w in weights.items()}
+        share = {s: float(given.get(s, 0.0)) for s in docs}
     if any(w < 0 or not np.isfinite(w) for w in share.values()):
         raise ValueError("weights must be finite and not negative")
     return {s: w for s, w in share.items() if w > 0}
 
 
-def block_quotas(docs: dict[str, int], weights: dict[str, float] | None, block: int = BLOCK) -> dict[str, int]:
-    """Blocks to draw from each source: the largest mix at the target weights that repeats no document.
-
-    Only whole blocks are drawn. A source that is not in ``weights``, or has weight 0, has none.
-    """
-    share = {s: w for s, w in _shares(docs, weights).items() if docs[s] >= block}
-    if not share:
-        return dict.fromkeys(docs, 0)
-    total = min((docs[s] // block) / w for s, w in share.items())
-    return {s: min(docs[s] // block, int(total * share[s] + 1e-9)) if s in share else 0 for s in docs}
-
-
 def filled_quotas(docs: dict[str, int], weights: dict[str, float] | None, block: int = BLOCK, epochs: int = 1, total: int | None = None) -> dict[str, int]:
     """Blocks to draw from each source, passes included, where scarce sources don't set the size of the mix.
 
@@ -62,6 +57,8 @@ def filled_quotas(docs: dict[str, int], weights: dict[str, float] | None, block:
     share = _shares(docs, weights)
     if epochs < 1 or (total is not None and total < 0):
         raise ValueError("epochs must be 1 at least, total not negative")
+    if weights is not None and total is None and epochs == 1:
+        raise ValueError("weights need a total or epochs: every document just once is the natural mix, whatever the weights")
     if total is None:
         level = max((docs[s] / w for s, w in share.items()), default=0.0)
     else:
@@ -121,55 +118,73 @@ def deal_blocks(quotas: dict[str, int], blocks: dict[str, int], shards: int, see
 
 
 def _key(seed: int, salt: int, *more: str):
-    return F.xxhash64(F.lit(seed), F.lit(salt), F.col("doc_id"), *more)
+    return F.xxhash64(F.lit(seed), F.lit(salt), F.col("key"), *more)
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED, epochs: int | None = None, total: int | None = None) -> DataFrame:
-    """(doc_id, source, block, shard, place): the documents drawn, their output shard and their place in it.
+def _shard(ends: str, at: str):
+    """How many of the sorted ``ends`` are not above ``at``: in two steps, so that it costs the root of their number."""
+    width = F.ceil(F.sqrt(F.size(ends))).cast("int")
+    heads = F.filter(ends, lambda end, k: ((k + 1) % width == 0) & (end <= F.col(at)))
+    return F.size(heads) * width + F.size(F.filter(F.slice(ends, F.size(heads) * width + 1, width), lambda end: end <= F.col(at)))
 
-    ``weights`` are shares of documents by source, to any scale; None takes the number of documents to the power TEMPER.
-    Without ``epochs`` the numbers of documents drawn match the weights to within a block a source, no document is drawn
-    twice, and the least source for its weight sets the size of the mix; only whole blocks are drawn. With ``epochs`` the
-    size is ``total``, or what takes every document at least once, see ``filled_quotas``: a source is gone through up to
-    ``epochs`` times, and partial blocks and sources smaller than a block take part. The blocks of a further pass are
-    numbered on, so a document has a row for each pass that draws it.
 
-    Nulls and empties: documents without a source are a source of their own; a null doc_id is left out; texts aren't read,
-    so empty and null ones count as documents. Repeated rows of one doc_id are one document, with the least source. An empty
-    table gives no row, nor, without ``epochs``, do sources all smaller than a block. Other columns aren't read.
-
-    Numbering sorts small buckets of the hash, never a whole source in one task. Through the driver pass only numbers by
-    source and by source and shard, as many for any number of documents.
-    """
-    if epochs is None and total is not None:
-        raise ValueError("total needs epochs")
-    spark = docs.sparkSession
-    own = durable(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source")).groupBy("doc_id").agg(F.min("source").alias("source")))
+def _mix(rows: DataFrame, weights: dict | None, shards: int | None, block: int, seed: int, epochs: int, total: int | None) -> DataFrame:
+    """(key, source, block, shard, place) from (key, source); sources aren't null."""
+    spark = rows.sparkSession
+    own = durable(rows.groupBy("key").agg(F.min("source").alias("source")))
     count = {r[0]: r[1] for r in own.groupBy("source").count().collect()}
+    blocks, quotas = {s: -(-n // block) for s, n in count.items()}, filled_quotas(count, weights, block, epochs, total)
+    drawn_docs = sum(quotas.values()) * block
+    shards = shards or max(SHARDS, -(-drawn_docs // SHARD_DOCS))
     buckets = max(1, -(-sum(count.values()) // BUCKET))
-    keyed = own.withColumn("_order", _key(seed, 1)).withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), F.lit(2), "doc_id"), F.lit(buckets)))
+    keyed = own.withColumn("_order", _key(seed, 1)).withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), F.lit(2), "key"), F.lit(buckets)))
     sizes = keyed.groupBy("source", "_bucket").count().withColumn("_before", F.sum("count").over(Window.partitionBy("source").orderBy("_bucket")) - F.col("count")).drop("count")
-    numbered = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("source", "_bucket").orderBy("_order", "doc_id")) - 1).join(sizes, ["source", "_bucket"])
-    numbered = numbered.select("doc_id", "source", F.floor((F.col("_before") + F.col("_nth")) / block).alias("block"))
-    if epochs is None:
-        blocks, quotas = {s: n // block for s, n in count.items()}, block_quotas(count, weights, block)
-    else:
-        blocks, quotas = {s: -(-n // block) for s, n in count.items()}, filled_quotas(count, weights, block, epochs, total)
+    numbered = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("source", "_bucket").orderBy("_order", "key")) - 1).join(sizes, ["source", "_bucket"])
+    numbered = numbered.select("key", "source", F.floor((F.col("_before") + F.col("_nth")) / block).alias("block"))
     plan = deal_blocks(quotas, blocks, shards, seed)
     table = spark.createDataFrame(plan, "source string, _blocks long, _factor long, _offset long, _ends array<long>")
-    first = numbered.join(table, "source").where(F.col("block") < F.col("_blocks")).withColumn("_at", F.pmod(F.col("_factor") * F.col("block") + F.col("_offset"), F.col("_blocks")))
+    first = numbered.join(table, "source").withColumn("_at", F.pmod(F.col("_factor") * F.col("block") + F.col("_offset"), F.col("_blocks")))
     last = F.floor((F.element_at("_ends", -1) - 1) / F.col("_blocks"))
     drawn = first.withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumns({"_at": F.col("_at") + F.col("_pass") * F.col("_blocks"), "block": F.col("block") + F.col("_pass") * F.col("_blocks")})
-    drawn = drawn.withColumn("shard", F.size(F.filter("_ends", lambda end: end <= F.col("_at")))).where(F.col("shard") < shards).select("doc_id", "source", "block", "shard")
-    fine = max(1, -(-sum(quotas.values()) * block // shards // BUCKET))
-    local = drawn.withColumn("_order", _key(seed, 3, "block")).withColumn("_bucket", F.pmod(_key(seed, 4, "block"), F.lit(fine)))
-    local = durable(local)
+    drawn = drawn.where(F.col("_at") < F.element_at("_ends", -1)).withColumn("shard", _shard("_ends", "_at")).select("key", "source", "block", "shard")
+    fine = max(1, -(-drawn_docs // shards // BUCKET))
+    local = durable(drawn.withColumn("_order", _key(seed, 3, "block")).withColumn("_bucket", F.pmod(_key(seed, 4, "block"), F.lit(fine))))
     before = local.groupBy("shard", "_bucket").count().withColumn("_before", F.sum("count").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("count")).drop("count")
-    placed = local.withColumn("_nth", F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_order", "doc_id")) - 1).join(before, ["shard", "_bucket"])
-    return placed.select("doc_id", F.when(F.col("source") != NONE, F.col("source")).alias("source"), "block", "shard", (F.col("_before") + F.col("_nth")).alias("place"))
+    placed = local.withColumn("_nth", F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_order", "key")) - 1).join(before, ["shard", "_bucket"])
+    return placed.select("key", "source", "block", "shard", (F.col("_before") + F.col("_nth")).alias("place"))
 
 
-def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED, epochs: int | None = None, total: int | None = None) -> DataFrame:
-    """The documents drawn, with all their columns and their shard and place; each repeated row of a doc_id is there, once a pass."""
-    plan = mix_sources(docs, weights, shards, block, seed, epochs, total).select(F.col("doc_id").alias("_id"), F.col("shard").alias("mix_shard"), F.col("place").alias("mix_place"))
-    return docs.join(plan, F.col("doc_id").cast("long") == F.col("_id")).drop("_id")
+def mix_sources(docs: DataFrame, weights: dict | None = None, shards: int | None = None, block: int = BLOCK, seed: int = SEED, epochs: int = 1, total: int | None = None) -> DataFrame:
+    """(doc_id, source, block, shard, place): the documents drawn, their output shard and their place in it.
+
+    ``weights`` are shares of documents by source (None for documents without one), to any scale; without them a source weighs
+    its number of documents to the power TEMPER. The size is ``total`` documents, or what takes every document at least once,
+    see ``filled_quotas``: a source is gone through up to ``epochs`` times, numbers of documents match the weights to within a
+    block a source wherever a source has enough, and partial blocks and sources smaller than a block take part. So by default
+    every document is drawn just once. The blocks of a further pass are numbered on, so a document has a row for each pass that
+    draws it.
+
+    Nulls and empties: documents without a source are a source of their own; a null doc_id is left out; texts aren't read,
+    so empty and null ones count as documents. Repeated rows of one doc_id are one document, with the least source. Ties in the
+    random order fall to the smaller doc_id. An empty table gives no row. Other columns aren't read.
+
+    Numbering sorts small buckets of the hash, never a whole source in one task. Through the driver pass only numbers by
+    source and by source and shard, as many for any number of documents of a shard.
+    """
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("key"), F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source"))
+    mixed = _mix(rows, weights, shards, block, seed, epochs, total)
+    return mixed.select(F.col("key").alias("doc_id"), F.when(F.col("source") != NONE, F.col("source")).alias("source"), "block", "shard", "place")
+
+
+def mixed_documents(docs: DataFrame, weights: dict | None = None, shards: int | None = None, block: int = BLOCK, seed: int = SEED, epochs: int = 1, total: int | None = None) -> DataFrame:
+    """The documents drawn, with all their columns and mix_shard and mix_place, which replace columns of these names.
+
+    As ``mix_sources``, but no row is left out: one with a null doc_id goes by a hash of its text. Rows of one doc_id are one
+    document and all there, at one place, once a pass. An empty table stays empty; other columns of any name are carried along.
+    """
+    kept = [c for c in docs.columns if c.lower() not in ("mix_shard", "mix_place")]
+    (key,) = free_names(docs.columns, "key")
+    ident = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
+    plan = _mix(docs.select(ident.alias("key"), F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source")), weights, shards, block, seed, epochs, total)
+    plan = plan.select(F.col("key").alias(key), F.col("shard").alias("mix_shard"), F.col("place").alias("mix_place"))
+    return docs.select(kept).join(plan, ident == F.col(key)).drop(key)

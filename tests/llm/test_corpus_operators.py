@@ -540,6 +540,56 @@ def test_quality(spark):
     assert quality.score_quality(odd, quality.train(frame, labels.limit(0))).count() == 4 and quality.score_quality(odd.limit(0), field).count() == 0
 
 
+def test_quality_equals_enumeration_and_tells_blocks_apart(spark):
+    source = random.Random(18)
+    line = lambda good: " ".join(words(source.random(), 8)).capitalize() + "." if good else " ".join(w.upper() + "!!" for w in words(source.random(), 8))
+
+    def states(kind):  # every third document has a block of the other kind
+        at = source.randrange(8) if source.random() < 0.4 else 99
+        return [kind != (at <= k < at + 4) for k in range(12)]
+
+    truth = [states(bool(k % 2)) for k in range(160)]
+    made = [(k, "\n".join(map(line, s)), "en", "s", 0) for k, s in enumerate(truth)]
+    frame = spark.createDataFrame(made, DOCS)
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(120)], "doc_id long, quality int, toxic int")
+    field = quality.train(frame, labels)
+    batch = pa.RecordBatch.from_arrays([pa.array([m[1] for m in made[120:]])], ["text"])
+    got = {r.doc_id: r.quality for r in quality.score_quality(frame, field).collect()}
+    hits, plain = [], []
+    for _, _, row, x, size in quality._lined(batch, 0):
+        score = x @ field.weights
+        for d in range(40):
+            at = np.flatnonzero(row == d)
+            every = np.array([[(code >> k) & 1 for k in range(12)] for code in range(1 << 12)])
+            worth = np.exp(every @ score[at] + sum(field.moves[every[:, k], every[:, k + 1]] for k in range(11)))
+            good = (worth[:, None] * every).sum(0) / worth.sum()
+            assert abs(got[120 + d] - (good * size[at]).sum() / size[at].sum()) < 1e-9
+            hits += [(good[k] > 0.5) == truth[120 + d][k] for k in range(12)]
+            plain += [bool(d % 2) == t for t in truth[120 + d]]
+    # lines are told apart better than by the label of their document, though only documents have labels
+    assert np.mean(hits) > np.mean(plain) + 0.03, (np.mean(hits), np.mean(plain))
+    assert field.moves[0, 0] + field.moves[1, 1] > field.moves[0, 1] + field.moves[1, 0]  # a state lasts, but may turn
+    long = spark.createDataFrame([(1, "Fine words here.\n" * 100_000, "en", "s", 0)], DOCS)
+    assert quality.score_quality(long, field).first().lines == 100_000
+
+
+def test_slope_of_the_fit_is_that_of_the_likelihood():
+    random_ = np.random.default_rng(17)
+    row, x, size = np.repeat([0, 1, 4], [3, 1, 5]), random_.normal(size=(9, 2)), random_.uniform(1, 9, 9)
+    label = np.array([1, 1, 1, 0, 0, 0, 0, 0, 0])
+
+    def likelihood(theta):
+        (good,) = quality.marginals(x @ theta[:2], row, theta[2:].reshape(2, 2))
+        mean = np.array([np.average(good[row == r], weights=size[row == r]) for r in (0, 1, 4)])
+        shown = quality.NOISE + (1 - 2 * quality.NOISE) * np.array([mean[0], 1 - mean[1], 1 - mean[2]])
+        return (np.array([0.5, 0.25, 0.25]) * np.log(shown)).sum() - quality.RIDGE * (theta**2).sum() / 2
+
+    field = quality.fit(x, row, label, size, rounds=1500)
+    best = np.r_[field.weights, field.moves.reshape(-1)]
+    slope = [(likelihood(best + d) - likelihood(best - d)) / 2e-5 for d in 1e-5 * np.eye(6)]
+    assert np.abs(slope).max() < 2e-3 and likelihood(best) > likelihood(np.zeros(6)) + 0.3
+
+
 # 8
 
 
@@ -554,20 +604,60 @@ def test_splitting_tree_is_exact():
 def test_mixing(spark):
     made = [(k, "t", "en", "big" if k % 4 else ("small" if k % 8 else None), 1) for k in range(800)] + [(0, "t", "en", None, 1), (None, "t", "en", "big", 1), (9001, None, "en", "tiny", 0)]
     frame = spark.createDataFrame(made, DOCS).withColumns({"shard": F.lit(1), "block": F.lit(2)})
-    got = mixing.mix_sources(frame, {"big": 2, "small": 1, "tiny": 0}, shards=5, block=4).collect()
+    got = mixing.mix_sources(frame, {"big": 2, "small": 1, "tiny": 0}, shards=5, block=4, total=300).collect()
     count = Counter(r.source for r in got)
     assert count == {"big": 200, "small": 100} and len({r.doc_id for r in got}) == 300
     shards = Counter(r.shard for r in got)
     assert max(shards.values()) - min(shards.values()) <= 4
     assert all(sorted(r.place for r in got if r.shard == s) == list(range(n)) for s, n in shards.items())
     assert all(len({r.shard for r in got if (r.source, r.block) == b}) == 1 for b in {(r.source, r.block) for r in got})
-    again = {(r.doc_id, r.shard, r.place) for r in mixing.mix_sources(frame.repartition(7), {"big": 2, "small": 1}, shards=5, block=4).collect()}
+    again = {(r.doc_id, r.shard, r.place) for r in mixing.mix_sources(frame.repartition(7), {"big": 2, "small": 1}, shards=5, block=4, total=300).collect()}
     assert again == {(r.doc_id, r.shard, r.place) for r in got}
-    default = Counter(r.source for r in mixing.mix_sources(frame, block=4).collect())
-    assert set(default) == {"big", "small", None} and abs(default["big"] / default[None] - 6**0.5) < 0.2
-    assert mixing.mixed_documents(frame, {None: 1}).count() == 0 and mixing.mix_sources(frame.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        mixing.block_quotas({"a": 9}, {"a": -1})
+    default = mixing.mix_sources(frame, block=4).collect()  # every document once
+    assert sorted(r.doc_id for r in default) == sorted({r[0] for r in made} - {None})
+    alone = mixing.mixed_documents(frame.withColumns({"key": F.lit(1), "mix_place": F.lit("old")}), {None: 1}, total=10**6)
+    assert alone.count() == 101 and alone.where("source is not null").count() == 0 and alone.columns == [*frame.columns, "key", "mix_shard", "mix_place"] and mixing.mix_sources(frame.limit(0)).count() == 0
+    assert mixing.mixed_documents(frame).count() == len(made) and mixing.mixed_documents(frame.limit(0)).count() == 0
+    for bad in ({"weights": {"a": -1}, "total": 1}, {"weights": {"a": 1}}, {"weights": None, "epochs": 0}):
+        with pytest.raises(ValueError):
+            mixing.filled_quotas({"a": 9}, **bad)
+
+
+def brute_mix(docs, quotas, shards, block, seed, bucket):
+    """The deal of blocks to shards, document by document, from the same hashes and the same tree."""
+    by = {}
+    for i, source, order, at in docs:
+        by.setdefault(source, []).append((at % bucket, order, i))
+    out = []
+    blocks = {s: -(-len(v) // block) for s, v in by.items()}
+    for source, n, factor, offset, ends in mixing.deal_blocks(quotas, blocks, shards, seed):
+        ranked = [i for *_, i in sorted(by[source])]
+        for b in range(n):
+            place = (factor * b + offset) % n
+            while place < ends[-1]:
+                shard = next(k for k, end in enumerate(ends) if place < end)
+                out += [(i, source, b + place // n * n, shard) for i in ranked[b * block : (b + 1) * block]]
+                place += n
+    return out
+
+
+def test_mixing_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 100)
+    rows = [(k, f"s{int((k % 97) ** 0.5) // 3}") for k in range(613)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string")
+    hashed = frame.select("doc_id", "source", F.xxhash64(F.lit(9), F.lit(1), "doc_id").alias("o"), F.xxhash64(F.lit(9), F.lit(2), "doc_id").alias("b")).collect()
+    count = Counter(s for _, s in rows)
+    for shards, epochs, total in ((7, 3, None), (1, 1, None), (30, 2, 500)):
+        quotas = mixing.filled_quotas(count, None, 8, epochs, total)
+        want = brute_mix([tuple(r) for r in hashed], quotas, shards, 8, 9, -(-613 // 100))
+        got = mixing.mix_sources(frame, shards=shards, seed=9, epochs=epochs, total=total).collect()
+        assert Counter((r.doc_id, r.source, r.block, r.shard) for r in got) == Counter(want)
+        order = {(r.doc_id, r.block): r.o for r in spark.createDataFrame([(r.doc_id, r.block) for r in got], "doc_id long, block long").select("doc_id", "block", F.xxhash64(F.lit(9), F.lit(3), "doc_id", "block").alias("o")).collect()}
+        fine = {(r.doc_id, r.block): r.o for r in spark.createDataFrame([(r.doc_id, r.block) for r in got], "doc_id long, block long").select("doc_id", "block", F.xxhash64(F.lit(9), F.lit(4), "doc_id", "block").alias("o")).collect()}
+        cells = max(1, -(-sum(quotas.values()) * 8 // shards // 100))
+        for s in range(shards):
+            own = sorted((r for r in got if r.shard == s), key=lambda r: r.place)
+            assert own == sorted(own, key=lambda r: (fine[r.doc_id, r.block] % cells, order[r.doc_id, r.block], r.doc_id)) and [r.place for r in own] == list(range(len(own)))
 
 
 def test_mixing_is_not_set_by_the_least_source(spark, tmp_path):
