@@ -1,9 +1,14 @@
 """The stages against brute-force versions, on a small fixture with every odd row."""
 
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from leadlake.llm import langid, neardup
+from leadlake.llm import langid, mixing, neardup
 
-from test_corpus_operators import DOCS, brute_lines, brute_spans, groups_of, signatures, words
+from test_corpus_operators import DOCS, brute_language, brute_lines, brute_mix, brute_spans, groups_of, signatures, words
 
 
 def own(k, n):
@@ -55,7 +60,77 @@ def test_stages(spark, tmp_path):
     assert 9 in hit and all((four[i] == t) == (i not in hit) for i, t, *_ in kept)
     assert four[9].split() == kept[[r[0] for r in kept].index(9)][1].split()[:10] + kept[[r[0] for r in kept].index(9)][1].split()[40:]
 
+    told = brute_language(language_counts(rows), [r[1] or "" for r in rows])
+    assert known == {r[0] for r, (lang, *_) in zip(rows, told) if lang is not None}
+
     last = corpus_pipeline.run(spark, sf)
     out = {r.doc_id: r for r in last.collect()}
     assert 0 < len(out) == last.count() and not set(out) & {200, 201, 202, 203, 300, 301, 302}
+    want = brute_pipeline(rows, bench)
+    assert {i: r.text for i, r in out.items()} == want
+    # the deal, document by document
+    left = [(i, out[i].source) for i in want]
+    hashed = spark.createDataFrame(left, "doc_id long, source string").select("doc_id", "source", F.xxhash64(F.lit(mixing.SEED), F.lit(1), "doc_id"), F.xxhash64(F.lit(mixing.SEED), F.lit(2), "doc_id")).collect()
+    quotas = mixing.filled_quotas(Counter(s for _, s in left), None)
+    assert {(i, shard) for i, _, _, shard in brute_mix([tuple(r) for r in hashed], quotas, mixing.SHARDS, mixing.BLOCK, mixing.SEED, 1)} == {(i, r.mix_shard) for i, r in out.items()}
     assert all(sorted(r.mix_place for r in out.values() if r.mix_shard == s) == list(range(sum(r.mix_shard == s for r in out.values()))) for s in {r.mix_shard for r in out.values()})
+
+
+def language_counts(rows):
+    counts = {}
+    for _, t, lang, *_ in rows:
+        if t is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update("".join(c.lower() if c.isalnum() else " " for c in t).split())
+    return counts
+
+
+def brute_pipeline(rows, bench):
+    """{doc_id: text} after all stages, one row at a time."""
+    told = brute_language(language_counts(rows), [r[1] or "" for r in rows])
+    rows = [r for r, (lang, *_) in zip(rows, told) if lang is not None]
+    gone = brute_lines(rows)
+    cut = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)) for i, t, *_ in rows]
+    rows = [(i, t) for i, t in cut if t.strip()]
+    sig = signatures(rows)
+    groups = groups_of((a, b) for a in sig for b in sig if a < b and (sig[a] != sig[b]).sum() <= neardup.MAX_DISTANCE)
+    rows = [r for r in rows if (r[0], r[0]) in groups or r[0] not in {i for i, _ in groups}]
+    spans = {}
+    for k, a, b in brute_spans([t for _, t in rows], [t for _, t in bench], 8):
+        spans.setdefault(k, []).append((a, b))
+    out = {}
+    for k, (i, t) in enumerate(rows):
+        for a, b in reversed(spans.get(k, [])):
+            at, ends, inside = [], [], False
+            for n, c in enumerate(t + " "):
+                if c.isalnum() and not inside:
+                    at.append(n)
+                if not c.isalnum() and inside:
+                    ends.append(n)
+                inside = c.isalnum()
+            t = t[: at[a]] + t[ends[b - 1] :]
+        if any(map(str.isalnum, t)):
+            out[i] = t
+    return out
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_tables(spark, tmp_path, name):
+    stage, sf = dict(corpus_pipeline.STAGES)[name], str(tmp_path)
+    spark.createDataFrame([(1, " ".join(own(9, 30))), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    long = " ".join(own(5, 150_000)) + "\nend"
+    rows = [(1, " ".join(own(1, 40)), "en", "a", 9), (1, " ".join(own(1, 40)), "en", "a", 9), (1, " ".join(own(2, 40)), "de", "b", 9), (None, " ".join(own(4, 40)), "de", None, None), (2, None, None, None, None), (3, "", "", "", 0), (4, long, "en", "a", len(long)), (5, "x " + " ".join(own(9, 30)), "en", "c", 9)]
+    names = ["_gone", "gone", "_id", "ident", "row", "lost", "key", "_had", "_lang", "lang_", "_lead", "lead", "words", "shard", "block", "_words", "group", "rid", "sig"]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({n: F.lit(k) for k, n in enumerate(names)})
+    out = stage(spark, docs, sf)
+    assert [c for c in out.columns if not c.startswith("mix_")] == docs.columns
+    left = Counter((r.doc_id, r.text) for r in out.collect())
+    every = Counter((i, t) for i, t, *_ in rows)
+    gone = {"language ID": {(2, None), (3, "")}, "line dedup": set(), "near dedup": set(), "decontamination": {(5, rows[-1][1])}, "mixing": set()}[name]
+    assert left == Counter({k: n for k, n in every.items() if k not in gone}) + (Counter({(5, "x "): 1}) if name == "decontamination" else Counter())
+    assert stage(spark, docs.limit(0), sf).count() == 0 and (name == "mixing" or stage(spark, docs.limit(0), sf).columns == docs.columns)
+
+
+def test_an_empty_corpus_stays_empty(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
