@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 WORD_RE = "[0-9A-Za-z\\x{C0}-\\x{1FFF}\\x{2070}-\\x{2FFF}\\x{3040}-\\x{10FFFF}]+"
 #: Bytes of text handled at once inside a worker; a longer text is handled alone and whole.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 U = np.uint64
 _ALNUM = np.zeros(256, bool)

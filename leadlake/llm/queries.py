@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from leadlake.llm import chat, decontaminate, exactdedup, langid, linededup, mixing, neardup, quality, tokens, urlfilter
+from leadlake.sources.tables import read_table
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name) if name in ("documents", "pages") else spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
