@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 SCHEMA = (
     "struct<title: string, text: string, metas: array<struct<key: string, value: string>>, anchors: array<struct<href: string, text: string, nav: boolean>>, links: array<struct<rel: string, href: string>>, "
     "images: array<struct<src: string, alt: string, marks: string, logo: boolean, header: boolean>>, headings: array<struct<level: int, text: string, after: string>>, paragraphs: array<string>, addresses: array<string>, jsonld: array<string>, "
-    "lists: array<struct<heading: string, items: array<string>>>, blocks: array<struct<classes: string, title: string>>, bolds: array<string>, rows: int, items: int, password: boolean, paginated: boolean, dated: boolean, article: boolean, about: boolean>"
+    "lists: array<struct<heading: string, items: array<string>>>, blocks: array<struct<classes: string, title: string>>, bolds: array<string>, mails: array<struct<email: string, context: string>>, rows: int, items: int, password: boolean, paginated: boolean, dated: boolean, article: boolean, about: boolean>"
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HIDDEN = frozenset(("noscript", "script", "style"))
 #: An opening tag ends these open ones.
 _ENDS = {"li": {"li"}, "option": {"option"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}}
 _BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: The elements whose text says whose address a mail link is.
+_CONTEXTS = frozenset("article div li p section td".split())
 _FENCE = {"li": {"ol", "ul"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}}
 AFTER = 600
 
@@ -27,7 +29,7 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, dict, list[str]]] = []
         self.text: list[str] = []
-        self.out: dict = {k: [] for k in ("metas", "anchors", "links", "images", "headings", "paragraphs", "addresses", "jsonld", "lists", "blocks", "bolds")}
+        self.out: dict = {k: [] for k in ("metas", "anchors", "links", "images", "headings", "paragraphs", "addresses", "jsonld", "lists", "blocks", "bolds", "mails")}
         self.out |= {"title": None, "rows": 0, "items": 0, "password": False, "paginated": False, "dated": False, "article": False, "about": False}
         self.heading: dict | None = None
 
@@ -104,6 +106,14 @@ class _Page(HTMLParser):
             out["title"] = text.strip()
         elif tag == "a" and "href" in attrs:
             out["anchors"].append({"href": attrs["href"], "text": text.strip(), "nav": self._within({"footer", "header", "nav"}) or any(a.get("role") == "navigation" for _, a, _ in self.open)})
+            if attrs["href"][:7].lower() == "mailto:":
+                mail = attrs["href"][7:].split("?")[0].strip().lower()
+                for name, above, _ in reversed(self.open):
+                    if name in _CONTEXTS:
+                        above.setdefault("\0mails", []).append(mail)
+                        break
+                else:
+                    out["mails"].append({"email": mail, "context": plain})
         elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             self.heading = {"level": int(tag[1]), "text": plain, "after": ""}
             out["headings"].append(self.heading)
@@ -119,6 +129,8 @@ class _Page(HTMLParser):
             out["lists"][-1]["items"].append(plain)
         if tag in ("div", "li", "ol", "p", "ul", "span") and self.heading and plain and len(self.heading["after"]) < AFTER and not self._within({"p", "ul", "ol"}):
             self.heading["after"] = (self.heading["after"] + " " + plain).strip()
+        for mail in attrs.get("\0mails", ()):
+            out["mails"].append({"email": mail, "context": plain})
         if tag in ("h2", "h3", "h4", "strong"):
             for _, above, _ in self.open:
                 if (k := above.get("\0block")) is not None and out["blocks"][k]["title"] is None:
@@ -145,7 +157,7 @@ def html_facts(html: str | Column) -> Column:
 
     @F.pandas_udf(SCHEMA)
     def read(pages: pd.Series) -> pd.DataFrame:
-        names = [f.split(":")[0].strip() for f in ("title", "text", "metas", "anchors", "links", "images", "headings", "paragraphs", "addresses", "jsonld", "lists", "blocks", "bolds", "rows", "items", "password", "paginated", "dated", "article", "about")]
+        names = [f.split(":")[0].strip() for f in ("title", "text", "metas", "anchors", "links", "images", "headings", "paragraphs", "addresses", "jsonld", "lists", "blocks", "bolds", "mails", "rows", "items", "password", "paginated", "dated", "article", "about")]
         every = [parse(p) if isinstance(p, str) else dict.fromkeys(names) for p in pages]
         return pd.DataFrame({n: pd.Series([e[n] for e in every], dtype=object) for n in names})
 

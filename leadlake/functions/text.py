@@ -209,7 +209,7 @@ def greedy_distinct(texts: Column, least: float = 0.7) -> Column:
 
 
 ERRORS = (
-    ("EMPTY_DOCUMENT", r"reading '(?:content|innerText)'|(?:null|undefined) \(reading"),
+    ("EMPTY_DOCUMENT", r"reading '(?:content|innertext)'|(?:null|undefined) \(reading"),
     ("UNSUPPORTED_CONTENT_TYPE", r"served content-type .* but only .* are allowed|skipping resource"),
     ("BROWSER_LAUNCH", r"executable doesn'?t exist|browsertype\.launch|playwright install|failed to launch|target closed|browser has been closed"),
     ("DNS_NOT_FOUND", r"eai_again|enotfound|err_name_not_resolved|err_name_resolution_failed|getaddrinfo"),
@@ -229,6 +229,7 @@ NOTES = {
 
 
 def error_code(message: Column) -> Column:
+    """The first class whose pattern is in the message; patterns are in lower case, as the message is by then."""
     return F.coalesce(*(F.when(F.lower(message).rlike(pattern), code) for code, pattern in ERRORS), F.lit("UNKNOWN"))
 
 
@@ -241,12 +242,33 @@ def error_note(code: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for pair in NOTES.items() for x in pair)), code)
 
 
-def website_language(text: Column) -> Column:
-    """bg, en or mixed by the share of Cyrillic among letters; under 200 letters it is mixed."""
-    cyrillic = F.length(F.regexp_replace(text, r"[^\x{400}-\x{4FF}]", ""))
-    latin = F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
+def _letters(text: Column) -> tuple[Column, Column]:
+    return F.length(F.regexp_replace(text, r"[^\x{400}-\x{4FF}]", "")), F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
+
+
+def site_script(text: Column) -> Column:
+    """cyrillic, latin or mixed by the share of Cyrillic among letters; under 200 letters it is mixed."""
+    cyrillic, latin = _letters(text)
     share = cyrillic / F.nullif(cyrillic + latin, F.lit(0))
-    return F.when(cyrillic + latin < 200, "mixed").when(share > 0.5, "bg").when(share < 0.25, "en").otherwise("mixed")
+    return F.when(cyrillic + latin < 200, "mixed").when(share > 0.5, "cyrillic").when(share < 0.25, "latin").otherwise("mixed")
+
+
+def website_language(text: Column) -> Column:
+    """bg or en, by the script; a mixed text is bg where Cyrillic letters are as many as Latin ones at least."""
+    cyrillic, latin = _letters(text)
+    script = site_script(text)
+    return F.when(script == "cyrillic", "bg").when(script == "latin", "en").when(cyrillic >= latin, "bg").otherwise("en")
+
+
+def email_language(preference: Column, detected: Column) -> Column:
+    """The language that mails are written in: bg and en as asked for, "website" as detected; anything else, or nothing, is bg."""
+    return F.when(preference.isin("bg", "en"), preference).when(preference == "website", F.coalesce(detected, F.lit("bg"))).otherwise("bg")
+
+
+def email_language_instruction(language: Column) -> Column:
+    """What a prompt says of the language."""
+    names = {"bg": "Bulgarian (български език); other languages only in proper nouns, brand names and URLs", "en": "English"}
+    return F.concat(F.lit("All text must be written in "), F.when(language == "bg", names["bg"]).otherwise(names["en"]), F.lit("."))
 
 
 def token_repetition(text: Column, stop: list[str] = []) -> Column:

@@ -82,9 +82,68 @@ def qualify(candidates: DataFrame, persona: Column, location: Column) -> DataFra
     return out.withColumn("signals", F.col("_signals")).drop("_signals").withColumn("_fold", fold(F.col("signals"))).select("*", F.col("_fold.verdict").alias("verdict"), F.col("_fold.reason").alias("reason")).drop("_fold")
 
 
-def stored_status(verdict: Column, blocked: Column, has_email: Column, has_phone: Column) -> Column:
-    """What is written: blocked ones first, those without any contact filtered, else the verdict."""
-    return F.when(blocked, "BLOCKED").when(~has_email & ~has_phone, "FILTERED").otherwise(verdict)
+def stored(domain: Column, page_type: Column, extracted_from: Column, verdict: Column, reason: Column) -> Column:
+    """struct(status, reason) of a candidate as it is written: KEPT, REVIEW, FILTERED or BLOCKED.
+
+    A blocklisted page that was no source of others is BLOCKED, a platform that can't be crawled FILTERED; both outrank the
+    verdict. The platform's reason goes before the blocklist's, that before the verdict's own.
+    """
+    some = lambda c: F.coalesce(c, F.lit("")) != ""
+    platform = some(domain) & F.coalesce(urls.is_platform(domain), F.lit(False))
+    blocked = F.coalesce(page_type == "IRRELEVANT", F.lit(False)) & ~some(extracted_from)
+    status = F.when(blocked, "BLOCKED").when(platform, "FILTERED").when(verdict == "ACCEPT", "KEPT").when(verdict == "REVIEW", "REVIEW").otherwise("FILTERED")
+    return F.struct(status.alias("status"), F.when(platform, "NON_CRAWLABLE_PLATFORM").when(blocked, "BLOCKLISTED_AGGREGATOR").otherwise(reason).alias("reason"))
+
+
+def stored_domain(domain: Column, name: Column, source_url: Column) -> Column:
+    """The domain, or one made of the first bytes of the name (or address) for an organisation that has no site."""
+    stem = F.substring(F.lower(F.hex(F.encode(F.substring(F.coalesce(name, source_url), 1, 40), "UTF-8"))), 1, 16)
+    return F.coalesce(domain, F.concat(F.lit("extracted-"), stem, F.lit(".local")))
+
+
+#: The page type that a rejected search result is given, by the reason.
+REJECTED_TYPES = {"BLOCKLISTED_AGGREGATOR": "DIRECTORY_OR_PORTAL", "DIRECTORY_OR_PORTAL": "DIRECTORY_OR_PORTAL", "LOCATION_CONFLICT": "IRRELEVANT", "MUNICIPALITY_PAGE": "MUNICIPALITY_PAGE", "NEWS_ARTICLE": "NEWS_ARTICLE", "NOT_TARGET_ORGANIZATION": "IRRELEVANT", "OFFICIAL_REGISTRY": "OFFICIAL_REGISTRY", "SOCIAL_PLATFORM": "SOCIAL_PAGE"}
+
+
+def _of(table: dict, key: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
+
+
+def search_candidate(status: Column, reason: Column) -> Column:
+    """struct(confidence, page_type) of a search result by what the search stage said of it."""
+    page_type = F.when(status == "blocked", "IRRELEVANT").when(status == "filtered", F.coalesce(_of(REJECTED_TYPES, reason), F.lit("UNKNOWN"))).otherwise("UNKNOWN")
+    return F.struct(_of(CONFIDENCE, status).alias("confidence"), page_type.alias("page_type"))
+
+
+LIST_PAGES = ("DIRECTORY_OR_PORTAL", "MUNICIPALITY_PAGE", "OFFICIAL_REGISTRY")
+SUSPECTS = 5
+#: The least score at which address, title and snippet decide a page's type: a model's approval takes more to overrule.
+META_LEAST, META_LEAST_APPROVED = 30, 60
+
+
+def meta_classified(candidates: DataFrame, meta_type: Column) -> DataFrame:
+    """``candidates`` (page_type, signals) with unknown types told from ``meta_type`` and a signal for it; a page on the blocklist is only
+    ever raised to a list page, which is worth reading for the organisations on it, never to a target."""
+    kind = F.when(F.col("page_type") == "IRRELEVANT", F.when(meta_type.isin(*LIST_PAGES), meta_type).otherwise("IRRELEVANT")).when(F.col("page_type") == "UNKNOWN", meta_type).otherwise(F.col("page_type"))
+    told = (F.col("page_type") == "UNKNOWN") & (meta_type != "UNKNOWN")
+    code = F.when(meta_type == "TARGET_ORGANIZATION", "MATCHES_PERSONA_AND_LOCATION").otherwise(_of(NEGATIVE, meta_type))
+    effect = F.when(meta_type == "TARGET_ORGANIZATION", "ACCEPT").otherwise("REJECT")
+    new = F.struct(code.alias("criterion"), effect.alias("effect"), F.lit("classifier").alias("stage"), F.lit(0).alias("weight")).cast(SIGNALS[6:-1])
+    signals = F.col("signals").cast(SIGNALS)
+    return candidates.withColumns({"signals": F.when(told, F.array_append(signals, new)).otherwise(signals), "page_type": kind})
+
+
+def suspects(candidates: DataFrame, batch: list[str], order: list[Column]) -> DataFrame:
+    """(batch, source_url): the first SUSPECTS distinct list pages of each batch, whose content is then looked at."""
+    listed = candidates.where(F.col("page_type").isin(*LIST_PAGES))
+    once = listed.withColumn("_n", F.row_number().over(Window.partitionBy(*batch, "source_url").orderBy(*order))).where("_n = 1")
+    return once.withColumn("_n", F.row_number().over(Window.partitionBy(*batch).orderBy(*order))).where(F.col("_n") <= SUSPECTS).select(*batch, "source_url")
+
+
+def confirmed(candidates: DataFrame, content: DataFrame, batch: list[str]) -> DataFrame:
+    """``candidates`` with the page type that the content of their page (batch, source_url, content_type) has shown, where it was read."""
+    told = content.select(*batch, "source_url", "content_type").dropDuplicates([*batch, "source_url"])
+    return candidates.join(told, [*batch, "source_url"], "left").withColumn("page_type", F.coalesce("content_type", "page_type")).drop("content_type").select(candidates.columns)
 
 
 def chunked(df: DataFrame, order: list[Column], batch: list[str], size: int = CHUNK) -> DataFrame:
@@ -93,9 +152,29 @@ def chunked(df: DataFrame, order: list[Column], batch: list[str], size: int = CH
     return df.withColumn("_n", nth).withColumn("chunk", F.floor(F.col("_n") / size)).withColumn("idx", F.col("_n") % size).drop("_n")
 
 
+#: Reasons that a model may give.
+MODEL_REASONS = ("DIRECTORY_OR_PORTAL", "LOCATION_CONFLICT", "MUNICIPALITY_PAGE", "NEWS_ARTICLE", "NOT_TARGET_ORGANIZATION", "OFFICIAL_REGISTRY")
+APPROVED_WEIGHT = 40
+
+
 def apply_verdicts(candidates: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidates with a status from answers (decision): none given or unclear means review."""
-    joined = candidates.join(answers.select(*keys, "decision", "code"), keys, "left")
-    status = F.when(F.col("decision") == "KEEP", "kept").when(F.col("decision") == "REJECT", "filtered").otherwise("review")
-    reason = F.when(F.col("decision").isNull(), "LLM_UNJUDGED").when(F.col("decision") == "UNSURE", "LLM_UNSURE").when(F.col("decision") == "REJECT", F.coalesce("code", F.lit("NOT_TARGET_ORGANIZATION")))
-    return joined.withColumn("status", status).withColumn("status_reason", reason)
+    """Candidates with status, status_reason and llm_approved from answers (``keys``, decision, code); the last of ``keys`` is the place in a chunk.
+
+    A chunk that got no answer at all is degraded: all of it goes to review, as does a whole batch without a model. In an
+    answered chunk a missing answer and an unsure one mean review too; KEEP approves, anything else rejects, for its reason if
+    that is one a model may give. Each case leaves a signal, where candidates have signals.
+    """
+    chunk = keys[:-1]
+    judged = answers.select(*chunk).distinct().withColumn("_judged", F.lit(True))
+    joined = candidates.join(answers.select(*keys, "decision", "code"), keys, "left").join(judged, chunk, "left")
+    degraded, keep = F.col("_judged").isNull(), F.col("decision") == "KEEP"
+    code = F.when(F.col("code").isin(*MODEL_REASONS), F.col("code")).otherwise("NOT_TARGET_ORGANIZATION")
+    review = F.when(degraded, "FILTER_DEGRADED").when(F.col("decision").isNull(), "LLM_UNJUDGED").when(F.col("decision") == "UNSURE", "LLM_UNCERTAIN")
+    status = F.when(review.isNotNull(), "review").when(keep, "kept").otherwise("filtered")
+    reason = F.coalesce(review, F.when(~keep, code))
+    out = joined.withColumns({"status": status, "status_reason": reason, "llm_approved": F.coalesce(keep & review.isNull(), F.lit(False))})
+    if "signals" in candidates.columns:
+        effect = F.when(review.isNotNull(), "REVIEW").when(keep, "ACCEPT").otherwise("REJECT")
+        new = F.struct(F.coalesce(reason, F.lit("MATCHES_PERSONA_AND_LOCATION")).alias("criterion"), effect.alias("effect"), F.lit("llm").alias("stage"), F.when(effect == "ACCEPT", APPROVED_WEIGHT).otherwise(0).alias("weight"))
+        out = out.withColumn("signals", F.array_append(F.col("signals").cast(SIGNALS), new.cast(SIGNALS[6:-1])))
+    return out.drop("_judged")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.functions import contacts, gazetteer, text, urls
@@ -191,8 +191,105 @@ def is_person_name(name: Column) -> Column:
     return name.rlike(profile.PERSON) & ~name.rlike(profile.ROLES) & ~name.rlike(r"(?iu)\b(?:address|company|e-?mail|first|john doe|last|message|name|phone|subject|име|съобщение|телефон|фамилия)\b")
 
 
+def site_team(members: Column, mailed: Column, clicked: Column, emails: Column, domain: Column, script: Column) -> Column:
+    """struct(name, position, email, phone) of a site's people, each once, at most 50.
+
+    ``members`` (name, position, email) come from the layout; on a Cyrillic site they are a theme's sample people, and left out,
+    when all names are Latin and none has an address of the domain. Then come ``mailed`` (name, position, email), ``clicked``
+    (name, position, email, phone), which are taken as they are, and the personal addresses of the domain among ``emails``.
+    """
+    person = "struct<name: string, position: string, email: string, phone: string>"
+    blank = F.lit(None).cast("string")
+    some = lambda c: F.coalesce(c, F.lit(""))
+    own = lambda mail: F.lower(some(mail)).endswith(F.concat(F.lit("@"), domain)) | F.lower(some(mail)).endswith(F.concat(F.lit("."), domain))
+    latin = F.forall(members, lambda m: ~m["name"].rlike(r"[\x{400}-\x{4FF}]"))
+    sample = (script == "cyrillic") & latin & ~F.exists(members, lambda m: own(m["email"]))
+    laid = F.transform(F.when(sample, F.slice(members, 1, 0)).otherwise(members), lambda m: F.struct(m["name"].alias("name"), m["position"].alias("position"), m["email"].alias("email"), blank.alias("phone")).cast(person))
+    told = F.transform(mailed, lambda m: F.struct(m["name"].alias("name"), m["position"].alias("position"), m["email"].alias("email"), blank.alias("phone")).cast(person))
+    local = lambda mail: F.regexp_extract(F.lower(mail), "^([^@]*)@", 1)
+    personal = F.filter(F.array_distinct(F.transform(emails, lambda e: F.lower(e))), lambda e: own(e) & (local(e) != "") & ~F.regexp_replace(local(e), r"\d+$", "").isin(_BOXES))
+    inferred = F.transform(personal, lambda e: F.struct(person_of_mailbox(local(e)).alias("name"), blank.alias("position"), e.alias("email"), blank.alias("phone")).cast(person))
+    key = lambda m: F.when(some(m["email"]) != "", F.lower(m["email"])).otherwise(F.concat(F.lower(some(m["name"])), F.lit("|"), some(m["phone"])))
+    names = lambda held: F.transform(held, lambda m: F.lower(some(m["name"])))
+
+    def add(held: Column, m: Column) -> Column:
+        there = F.exists(held, lambda h: key(h) == key(m)) | ((some(m["name"]) != "") & F.array_contains(names(held), F.lower(some(m["name"]))))
+        return F.when(there, held).otherwise(F.concat(held, F.array(m)))
+
+    return F.slice(F.aggregate(F.concat(laid, told, F.transform(clicked, lambda m: m.cast(person)), inferred), F.array().cast(f"array<{person}>"), add), 1, 50)
+
+
+def recrawled(new: DataFrame, old: DataFrame) -> DataFrame:
+    """``new`` profiles (company_id, name, emails, phones, completion_score) upon ``old`` ones (company_id, name, emails, phones, logo_name):
+    contacts that the new crawl didn't find are kept, for 15 and 10 points; so is the name, unless it is a generic one, which
+    gives way to that of the logo."""
+    was = old.select("company_id", F.col("name").alias("_name"), F.col("emails").alias("_emails"), F.col("phones").alias("_phones"), F.col("logo_name").alias("_logo"))
+    none = lambda c: F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))) == 0
+    kept = lambda c: none(c) & ~none("_" + c)
+    name = F.coalesce("name", F.when(profile.is_generic_name(F.col("_name")), F.nullif("_logo", F.lit(""))).otherwise(F.coalesce("_name", "_logo")))
+    score = F.col("completion_score")
+    score = F.when(kept("emails"), F.least(F.lit(100), score + 15)).otherwise(score)
+    score = F.when(kept("phones"), F.least(F.lit(100), score + 10)).otherwise(score)
+    values = {"name": name, "emails": F.when(kept("emails"), F.col("_emails")).otherwise(F.col("emails")), "phones": F.when(kept("phones"), F.col("_phones")).otherwise(F.col("phones")), "completion_score": score}
+    return new.join(was, "company_id", "left").withColumns(values).select(new.columns)
+
+
+def provider_metrics(answers: DataFrame) -> DataFrame:
+    """One row of counters over answers (query, provider, status_code), where provider is "primary" or "fallback": requests, successes
+    and failures of either, and the share of queries that went on to the fallback."""
+    of = lambda name, test: F.count_if((F.col("provider") == name) & test)
+    ok = F.col("status_code") == 200
+    counts = [of(p, test).alias(f"{p}_{what}") for p in ("primary", "fallback") for what, test in (("requests", F.lit(True)), ("successes", ok), ("failures", ~ok))]
+    return answers.agg(*counts).withColumn("fallback_rate", F.when(F.col("primary_requests") == 0, 0.0).otherwise(F.col("fallback_requests") / F.col("primary_requests")))
+
+
+def platform_metrics(sites: DataFrame, site: str) -> DataFrame:
+    """(rejected, social, skipped): sites on platforms that can't be crawled, those among them that are profiles, and crawl jobs skipped."""
+    kind = urls.crawlability(F.col(site))
+    return sites.agg(F.count_if(kind != "CRAWLABLE").alias("rejected"), F.count_if(kind == "SOCIAL_PROFILE").alias("social"), F.count_if(kind == "NON_CRAWLABLE_PLATFORM").alias("skipped"))
+
+
+def month_usage(users: DataFrame, usage: DataFrame, month: str) -> DataFrame:
+    """``users`` (user_id) with what they used in a month by ``usage`` (user_id, month, used); 0 where there is nothing."""
+    used = usage.where(F.col("month") == month).groupBy("user_id").agg(F.sum("used").alias("used_this_month"))
+    return users.join(used, "user_id", "left").fillna(0, ["used_this_month"])
+
+
+REGISTRY_QUERIES = ("списък {persona} {location}", "регистър {persona} {location}", "{persona} {location} община")
+
+
+def registry_queries(searches: DataFrame) -> DataFrame:
+    """(…, nth, query): the fixed searches after registries for a persona of education; none for others."""
+    filled = [F.replace(F.replace(F.lit(q), F.lit("{persona}"), F.trim("persona")), F.lit("{location}"), F.trim("location")) for q in REGISTRY_QUERIES]
+    return searches.where(decide.is_education(F.col("persona"))).select("*", F.posexplode(F.array(*filled)).alias("nth", "query"))
+
+
+ENRICHMENT = "Domain|Name|Description|Location|Emails|Phones|Services|Team|Facebook|LinkedIn|Other Social|Completion Score|Crawl Status|Crawl Note|Login Protected|Email Subject|Outreach Message|Campaign Email".split("|")
+
+
+def enrichment_columns(companies: DataFrame) -> dict[str, Column]:
+    """The columns of ENRICHMENT of a company, as an export shows them: lists joined, '' for what is missing, 0 for no score."""
+    there = {c.lower() for c in companies.columns}
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in there else F.lit("")
+    listed = lambda c: F.coalesce(F.array_join(c, ", "), F.lit(""))
+    social = lambda k: F.coalesce(F.element_at("social", F.lit(k)), F.lit(""))
+    pairs = F.filter(F.array_sort(F.map_entries(F.coalesce("social", F.create_map().cast("map<string, string>")))), lambda e: ~e["key"].isin("facebook", "linkedin") & (F.coalesce(e["value"], F.lit("")) != ""))
+    others = F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), " | ")
+    login = F.when(F.coalesce(F.col("login_protected"), F.lit(False)), "Yes").otherwise("No") if "login_protected" in there else F.lit("No")
+    score = F.coalesce(F.col("completion_score").cast("int"), F.lit(0)) if "completion_score" in there else F.lit(0)
+    values = [said("domain"), said("name"), said("description"), said("location"), listed("emails"), listed("phones"), listed("services"), team_line(F.col("team")), social("facebook"), social("linkedin"), others, score, said("crawl_status"), said("crawl_note"), login, said("email_subject"), said("outreach_message"), said("campaign_email")]
+    return dict(zip(ENRICHMENT, values))
+
+
+def enrichment_rows(companies: DataFrame) -> DataFrame:
+    """The plain export: one row for each company with the columns of ENRICHMENT, oldest company first where that is known."""
+    order = [c for c in ("created_at", "domain") if c in companies.columns]
+    return companies.orderBy(*order).select(*(v.alias(k) for k, v in enrichment_columns(companies).items()))
+
+
 def lead_rows(companies: DataFrame) -> DataFrame:
-    """The lead export: a row for each person with a name, one with blanks where there is none. Empty is '', never null."""
+    """The lead export: a row for each person with a name, one with blanks where there is none. Empty is '', never null.
+    Companies come oldest first where created_at is there, then by domain, their people in order."""
     text_ = lambda c: F.coalesce(F.col(c), F.lit(""))
     person = "struct<name: string, position: string, email: string, linkedin: string>"
     named = F.filter(F.coalesce(F.col("team").cast(f"array<{person}>"), F.array().cast(f"array<{person}>")), lambda m: F.trim(F.coalesce(m["name"], F.lit(""))) != "")
@@ -205,7 +302,7 @@ def lead_rows(companies: DataFrame) -> DataFrame:
         "First Name": F.coalesce(F.get(words, F.lit(0)), F.lit("")), "Last Name": F.array_join(F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 1)), " "), "Job Title": of("position"), "Email": of("email"), "Linkedin URL": of("linkedin"), "Facebook URL": social("facebook"),
         "Company": text_("name"), "Website": site, "Office Email": F.coalesce(F.get("emails", F.lit(0)), F.lit("")), "Telephone": F.coalesce(F.array_join("phones", ", "), F.lit("")), "Company Linkedin": social("linkedin"), "Size": F.lit(""), "Industry": text_("industry"), "Location": text_("location"),
     }
-    return rows.orderBy("domain", "member_ord").select(*(c.alias(k) for k, c in head.items()))
+    return rows.orderBy(*(c for c in ("created_at",) if c in companies.columns), "domain", "member_ord").select(*(c.alias(k) for k, c in head.items()))
 
 
 def team_line(team: Column) -> Column:
@@ -228,9 +325,14 @@ def outreach_prompt(template: Column, fields: dict[str, Column]) -> Column:
 
 
 def batch_admins(users: DataFrame, changes: DataFrame) -> DataFrame:
-    """``changes`` (user_id, role) that may be applied: nobody takes away the last administrator's role."""
-    admins = users.agg(F.count_if(F.col("role") == "ADMIN").alias("_n"))
-    own = changes.join(users.select("user_id", F.col("role").alias("_old")), "user_id").crossJoin(F.broadcast(admins))
+    """``changes`` (user_id, role) that may be applied: nobody takes away the last administrator's role.
+
+    Only changes that take the role away are counted, and never more of them than there are administrators.
+    """
+    own = changes.join(users.select("user_id", F.col("role").alias("_old")), "user_id")
     losing = (F.col("_old") == "ADMIN") & (F.col("role") != "ADMIN")
-    nth = F.sum(losing.cast("int")).over(Window.orderBy("user_id"))
-    return own.withColumn("allowed", ~losing | (F.col("_n") - nth >= 1)).select("user_id", "role", "allowed")
+    staying = users.where("role = 'ADMIN'").join(changes.where("role <> 'ADMIN'").select("user_id"), "user_id", "left_anti").agg(F.count("*").alias("_left"))
+    last = own.where(losing).agg(F.max("user_id").alias("_last"))
+    # in the order of users, all but the last may go; the last only if another administrator stays
+    told = own.crossJoin(F.broadcast(staying)).crossJoin(F.broadcast(last))  # of one row each
+    return told.withColumn("allowed", ~losing | (F.col("_left") > 0) | (F.col("user_id") != F.col("_last"))).select("user_id", "role", "allowed")

@@ -12,7 +12,16 @@ CONTACT_PATHS = ("/contact", "/contact-us", "/contacts", "/kontakti", "/конт
 TEAM_PATHS = tuple("/" + p for p in "team about about-us aboutus leadership management people staff ekip za-nas za-firmata екип ръководство управление собственици за-нас за-фирмата".split())
 OTHER_PATHS = ("/services", "/history")
 SAVED_PATHS = tuple(sorted({*CONTACT_PATHS, *TEAM_PATHS, *OTHER_PATHS, "/service"}))
-GENERIC_NAME = r"(?iu)^(?:home|homepage|index|login|log in|sign in|sign up|register|welcome|untitled|404.*|403.*|not found|access denied|just a moment.*|начало|вход|регистрация|добре дошли|[a-z]{2})$"
+#: Page titles, entry pages, languages and their codes: nothing that a company is called by.
+GENERIC_NAMES = (
+    "404|access|access denied|account|admin|admin login|attention required|auth|authentication|bot check|client area|client portal|customer area|customer portal|dashboard|ddos protection|dealer area|dealer portal|forgot password|forgot your password|home|home page|homepage|human verification|index|index page|just a moment|"
+    "landing|landing page|log in|login|main|main page|member area|my account|new page|not found|please wait|portal|register|reset password|secure login|security check|sign in|sign up|signin|start|start page|untitled|untitled document|user login|user portal|welcome|вход|влизане|добре дошли|добре дошли!|начало|начална страница|регистрация|"
+    "bulgarian|croatian|czech|danish|deutsch|dutch|english|español|finnish|français|french|german|greek|hungarian|italian|italiano|macedonian|norwegian|polish|portuguese|português|romanian|română|russian|serbian|slovak|slovenian|spanish|swedish|turkish|ukrainian|"
+    "bg|cs|da|de|el|en|es|fi|fr|hr|hu|it|mk|nl|no|pl|pt|ro|ru|sk|sl|sr|sv|tr|uk"
+).split("|")
+_LANGUAGES = "|".join(n for n in GENERIC_NAMES if n in "bulgarian croatian czech danish deutsch dutch english español finnish français french german greek hungarian italian italiano macedonian norwegian polish portuguese português romanian română russian serbian slovak slovenian spanish swedish turkish ukrainian".split())
+_SWITCH = rf"^(?:[a-z]{{2,3}} (?:lang|language|page|site|version)|(?:{_LANGUAGES}) version|(?:change|choose|pick|select|switch) lang(?:uage)?|language (?:menu|options?|picker|select(?:ion|or)?|switch(?:er)?|toggle))$"
+_BLOCKED_TITLE = r"^(?:403 forbidden|404.*|access denied|attention required|bot check|ddos protection|human verification|just a moment.*|please wait|security check) *\.{0,3}$"
 WEIGHTS = {"name": 20, "description": 20, "emails": 15, "location": 10, "phones": 10, "services": 10, "history": 5, "social": 5, "team": 5}
 BOTS = (
     ("cloudflare challenge", r"challenges\.cloudflare\.com"), ("cloudflare moment", r"<title[^>]*>\s*just a moment"), ("cloudflare script", "enable javascript and cookies to continue"), ("cloudflare check", "checking if the site connection is secure"),
@@ -27,9 +36,15 @@ def page_facts(pages: DataFrame) -> DataFrame:
     return pages.withColumn("facts", html_facts(F.col("html")))
 
 
+def is_generic_name(name: Column) -> Column:
+    """Whether a name is a page's title, an entry page, a language or a language switch; null is none."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(name, F.lit("")))), "[-_]+", " "), r"\s+", " "))
+    return plain.isin(GENERIC_NAMES) | plain.rlike(_SWITCH) | plain.rlike(_BLOCKED_TITLE)
+
+
 def company_name(facts: Column, url: Column) -> Column:
     """og:site_name, else a part of the title, else the alternative text of a logo, else the domain."""
-    good = lambda s: (s != "") & ~s.rlike(GENERIC_NAME)
+    good = lambda s: (s != "") & ~is_generic_name(s)
     site = meta(facts, "og:site_name")
     title = F.get(F.filter(F.transform(F.split(facts["title"], r"[|\-–]"), lambda x: F.trim(x)), good), F.lit(0))
     alts = F.transform(F.filter(facts["images"], lambda i: i["logo"] | F.lower(i["marks"]).contains("logo") | i["header"]), lambda i: F.trim(F.split(i["alt"], r"[|\-–]")[0]))
@@ -86,9 +101,22 @@ def needs_login(facts: Column) -> Column:
     return facts["password"] & says & (F.length(text.squeezed(facts["text"])) < 1500)
 
 
-def bot_protection(html: Column) -> Column:
-    """The first sign of a human check, '' if none."""
-    return F.coalesce(*(F.when(html.rlike("(?is)" + pattern), name) for name, pattern in BOTS), F.lit(""))
+def bot_protection(html: Column, body: Column | None = None) -> Column:
+    """The first sign of a human check in markup or text, '' if none."""
+    seen = F.concat_ws("\n", html, body) if body is not None else html
+    return F.coalesce(*(F.when(seen.rlike("(?is)" + pattern), name) for name, pattern in BOTS), F.lit(""))
+
+
+def bot_protected(pages: DataFrame) -> DataFrame:
+    """(company_id, indicator): of each company the sign on its first page (least page_id) that has one; companies without aren't given."""
+    seen = pages.select("company_id", "page_id", bot_protection(F.col("html"), F.col("text")).alias("indicator")).where("indicator <> ''")
+    return seen.groupBy("company_id").agg(F.min_by("indicator", "page_id").alias("indicator"))
+
+
+def needs_browser(companies: DataFrame, pages: DataFrame) -> DataFrame:
+    """The companies whose plain pages (company_id, text) hold fewer than 200 characters in all, or that have no page."""
+    size = pages.groupBy("company_id").agg(F.sum(F.length(F.trim("text"))).alias("_chars"))
+    return companies.join(size.where("_chars >= 200"), "company_id", "left_anti")
 
 
 def social_links(facts: Column) -> Column:
@@ -138,22 +166,47 @@ def services(facts: Column) -> Column:
     fine = lambda t: t.isNotNull() & F.length(t).between(3, 119) & ~t.rlike(JUNK_SERVICE) & ~t.rlike(r"[?:]\s*$") & ~t.rlike(r"(?iu)^(?:why (?:choose|pick|us|we)|защо|предимства)")
     listed = F.flatten(F.transform(F.filter(facts["lists"], lambda x: x["heading"].rlike(SERVICE_WORDS)), lambda x: x["items"]))
     titled = F.transform(F.filter(facts["blocks"], lambda b: b["classes"].rlike("capability|feature|offering|service|solution|(?:card|item|tile)-title")), lambda b: b["title"])
-    return F.slice(F.array_distinct(F.filter(F.concat(listed, F.filter(titled, lambda t: ~t.rlike(SERVICE_WORDS))), fine)), 1, 20)
+    marked = F.array_distinct(F.filter(F.concat(listed, F.filter(titled, lambda t: ~t.rlike(SERVICE_WORDS))), fine))
+    return contacts.let(marked, lambda found: F.when(F.size(found) > 0, F.slice(found, 1, 20)).otherwise(services_in_text(facts["text"])))
+
+
+_SERVICE_HEAD = r"(?iu)^(?:our |нашите )?(?:capabilities|expertise|services|solutions|what we (?:do|offer|provide)|дейности|предлагаме|решения|услуги)\s*:?$"
+_SERVICE_STOP = r"(?iu)^(?:about|our |the )?\s*(?:about us|clients|contacts?|contact us|history|news|partners|projects|references|team|testimonials|за нас|клиенти|контакти|новини|партньори|проекти|екип)\s*:?$"
+_NAVIGATION = r"(?i)^(?:about|blog|careers?|company|contact|get\s*started|home|learn\s*more|login|people|portfolio|read\s*more|sign\s*in|staff|team)$"
+
+
+def services_in_text(body: Column) -> Column:
+    """Short lines between a line that heads services and one that heads something else: two at least, at most 15."""
+    lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    fine = lambda x: F.length(x).between(3, 80) & ~x.rlike(r"[.!?]$|^\d+$") & ~x.rlike(_NAVIGATION) & ~x.rlike(JUNK_SERVICE) & ~x.rlike(r"[?:]\s*$")
+    empty = F.struct(F.lit(0).alias("on"), F.array().cast("array<string>").alias("items"))
+
+    def step(s: Column, x: Column) -> Column:
+        head, stop = x.rlike(_SERVICE_HEAD), x.rlike(_SERVICE_STOP)
+        on = F.when(s["on"] == 2, 2).when(head, 1).when((s["on"] == 1) & stop, 2).otherwise(s["on"])
+        take = (s["on"] == 1) & ~head & ~stop & fine(x) & (F.size(s["items"]) < 15)
+        return F.struct(on.alias("on"), F.when(take, F.concat(s["items"], F.array(x))).otherwise(s["items"]).alias("items"))
+
+    found = F.aggregate(lines, empty, step)["items"]
+    return contacts.let(found, lambda v: F.when(F.size(v) >= 2, v).otherwise(F.array().cast("array<string>")))
 
 
 PERSON = r"^\p{Lu}[\p{Ll}'’\-]+(?:\s+\p{Lu}[\p{Ll}'’\-]+){1,3}$"
-ROLES = r"(?iu)^(?:(?:chief|co|deputy|executive|general|managing|regional|sales|senior|technical)[\s\-]+)*(?:accountant|ceo|cfo|chairman|coo|cto|designer|developer|director|engineer|founder|head of [^,]+|lawyer|manager|officer|owner|partner|president|управител|директор|собственик|мениджър|счетоводител|инженер|адвокат|председател|основател)\b"
+ROLES = r"(?iu)^(?:(?:account|assistant|business|chief|co|commercial|deputy|development|executive|finance|financial|general|hr|it|managing|marketing|office|operations|procurement|product|production|project|quality|regional|sales|senior|technical|изпълнителен|търговски|технически|финансов|генерален|главен|офис)[\s\-]+)*(?:accountant|ceo|cfo|chairman|coo|cto|designer|developer|director|engineer|founder|head of [^,]+|lawyer|manager|officer|owner|partner|president|управител|директор|собственик|мениджър|счетоводител|инженер|адвокат|председател|основател)\b"
 
 
 def team(facts: Column) -> Column:
-    """struct(name, position) of people: in cards and headings followed by a role, and in lines "ROLE: NAME"; at most 50."""
+    """struct(name, position) of people: in cards and headings followed by a role, and in lines "ROLE: NAME" or "NAME - ROLE"; at most 50."""
     person = lambda t: t.rlike(PERSON) & ~t.rlike(ROLES)
     member = lambda name, role: F.struct(name.alias("name"), role.alias("position"))
     role_of = lambda after: F.when(after.rlike(ROLES), F.regexp_extract(after, r"^([^,.;|]{2,60})", 1))
     headed = F.transform(F.filter(facts["headings"], lambda h: person(h["text"]) & h["after"].rlike(ROLES)), lambda h: member(h["text"], role_of(h["after"])))
     carded = F.transform(F.filter(facts["blocks"], lambda b: b["title"].isNotNull() & b["classes"].rlike("member|person|team") & person(b["title"])), lambda b: member(b["title"], F.lit(None).cast("string")))
-    lines = F.filter(F.transform(F.split(facts["text"], "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^[^:]{2,40}:\s*\p{Lu}") & x.rlike(ROLES))
-    said = F.filter(F.transform(lines, lambda x: member(F.trim(F.regexp_extract(x, r":\s*(.*)$", 1)), F.trim(F.regexp_extract(x, "^([^:]*)", 1)))), lambda m: person(m["name"]))
+    lines = F.transform(F.split(facts["text"], "\n"), lambda x: F.trim(x))
+    half = lambda x, k: F.trim(F.regexp_extract(x, r"^(.{2,60}?)(?:\s*:\s*|\s+[-–—]\s*|\s*[–—]\s*)(.{2,60})$", k))
+    paired = F.filter(F.transform(lines, lambda x: F.struct(half(x, 1).alias("a"), half(x, 2).alias("b"))), lambda x: x["a"] != "")
+    turned = F.transform(paired, lambda x: F.when(x["a"].rlike(ROLES) & person(x["b"]), member(x["b"], x["a"])).when(x["b"].rlike(ROLES) & person(x["a"]), member(x["a"], x["b"])))
+    said = F.filter(turned, lambda m: m.isNotNull())
 
     def first(every: Column) -> Column:
         names = F.array_distinct(F.transform(every, lambda m: m["name"]))
@@ -162,6 +215,16 @@ def team(facts: Column) -> Column:
     return contacts.let(F.concat(headed, said, carded), first)
 
 
+_ROLE_IN = r"(?iu)(?:^|[\s,.:;(\-])(" + ROLES[ROLES.index("(?:(?:chief") : ROLES.rindex(r"\b")] + r")(?:[\s,.:;)\-]|$)"
+
+
+def mailed_team(facts: Column) -> Column:
+    """struct(name, position, email) of mail links that stand beside a role; the name is one beside it, if there is any."""
+    named = lambda text_: F.get(F.filter(F.regexp_extract_all(text_, F.lit(r"(\p{Lu}\p{Ll}+(?:\s\p{Lu}\p{Ll}+)+)"), F.lit(1)), lambda n: n.rlike(PERSON) & ~n.rlike(ROLES)), F.lit(0))
+    told = F.filter(facts["mails"], lambda m: m["email"].rlike(f"^{contacts.EMAIL}$") & m["context"].rlike(_ROLE_IN))
+    return F.transform(told, lambda m: F.struct(named(m["context"]).alias("name"), F.regexp_extract(m["context"], _ROLE_IN, 1).alias("position"), m["email"].alias("email")))
+
+
 def history(facts: Column, url: Column) -> Column:
     """What follows a heading about the past, or on an about page a paragraph that tells of it."""
     heads = F.filter(facts["headings"], lambda h: (h["level"] <= 4) & F.lower(h["text"]).rlike("(?iu)establish|found(?:ed|ing)|histor|journey|mileston|our story|(?:brand|company) story|timeline|история|основаване") & text.looks_like_history(h["after"]))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,17 +69,45 @@ def discovery_is_cached(stored: Column, now: Column) -> Column:
     return F.coalesce(stored.cast("timestamp") >= now.cast("timestamp") - F.expr(f"INTERVAL {DISCOVERY_DAYS} DAYS"), F.lit(False))
 
 
+def _weeks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (user, t, n) sorted by user and time: (user, used, reset_at) of each user's last week. Only the open week is kept."""
+    week = _days(7)
+    user, start, used = None, None, 0.0
+    empty = True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, times, amounts = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        out = []
+        edge = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+        for low, high in zip(edge, edge[1:]):
+            if empty or keys[low] != user:
+                if not empty:
+                    out.append((user, used, start))
+                user, start, used, empty = keys[low], int(times[low]), 0.0, False
+            at = low
+            while at < high:  # a step a week, not a use
+                end = at + int(np.searchsorted(times[at:high], start + week, "left"))
+                used += float(amounts[at:end].sum())
+                if end < high:
+                    start, used = int(times[end]), 0.0
+                at = end
+        yield _told(out, batch.schema.field(0).type)
+    if not empty:
+        yield _told([(user, used, start)], batch.schema.field(0).type)
+
+
+def _told(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int64())], ["user", "used", "t"])
+
+
 def weekly_usage(events: DataFrame, user: str, moment: str, amount: str) -> DataFrame:
     """(user, used, reset_at): a week starts with the first use after the week before has run out.
 
-    A fold over each user's uses in time order, as arrays of (time, amount) in Spark's own aggregate function.
+    One shuffle by user; the uses of a user then stream by in time order, however many there are, and only the open week is
+    held. Uses without a time are left out, a null amount counts as 0.
     """
-    uses = F.array_sort(F.collect_list(F.struct(F.col(moment).cast("timestamp").alias("t"), F.col(amount).cast("double").alias("n"))))
-    start = F.struct(F.lit(None).cast("timestamp").alias("t"), F.lit(0.0).alias("n"))
-
-    def step(s: Column, x: Column) -> Column:
-        new = s["t"].isNull() | (_age(s["t"], x["t"]) >= _days(7))
-        return F.struct(F.when(new, x["t"]).otherwise(s["t"]).alias("t"), (F.when(new, F.lit(0.0)).otherwise(s["n"]) + x["n"]).alias("n"))
-
-    folded = events.groupBy(user).agg(F.aggregate(uses, start, step).alias("w"))
-    return folded.select(user, F.col("w.n").alias("used"), F.col("w.t").alias("reset_at"))
+    uses = events.where(F.col(moment).isNotNull()).select(F.col(user).alias("user"), F.unix_micros(F.col(moment).cast("timestamp")).alias("t"), F.coalesce(F.col(amount).cast("double"), F.lit(0.0)).alias("n"))
+    kind = uses.schema["user"].dataType.simpleString()
+    folded = uses.repartition("user").sortWithinPartitions("user", "t").mapInArrow(_weeks, f"user {kind}, used double, t long")
+    return folded.select(F.col("user").alias(user), "used", F.timestamp_micros("t").alias("reset_at"))

@@ -68,3 +68,32 @@ def only_default(df: DataFrame, group: str, chosen: Column, key: str) -> DataFra
 def survivors(df: DataFrame, keys: list[str], score: Column, updated: str, ident: str) -> DataFrame:
     """Of each group the row of the highest score, then the newest, then the least id."""
     return first_of(df.withColumn("_score", score), keys, [F.desc("_score"), F.desc(updated), F.asc(ident)]).drop("_score")
+
+
+def raw_survivors(rows: DataFrame, keys: list[str], updated: str, ident: str) -> DataFrame:
+    """Duplicates of raw pages (``keys``, text, emails, phones) as one row each: the richest survives (characters of text, 100 an
+    address, 50 a number; then the newest, then the least id) with the addresses and numbers of all, newest first, and the
+    longest text, of equal ones the newest."""
+    size = lambda c: F.size(F.coalesce(F.col(c), F.array().cast("array<string>")))
+    score = F.length(F.coalesce("text", F.lit(""))) + size("emails") * 100 + size("phones") * 50
+    best = lambda *order: F.max_by(ident, F.struct(*order))
+    newest_first = lambda c: F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(F.unix_micros(F.col(updated).cast("timestamp")).alias("t"), (-F.col(ident)).alias("i"), F.coalesce(c, F.array().cast("array<string>")).alias("v"))), asc=False), lambda x: x["v"])))
+    longest = F.max_by(F.coalesce("text", F.lit("")), F.struct(F.length(F.coalesce("text", F.lit(""))), F.col(updated), -F.col(ident)))
+    return rows.groupBy(*keys).agg(best(score, F.col(updated), -F.col(ident)).alias(ident), longest.alias("text"), newest_first("emails").alias("emails"), newest_first("phones").alias("phones"), (F.count("*") - 1).alias("removed"))
+
+
+def freshness_summary(rows: DataFrame, updated: str, now: Column, days: int = 7) -> DataFrame:
+    """(fresh, stale): rows younger than ``days`` days, or just as old, and older ones."""
+    stale = F.col(updated).cast("timestamp") < now.cast("timestamp") - F.expr(f"INTERVAL {days} DAYS")
+    return rows.agg(F.count_if(~stale).alias("fresh"), F.count_if(stale).alias("stale"))
+
+
+def json_page(df: DataFrame, order: list[Column], number: int = 1, limit: int = 50, most: int = 200) -> DataFrame:
+    """(body): one page as JSON text, its rows in order and the numbers of the pagination. A page has ``most`` rows at most."""
+    limit, number = min(most, max(1, limit)), max(1, number)
+    place = F.row_number().over(Window.orderBy(*order))  # of one page only
+    rows = page(df, order, number, limit, most).select(place.alias("_n"), F.struct(*df.columns).alias("_row"))
+    data = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_row"))), lambda x: x["_row"]).alias("data"))
+    total = df.agg(F.count("*").alias("total"))
+    told = F.struct(F.lit(number).alias("page"), F.lit(limit).alias("limit"), F.col("total"), F.ceil(F.col("total") / limit).cast("long").alias("pages"))
+    return data.crossJoin(total).select(F.to_json(F.struct("data", told.alias("pagination")), {"ignoreNullFields": "false"}).alias("body"))  # two tables of one row

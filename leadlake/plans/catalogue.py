@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadlake.functions import contacts, text, urls
-from leadlake.operators import decide, profile, progress, relational, resolve
+from leadlake.operators import decide, discovery, profile, progress, relational, resolve
 from leadlake.sources import sinks, tables
 from leadlake.streaming import jobs
 
@@ -31,6 +31,10 @@ def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _heavy(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return tables.read_table(spark, sf, name)
+
+
 def _rows(spark: SparkSession, schema: str, *rows: tuple) -> DataFrame:
     return spark.createDataFrame(list(rows), schema)
 
@@ -139,27 +143,26 @@ _GOOD_MAIL = rf"""SELECT doc_id, m AS email FROM (SELECT *, lower(m) AS l, regex
 
 @query(rf"WITH raw AS (SELECT doc_id, unnest(regexp_extract_all(text, '{contacts.EMAIL}')) AS r FROM documents), clipped AS (SELECT DISTINCT doc_id, regexp_replace(r, '^([^@]*@.*\.[^.A-Z]{{2,}})[A-Z][^.]*$', '\1') AS m FROM raw) {_GOOD_MAIL}")
 def doc_emails(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "documents").select("doc_id", F.explode(contacts.text_emails(F.col("text"))).alias("email"))
+    return _heavy(spark, sf, "documents").select("doc_id", F.explode(contacts.text_emails(F.col("text"))).alias("email"))
 
 
 _HIDDEN_MAILS = [(1, "write to ivan [at] firma (dot) bg now"), (2, "sales @ shop . firma . bg"), (3, "plain a.b@firma.bg, Office@Firma.comOUR team"), (4, "none"), (5, "x {AT} y [DOT] org")]
 
 
-@query("SELECT doc_id, email FROM " + _values("doc_id, email", (1, "ivan@firma.bg"), (2, "sales@shop.firma.bg"), (3, "a.b@firma.bg"), (3, "Office@Firma.com"), (5, "x@y.org")))
+@query(
+    "WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM " + _values("doc_id, text", *_HIDDEN_MAILS) + "), "
+    + r"u AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\(\s*at\s*\)|\[\s*at\s*\]|\{\s*at\s*\}', '@', 'gi'), '\(\s*dot\s*\)|\[\s*dot\s*\]|\{\s*dot\s*\}', '.', 'gi') AS x FROM t), "
+    + r"v AS (SELECT doc_id, regexp_replace(x, '([-+%._0-9A-Za-z])\s+@\s+([0-9A-Za-z])', '\1@\2', 'g') AS x FROM u), w AS (SELECT doc_id, regexp_replace(regexp_replace(x, '(@[-0-9A-Za-z]+(?:\.[-0-9A-Za-z]+)*)\s+\.\s+([A-Za-z]{2,})', '\1.\2', 'g'), '(@[-0-9A-Za-z]+(?:\.[-0-9A-Za-z]+)*)\s+\.\s+([A-Za-z]{2,})', '\1.\2', 'g') AS x FROM v), "
+    + rf"raw AS (SELECT doc_id, unnest(regexp_extract_all(x, '{contacts.EMAIL}')) AS r FROM w), clipped AS (SELECT DISTINCT doc_id, regexp_replace(r, '^([^@]*@.*\.[^.A-Z]{{2,}})[A-Z][^.]*$', '\1') AS m FROM raw) {_GOOD_MAIL}"
+)
 def doc_emails_obfuscated(spark: SparkSession, sf: str) -> DataFrame:
-    return _rows(spark, "doc_id int, text string", *_HIDDEN_MAILS).select("doc_id", F.explode(contacts.obfuscated_emails(F.col("text"))).alias("email"))
-
-
-@query()
-def doc_emails_obfuscated_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Over all documents and the literal rows; the order of the replacements is beyond SQL, the tests hold it by brute force."""
-    every = _read(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(_rows(spark, "doc_id long, text string", *_HIDDEN_MAILS))
+    every = _heavy(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(_rows(spark, "doc_id long, text string", *_HIDDEN_MAILS))
     return every.select("doc_id", F.explode(contacts.obfuscated_emails(F.col("text"))).alias("email"))
 
 
 @query()
 def doc_phones(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "documents").select("doc_id", F.posexplode(contacts.text_phones(F.col("text"))).alias("nth", "phone"))
+    return _heavy(spark, sf, "documents").select("doc_id", F.posexplode(contacts.text_phones(F.col("text"))).alias("nth", "phone"))
 
 
 _PHONES = [("0875 300 000",), ("+359 875 300 000",), ("00359/875-300-000",), ("+44 20 7946 0958",), ("(02) 981 00 00",)]
@@ -358,40 +361,86 @@ def regex_filter_newest(spark: SparkSession, sf: str) -> DataFrame:
     return relational.page(events, [F.desc("ts"), F.asc("event_id")], 1, 100).select("event_id", "event_type", "ts")
 
 
+@query("WITH m AS (SELECT user_id, strftime(ts, '%Y-%m') AS month, count(*) AS used FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) SELECT c_custkey AS user_id, coalesce(used, 0) AS used_this_month FROM customer LEFT JOIN m ON user_id = c_custkey AND month = '2024-01'")
+def users_with_usage(spark: SparkSession, sf: str) -> DataFrame:
+    usage = _read(spark, sf, "events").where("event_type = 'purchase'").groupBy("user_id", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("used"))
+    return discovery.month_usage(_read(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")), usage, "2024-01")
+
+
+@query(
+    "WITH r AS (SELECT o_custkey, o_orderkey AS id, o_orderdate AS t, o_orderpriority AS text, ['m' || (o_orderkey % 5)] AS emails, CASE WHEN o_orderkey % 3 = 0 THEN ['p' || (o_orderkey % 7), 'p1'] ELSE [] END AS phones FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY length(text) + 100 * len(emails) + 50 * len(phones) DESC, t DESC, id) AS best, row_number() OVER (PARTITION BY o_custkey ORDER BY length(text) DESC, t DESC, id) AS longest, row_number() OVER (PARTITION BY o_custkey ORDER BY t DESC, id) AS newest FROM r), "
+    "e AS (SELECT o_custkey, string_agg(v, ',' ORDER BY f) AS emails FROM (SELECT o_custkey, v, min(newest) AS f FROM (SELECT o_custkey, newest, unnest(emails) AS v FROM n) GROUP BY ALL) GROUP BY 1), p AS (SELECT o_custkey, string_agg(v, ',' ORDER BY f, g) AS phones FROM (SELECT o_custkey, v, min(newest) AS f, arg_min(g, newest) AS g FROM (SELECT o_custkey, newest, unnest(phones) AS v, generate_subscripts(phones, 1) AS g FROM n) GROUP BY ALL) GROUP BY 1) "
+    "SELECT n.o_custkey, max(CASE WHEN best = 1 THEN id END) AS id, max(CASE WHEN longest = 1 THEN text END) AS text, any_value(emails_) AS emails, coalesce(any_value(phones_), '') AS phones, count(*) - 1 AS removed FROM (SELECT n.*, e.emails AS emails_, p.phones AS phones_ FROM n LEFT JOIN e USING (o_custkey) LEFT JOIN p USING (o_custkey)) n GROUP BY 1"
+)
+def raw_survivors(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = _read(spark, sf, "orders").select("o_custkey", k.alias("id"), F.col("o_orderdate").alias("t"), F.col("o_orderpriority").alias("text"), F.array(F.concat(F.lit("m"), k % 5)).alias("emails"), F.when(k % 3 == 0, F.array(F.concat(F.lit("p"), k % 7), F.lit("p1"))).alias("phones"))
+    return relational.raw_survivors(rows, ["o_custkey"], "t", "id").select("o_custkey", "id", "text", F.array_join("emails", ",").alias("emails"), F.array_join("phones", ",").alias("phones"), "removed")
+
+
+@query("SELECT count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '2001-07-25') AS fresh, count(*) FILTER (WHERE o_orderdate < TIMESTAMP '2001-07-25') AS stale FROM orders")
+def freshness_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return relational.freshness_summary(_read(spark, sf, "orders"), "o_orderdate", F.lit(_NOW))
+
+
+@query("""WITH p AS (SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 20 OFFSET 40) SELECT to_json({'data': (SELECT list({'c_custkey': c_custkey, 'c_name': c_name} ORDER BY c_custkey) FROM p), 'pagination': {'page': 3, 'limit': 20, 'total': (SELECT count(*) FROM customer), 'pages': (SELECT CAST(ceil(count(*) / 20.0) AS BIGINT) FROM customer)}})::VARCHAR AS body""")
+def companies_json_page(spark: SparkSession, sf: str) -> DataFrame:
+    return relational.json_page(_read(spark, sf, "customer").select("c_custkey", "c_name"), [F.asc("c_custkey")], 3, 20)
+
+
+@query("SELECT count(*) AS primary_requests, count(*) FILTER (WHERE event_type <> 'error') AS primary_successes, count(*) FILTER (WHERE event_type = 'error') AS primary_failures, count(*) FILTER (WHERE event_type = 'error') AS fallback_requests, count(*) FILTER (WHERE event_type = 'error' AND event_id % 2 = 0) AS fallback_successes, count(*) FILTER (WHERE event_type = 'error' AND event_id % 2 = 1) AS fallback_failures, (count(*) FILTER (WHERE event_type = 'error'))::DOUBLE / count(*) AS fallback_rate FROM events")
+def search_provider_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    first = _read(spark, sf, "events").select(F.col("event_id").alias("query"), F.lit("primary").alias("provider"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status_code"))
+    second = first.where("status_code <> 200").select("query", F.lit("fallback").alias("provider"), F.when(F.col("query") % 2 == 0, 200).otherwise(503).alias("status_code"))
+    return discovery.provider_metrics(first.unionByName(second))
+
+
+@query("WITH s AS (SELECT *, h IN (" + _LIST(urls.PLATFORMS) + r") OR regexp_replace(h, '^[^.]*\.', '') IN (" + _LIST(urls.PLATFORMS) + ") AS p FROM (SELECT regexp_replace(" + _U(_HOST) + r", '^(?:(?:business|l|lm|m|mobile|web|www)\.)+', '') AS h, " + _U(_PATH) + " AS path FROM (SELECT url FROM pages UNION ALL SELECT CASE WHEN starts_with(site, 'http') THEN site ELSE 'https://' || site END FROM " + _values("site", *_SITES) + r"))) SELECT count(*) FILTER (WHERE p) AS rejected, count(*) FILTER (WHERE p AND regexp_replace(path, '/+$', '') <> '') AS social, count(*) FILTER (WHERE p AND regexp_replace(path, '/+$', '') = '') AS skipped FROM s")
+def platform_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    sites = _read(spark, sf, "pages").select(F.col("url").alias("site")).unionByName(_rows(spark, "site string", *_SITES))
+    return discovery.platform_metrics(sites, "site")
+
+
+@query("WITH s AS (SELECT user_id, sum(length(trim(props))) AS n FROM events GROUP BY 1) SELECT c_custkey AS company_id FROM customer LEFT JOIN s ON user_id = c_custkey WHERE coalesce(n, 0) < 200")
+def browser_pass(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers stand for companies, events for their plain pages."""
+    pages = _read(spark, sf, "events").select(F.col("user_id").alias("company_id"), F.col("props").alias("text"))
+    return profile.needs_browser(_read(spark, sf, "customer").select(F.col("c_custkey").alias("company_id")), pages)
+
+
 # ---- text
 
-@query(r"SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin, length(regexp_replace(text, '[^\x{400}-\x{4FF}]', '', 'g')) AS cyrillic, CASE WHEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) < 200 THEN 'mixed' ELSE 'en' END AS language FROM documents")
+@query(r"WITH n AS (SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin, length(regexp_replace(text, '[^\x{400}-\x{4FF}]', '', 'g')) AS cyrillic FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -doc_id, translate(text, 'aeiou', 'аеиоу') FROM documents)) SELECT *, CASE WHEN latin + cyrillic >= 200 AND cyrillic > 0.5 * (latin + cyrillic) THEN 'bg' WHEN latin + cyrillic >= 200 AND cyrillic < 0.25 * (latin + cyrillic) THEN 'en' WHEN cyrillic >= latin THEN 'bg' ELSE 'en' END AS language FROM n")
 def lang_script_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    own = F.col("text")
-    return _read(spark, sf, "documents").select("doc_id", F.length(F.regexp_replace(own, "[^A-Za-z]", "")).alias("latin"), F.length(F.regexp_replace(own, r"[^\x{400}-\x{4FF}]", "")).alias("cyrillic"), text.website_language(own).alias("language"))
+    """Of all documents, and of all again with Cyrillic vowels."""
+    own, docs = F.col("text"), _heavy(spark, sf, "documents").select("doc_id", "text")
+    docs = docs.unionByName(docs.select((-F.col("doc_id")).alias("doc_id"), F.translate("text", "aeiou", "аеиоу").alias("text")))
+    return docs.select("doc_id", F.length(F.regexp_replace(own, "[^A-Za-z]", "")).alias("latin"), F.length(F.regexp_replace(own, r"[^\x{400}-\x{4FF}]", "")).alias("cyrillic"), text.website_language(own).alias("language"))
+
+
+@query(r"WITH n AS (SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS l, length(regexp_replace(text, '[^\x{400}-\x{4FF}]', '', 'g')) AS c FROM documents) SELECT doc_id, CASE lang WHEN 'en' THEN 'en' WHEN 'de' THEN CASE WHEN c >= l THEN 'bg' ELSE 'en' END ELSE 'bg' END AS mail_language FROM n JOIN documents USING (doc_id)")
+def mail_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """English documents ask for English, German ones for the site's language, others for what isn't known."""
+    asked = F.when(F.col("lang") == "en", "en").when(F.col("lang") == "de", "website").otherwise(F.col("lang"))
+    return _heavy(spark, sf, "documents").select("doc_id", text.email_language(asked, text.website_language(F.col("text"))).alias("mail_language"))
 
 
 @query(r"WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w WHERE length(w) > 3 GROUP BY 1, 2) SELECT d.doc_id, coalesce(max(n), 0)::INTEGER AS most FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY 1")
 def token_repetition(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "documents").select("doc_id", text.token_repetition(F.col("text")).alias("most"))
+    return _heavy(spark, sf, "documents").select("doc_id", text.token_repetition(F.col("text")).alias("most"))
 
 
 @query(rf"SELECT doc_id, len(list_distinct(regexp_extract_all(text, '{contacts.EMAIL}')))::INTEGER AS emails FROM documents")
 def contact_density(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "documents").select("doc_id", F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({contacts.EMAIL})"), F.lit(1)))).alias("emails"))
-
-
-@query(
-    r"WITH d AS (SELECT doc_id, source AS persona, ' гр. ' || upper(lang) || ' ' AS location, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE left(text, 30) END AS kw FROM documents) SELECT doc_id, 'v2|' || regexp_replace(lower(trim(persona)), '\s+', ' ', 'g') || '|' || trim(regexp_replace(regexp_replace(lower(trim(location)), '\s+', ' ', 'g'), '^(гр\.|гр |град )', '')) || '|' || "
-    r"CASE WHEN trim(coalesce(kw, '')) = '' THEN '' ELSE array_to_string(list_sort(string_split(regexp_replace(lower(trim(kw)), '\s+', ' ', 'g'), ' ')), ' ') END AS key FROM d"
-)
-def discovery_key(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _read(spark, sf, "documents")
-    words = F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.left("text", F.lit(30)))
-    return docs.select("doc_id", text.discovery_key(F.col("source"), F.concat(F.lit(" гр. "), F.upper("lang"), F.lit(" ")), words).alias("key"))
+    return _heavy(spark, sf, "documents").select("doc_id", F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({contacts.EMAIL})"), F.lit(1)))).alias("emails"))
 
 
 @query(
     r"WITH d AS (SELECT doc_id, source AS persona, ' гр. ' || upper(lang) || ' ' AS location, text AS kw FROM documents UNION ALL SELECT -1, 'Dentist  Office', 'град Варна', NULL UNION ALL SELECT -2, 'dentist', 'Варна', ' Zeta  alpha zeta ') SELECT doc_id, 'v2|' || regexp_replace(lower(trim(persona)), '\s+', ' ', 'g') || '|' || trim(regexp_replace(regexp_replace(lower(trim(location)), '\s+', ' ', 'g'), '^(гр\.|гр |град )', '')) || '|' || "
     r"CASE WHEN trim(coalesce(kw, '')) = '' THEN '' ELSE array_to_string(list_sort(string_split(regexp_replace(lower(trim(kw)), '\s+', ' ', 'g'), ' ')), ' ') END AS key FROM d"
 )
-def discovery_key_whole(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _read(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("persona"), F.concat(F.lit(" гр. "), F.upper("lang"), F.lit(" ")).alias("location"), F.col("text").alias("kw"))
+def discovery_key(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _heavy(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("persona"), F.concat(F.lit(" гр. "), F.upper("lang"), F.lit(" ")).alias("location"), F.col("text").alias("kw"))
     every = docs.unionByName(_rows(spark, "doc_id long, persona string, location string, kw string", (-1, "Dentist  Office", "град Варна", None), (-2, "dentist", "Варна", " Zeta  alpha zeta ")))
     return every.select("doc_id", text.discovery_key(F.col("persona"), F.col("location"), F.col("kw")).alias("key"))
 
@@ -417,11 +466,12 @@ def location_signal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    r"WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+'), lambda w: length(w) >= 3)) AS w FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, CASE WHEN least(len(a.w), len(b.w)) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect(a.w, b.w))::DOUBLE / least(len(a.w), len(b.w)), 6) END AS similarity FROM t a JOIN t b ON a.item_id < b.item_id"
+    r"WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+'), lambda w: length(w) >= 3)) AS w FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, CASE WHEN least(len(a.w), len(b.w)) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect(a.w, b.w))::DOUBLE / least(len(a.w), len(b.w)), 6) END AS similarity FROM t a JOIN t b ON a.item_id + 1 = b.item_id"
 )
 def address_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """Each text with the next one's: an equal join, so linear."""
     one = _read(spark, sf, "benchmark")
-    pairs = one.select(F.col("item_id").alias("a"), F.col("text").alias("x")).join(one.select(F.col("item_id").alias("b"), F.col("text").alias("y")), F.col("a") < F.col("b"))
+    pairs = one.select(F.col("item_id").alias("a"), F.col("text").alias("x")).join(one.select(F.col("item_id").alias("b"), F.col("text").alias("y")), F.col("a") + 1 == F.col("b"))
     return pairs.select("a", "b", F.round(text.address_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
@@ -460,40 +510,54 @@ def search_text(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- pages
 
-@query()
-def page_facts(spark: SparkSession, sf: str) -> DataFrame:
-    f = F.col("facts")
-    return profile.page_facts(_read(spark, sf, "pages")).select("page_id", F.length(f["text"]).alias("chars"), F.size(f["anchors"]).alias("anchors"), F.size(f["paragraphs"]).alias("paragraphs"), f["items"].alias("items"), F.size(f["headings"]).alias("headings"), profile.needs_login(f).alias("login"), profile.bot_protection(F.col("html")).alias("bots"))
+_UNESCAPED = "replace(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+_NO_MARKUP = r"regexp_replace(html, '(?s)<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<[^>]*>', '', 'g')"
+_COUNT = lambda tag: f"len(regexp_extract_all(html, '<{tag}[ >]'))::INTEGER"
 
 
-_UNESCAPED = "replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+@query(rf"SELECT page_id, length({_UNESCAPED})::INTEGER AS chars, anchors, paragraphs, items, headings, false AS login, '' AS bots FROM (SELECT page_id, {_NO_MARKUP} AS t, {_COUNT('a')} AS anchors, {_COUNT('p')} AS paragraphs, {_COUNT('li')} AS items, {_COUNT('h[1-6]')} AS headings FROM pages)")
+def page_facts(spark: SparkSession, sf: str) -> DataFrame:
+    f = F.col("facts")
+    return profile.page_facts(_heavy(spark, sf, "pages")).select("page_id", F.length(f["text"]).alias("chars"), F.size(f["anchors"]).alias("anchors"), F.size(f["paragraphs"]).alias("paragraphs"), f["items"].alias("items"), F.size(f["headings"]).alias("headings"), profile.needs_login(f).alias("login"), profile.bot_protection(F.col("html")).alias("bots"))
 
 
 @query(rf"SELECT page_id, trim({_UNESCAPED}) AS title FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)")
 def page_title(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.page_facts(_read(spark, sf, "pages")).select("page_id", F.col("facts.title").alias("title"))
+    return profile.page_facts(_heavy(spark, sf, "pages")).select("page_id", F.col("facts.title").alias("title"))
 
 
-@query()
+_PARTS = "list_filter(list_transform(regexp_split_to_array(title, '[|\\-–]'), lambda x: trim(x)), lambda x: x <> '' AND lower(x) NOT IN (" + _LIST(n.replace("'", "''") for n in profile.GENERIC_NAMES) + "))"
+
+
+@query(
+    rf"WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '<p>((?:[^<]|</?b>|<br>)*)', 1)) AS raw, generate_subscripts(regexp_extract_all(html, '<p>((?:[^<]|</?b>|<br>)*)', 1), 1) AS nth FROM pages), q AS (SELECT page_id, nth, trim({_UNESCAPED}) AS x FROM (SELECT *, regexp_replace(raw, '<[^>]*>', '', 'g') AS t FROM p)), f AS (SELECT page_id, arg_min(x, nth) AS description FROM q WHERE length(x) > 60 GROUP BY 1), "
+    rf"n AS (SELECT page_id, trim({_UNESCAPED}) AS title FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)) SELECT n.page_id, {_PARTS}[1] AS name, description FROM n LEFT JOIN f USING (page_id)"
+)
 def page_description(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.page_facts(_read(spark, sf, "pages")).select("page_id", profile.company_name(F.col("facts"), F.col("url")).alias("name"), profile.description(F.col("facts")).alias("description"))
+    return profile.page_facts(_heavy(spark, sf, "pages")).select("page_id", profile.company_name(F.col("facts"), F.col("url")).alias("name"), profile.description(F.col("facts")).alias("description"))
 
 
-@query()
+# pages here have only links from the root in their navigation, none of them to a contact or team page
+@query(
+    "WITH b AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS base, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS h FROM pages), "
+    + f"l AS (SELECT page_id, list_concat(list_filter(list_transform(h, lambda x: base || x), lambda u: u <> base AND u <> base || '/')[:10], list_transform({[*profile.CONTACT_PATHS, *profile.TEAM_PATHS, *profile.OTHER_PATHS]!r}, lambda x: base || x)) AS u FROM b), "
+    + "e AS (SELECT page_id, regexp_replace(v, '(.)/$', '\\1') AS v, k FROM (SELECT page_id, unnest(u) AS v, generate_subscripts(u, 1) AS k FROM l)), d AS (SELECT page_id, v, min(k) AS k FROM e GROUP BY 1, 2), "
+    + "n AS (SELECT page_id, v, (row_number() OVER (PARTITION BY page_id ORDER BY k) - 1)::INTEGER AS nth FROM d) SELECT page_id, nth, v AS next_url FROM n WHERE nth < 18"
+)
 def url_queue(spark: SparkSession, sf: str) -> DataFrame:
     base = F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)
-    return profile.page_facts(_read(spark, sf, "pages")).select("page_id", F.posexplode(profile.url_queue(F.col("facts"), base)).alias("nth", "next_url"))
+    return profile.page_facts(_heavy(spark, sf, "pages")).select("page_id", F.posexplode(profile.url_queue(F.col("facts"), base)).alias("nth", "next_url"))
 
 
 @query()
 def page_type(spark: SparkSession, sf: str) -> DataFrame:
     f = F.col("facts")
-    told = profile.page_facts(_read(spark, sf, "pages")).select("page_id", profile.type_from_content(f).alias("c"), profile.type_from_meta(F.col("url"), f["title"], F.lit("")).alias("m"))
+    told = profile.page_facts(_heavy(spark, sf, "pages")).select("page_id", profile.type_from_content(f).alias("c"), profile.type_from_meta(F.col("url"), f["title"], F.lit("")).alias("m"))
     return told.select("page_id", F.col("c.type").alias("content_type"), F.col("c.score").alias("content_score"), F.col("m.type").alias("meta_type"))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.site_profiles(_read(spark, sf, "pages"))
+    return profile.site_profiles(_heavy(spark, sf, "pages"))
 
 
 _queries["site_profiles"] = flagship
@@ -551,13 +615,78 @@ def decision_fold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "WITH c AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders), k AS (SELECT *, n // 15 AS chunk, n % 15 AS idx FROM c) SELECT o_orderkey, chunk, idx, CASE idx % 4 WHEN 0 THEN 'kept' WHEN 1 THEN 'filtered' ELSE 'review' END AS status, CASE idx % 4 WHEN 1 THEN 'NOT_TARGET_ORGANIZATION' WHEN 2 THEN 'LLM_UNSURE' WHEN 3 THEN 'LLM_UNJUDGED' END AS status_reason FROM k"
+    "WITH c AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders), k AS (SELECT *, n // 15 AS chunk, n % 15 AS idx FROM c), a AS (SELECT *, o_custkey % 10 <> 0 AND idx % 4 < 3 AS answered FROM k), j AS (SELECT *, bool_or(answered) OVER (PARTITION BY o_custkey, chunk) AS judged FROM a) "
+    "SELECT o_orderkey, chunk, idx, CASE WHEN NOT judged OR NOT answered THEN 'review' WHEN idx % 4 = 0 THEN 'kept' WHEN idx % 4 = 1 THEN 'filtered' ELSE 'review' END AS status, CASE WHEN NOT judged THEN 'FILTER_DEGRADED' WHEN NOT answered THEN 'LLM_UNJUDGED' WHEN idx % 4 = 1 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'NEWS_ARTICLE' ELSE 'NOT_TARGET_ORGANIZATION' END WHEN idx % 4 = 2 THEN 'LLM_UNCERTAIN' END AS status_reason, judged AND answered AND idx % 4 = 0 AS llm_approved FROM j"
 )
 def verdict_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Every tenth batch got no answer; a reason that a model may not give counts as the general one."""
     rows = decide.chunked(_read(spark, sf, "orders").select("o_orderkey", "o_custkey"), [F.asc("o_orderkey")], ["o_custkey"])
     decision = F.when(F.col("idx") % 4 == 0, "KEEP").when(F.col("idx") % 4 == 1, "REJECT").otherwise("UNSURE")
-    answers = rows.where("idx % 4 < 3").select("o_custkey", "chunk", "idx", decision.alias("decision"), F.lit(None).cast("string").alias("code"))
-    return decide.apply_verdicts(rows, answers, ["o_custkey", "chunk", "idx"]).select("o_orderkey", F.col("chunk").cast("long").alias("chunk"), F.col("idx").cast("long").alias("idx"), "status", "status_reason")
+    code = F.when(F.col("o_orderkey") % 2 == 0, "NEWS_ARTICLE").otherwise("ODD")
+    answers = rows.where("idx % 4 < 3 and o_custkey % 10 <> 0").select("o_custkey", "chunk", "idx", decision.alias("decision"), code.alias("code"))
+    return decide.apply_verdicts(rows, answers, ["o_custkey", "chunk", "idx"]).select("o_orderkey", F.col("chunk").cast("long").alias("chunk"), F.col("idx").cast("long").alias("idx"), "status", "status_reason", "llm_approved")
+
+
+_VERDICTS = {"1-URGENT": "ACCEPT", "2-HIGH": "REVIEW"}
+
+
+@query(
+    "WITH c AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'facebook.com' WHEN 2 THEN 'bg.linkedin.com' ELSE 'firma' || o_custkey || '.bg' END AS domain, CASE WHEN o_orderkey % 7 = 0 THEN 'IRRELEVANT' ELSE 'UNKNOWN' END AS page_type, CASE WHEN o_orderkey % 3 = 0 THEN 'https://list.bg' END AS source, 'Фирма ' || o_custkey AS name, "
+    "CASE o_orderpriority WHEN '1-URGENT' THEN 'ACCEPT' WHEN '2-HIGH' THEN 'REVIEW' ELSE 'REJECT' END AS verdict FROM orders), p AS (SELECT *, coalesce(domain IN ('facebook.com', 'bg.linkedin.com'), false) AS platform, page_type = 'IRRELEVANT' AND source IS NULL AS blocked FROM c) "
+    "SELECT o_orderkey, coalesce(domain, 'extracted-' || left(lower(hex(encode(left(name, 40)))), 16) || '.local') AS domain, CASE WHEN blocked THEN 'BLOCKED' WHEN platform THEN 'FILTERED' WHEN verdict = 'ACCEPT' THEN 'KEPT' WHEN verdict = 'REVIEW' THEN 'REVIEW' ELSE 'FILTERED' END AS status, CASE WHEN platform THEN 'NON_CRAWLABLE_PLATFORM' WHEN blocked THEN 'BLOCKLISTED_AGGREGATOR' ELSE 'R' || verdict END AS reason FROM p"
+)
+def stored_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    k, own = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    domain = F.when(k % 5 == 0, None).when(k % 5 == 1, "facebook.com").when(k % 5 == 2, "bg.linkedin.com").otherwise(F.concat(F.lit("firma"), own, F.lit(".bg")))
+    verdict = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in _VERDICTS.items() for x in pair)), F.col("o_orderpriority")), F.lit("REJECT"))
+    rows = _read(spark, sf, "orders").select("o_orderkey", domain.alias("domain"), F.when(k % 7 == 0, "IRRELEVANT").otherwise("UNKNOWN").alias("page_type"), F.when(k % 3 == 0, "https://list.bg").alias("source"), F.concat(F.lit("Фирма "), own).alias("name"), verdict.alias("verdict"))
+    told = decide.stored(F.col("domain"), F.col("page_type"), F.col("source"), F.col("verdict"), F.concat(F.lit("R"), "verdict"))
+    return rows.select("o_orderkey", decide.stored_domain(F.col("domain"), F.col("name"), F.lit("")).alias("domain"), told.alias("t")).select("o_orderkey", "domain", "t.*")
+
+
+_STATES = ["blocked", "filtered", "kept", "review"]
+_TYPE_CASES = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in decide.REJECTED_TYPES.items())
+
+
+@query(
+    f"WITH s AS (SELECT o_orderkey, {_STATES!r}[o_orderkey % 4 + 1] AS status, {[*decide.REJECTED_TYPES, 'ODD']!r}[o_orderkey % 9 + 1] AS reason FROM orders) SELECT o_orderkey, CASE status WHEN 'kept' THEN 70 WHEN 'review' THEN 45 WHEN 'filtered' THEN 20 ELSE 0 END AS confidence, CASE status WHEN 'blocked' THEN 'IRRELEVANT' WHEN 'filtered' THEN CASE reason {_TYPE_CASES} ELSE 'UNKNOWN' END ELSE 'UNKNOWN' END AS page_type FROM s"
+)
+def search_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.col("o_orderkey") % n + 1).cast("int"))
+    return _read(spark, sf, "orders").select("o_orderkey", decide.search_candidate(pick(_STATES, 4), pick([*decide.REJECTED_TYPES, "ODD"], 9)).alias("t")).select("o_orderkey", "t.*")
+
+
+_META = ["DIRECTORY_OR_PORTAL", "UNKNOWN", "TARGET_ORGANIZATION", "NEWS_ARTICLE", "OFFICIAL_REGISTRY"]
+
+
+@query(
+    f"WITH c AS (SELECT o_orderkey, o_custkey, 'u' || (o_orderkey % 40) AS source_url, ['UNKNOWN', 'IRRELEVANT', 'SOCIAL_PAGE'][o_orderkey % 3 + 1] AS t, {_META!r}[o_orderkey % 5 + 1] AS m FROM orders), k AS (SELECT *, CASE WHEN t = 'IRRELEVANT' THEN CASE WHEN m IN ({_LIST(decide.LIST_PAGES)}) THEN m ELSE t END WHEN t = 'UNKNOWN' THEN m ELSE t END AS kind FROM c), "
+    f"f AS (SELECT o_custkey, source_url, min(o_orderkey) AS first FROM k WHERE kind IN ({_LIST(decide.LIST_PAGES)}) GROUP BY ALL), s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY first) AS n FROM f) WHERE n <= 5) "
+    "SELECT o_orderkey, CASE WHEN s.source_url IS NULL THEN kind WHEN k.source_url LIKE '%0' THEN 'TARGET_ORGANIZATION' ELSE 'MUNICIPALITY_PAGE' END AS page_type, CASE WHEN t = 'UNKNOWN' AND m <> 'UNKNOWN' THEN 1 ELSE 0 END AS signals FROM k LEFT JOIN s ON s.o_custkey = k.o_custkey AND s.source_url = k.source_url"
+)
+def list_page_suspects(spark: SparkSession, sf: str) -> DataFrame:
+    """Types from address and title, the first five suspects of each batch, and the types that their content confirms."""
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.col("o_orderkey") % n + 1).cast("int"))
+    rows = _read(spark, sf, "orders").select("o_orderkey", "o_custkey", F.concat(F.lit("u"), F.col("o_orderkey") % 40).alias("source_url"), pick(["UNKNOWN", "IRRELEVANT", "SOCIAL_PAGE"], 3).alias("page_type"), pick(_META, 5).alias("m"), F.array().cast(decide.SIGNALS).alias("signals"))
+    told = decide.meta_classified(rows, F.col("m"))
+    read = decide.suspects(told, ["o_custkey"], [F.asc("o_orderkey")]).withColumn("content_type", F.when(F.col("source_url").endswith("0"), "TARGET_ORGANIZATION").otherwise("MUNICIPALITY_PAGE"))
+    return decide.confirmed(told, read, ["o_custkey"]).select("o_orderkey", "page_type", F.size("signals").alias("signals"))
+
+
+_OLD_NAMES = ["Home", "Acme", "English version", "log-in"]
+
+
+@query(
+    f"WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS name, {_OLD_NAMES!r}[c_custkey % 4 + 1] AS old, CASE WHEN c_custkey % 5 = 0 THEN 'Logo' END AS logo, c_custkey % 2 = 0 AS mail, c_custkey % 7 = 0 AS phone, (c_custkey % 101)::INTEGER AS score, c_custkey % 11 = 0 AS fresh FROM customer) "
+    "SELECT k AS company_id, CASE WHEN name IS NOT NULL THEN name WHEN fresh THEN NULL WHEN old = 'Acme' THEN old ELSE logo END AS name, CASE WHEN mail THEN 'new@x.bg' WHEN fresh THEN '' ELSE 'old@x.bg' END AS emails, CASE WHEN phone THEN '1' WHEN fresh THEN '' ELSE '2' END AS phones, "
+    "least(CASE WHEN phone OR fresh THEN 1000 ELSE 100 END, least(CASE WHEN mail OR fresh THEN 1000 ELSE 100 END, score + CASE WHEN mail OR fresh THEN 0 ELSE 15 END) + CASE WHEN phone OR fresh THEN 0 ELSE 10 END)::INTEGER AS completion_score FROM c"
+)
+def recrawl_preserved(spark: SparkSession, sf: str) -> DataFrame:
+    k, none = F.col("c_custkey"), F.array().cast("array<string>")
+    own = _read(spark, sf, "customer")
+    new = own.select(k.alias("company_id"), F.when(k % 3 == 0, F.col("c_name")).alias("name"), F.when(k % 2 == 0, F.array(F.lit("new@x.bg"))).otherwise(none).alias("emails"), F.when(k % 7 == 0, F.array(F.lit("1"))).alias("phones"), (k % 101).cast("int").alias("completion_score"))
+    old = own.where("c_custkey % 11 <> 0").select(k.alias("company_id"), F.element_at(F.array(*map(F.lit, _OLD_NAMES)), (k % 4 + 1).cast("int")).alias("name"), F.array(F.lit("old@x.bg")).alias("emails"), F.array(F.lit("2")).alias("phones"), F.when(k % 5 == 0, "Logo").alias("logo_name"))
+    return discovery.recrawled(new, old).select("company_id", "name", F.coalesce(F.array_join("emails", ","), F.lit("")).alias("emails"), F.coalesce(F.array_join("phones", ","), F.lit("")).alias("phones"), "completion_score")
 
 
 _JSON = [(1, 'Sure: ```json\n{"verified": ["a@b.bg"], "confidence": 80}\n```', 80), (2, "no json", None), (3, '{"confidence": 71}', 71), (4, '{"confidence": 12', None)]
@@ -585,6 +714,21 @@ def export_csv_lines(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.csv_lines(rows, [F.col("s_suppkey")])
 
 
+_EXPORT_SQL = {"Domain": "'d' || k || '.bg'", "Name": "n", "Description": "''", "Location": "CASE WHEN k % 2 = 0 THEN 'Sofia' ELSE '' END", "Emails": "CASE WHEN k % 3 = 0 THEN '' ELSE 'a@d.bg, b@d.bg' END", "Phones": "''", "Services": "'x'", "Team": "CASE WHEN k % 4 = 0 THEN 'Ann Lee (CEO) <a@d.bg>; Bo' ELSE '' END", "Facebook": "CASE WHEN k % 5 = 0 THEN 'fb' ELSE '' END", "LinkedIn": "''", "Other Social": "CASE WHEN k % 5 = 0 THEN 'twitter: tw | youtube: yt' ELSE '' END", "Completion Score": "(k % 101)::INTEGER", "Crawl Status": "seg", "Crawl Note": "''", "Login Protected": "CASE WHEN k % 6 = 0 THEN 'Yes' ELSE 'No' END", "Email Subject": "''", "Outreach Message": "''", "Campaign Email": "''"}
+
+
+@query("WITH c AS (SELECT c_custkey AS k, c_name AS n, c_mktsegment AS seg FROM customer) SELECT " + ", ".join(f'{v} AS "{c}"' for c, v in _EXPORT_SQL.items()) + " FROM c")
+def enrichment_export(spark: SparkSession, sf: str) -> DataFrame:
+    k, none = F.col("c_custkey"), F.array().cast("array<string>")
+    people = "array<struct<name: string, position: string, email: string>>"
+    team = F.from_json(F.lit('[{"name": "Ann Lee", "position": "CEO", "email": "a@d.bg"}, {"name": "Bo"}]'), people)
+    rows = _read(spark, sf, "customer").select(
+        F.concat(F.lit("d"), k, F.lit(".bg")).alias("domain"), F.col("c_name").alias("name"), F.when(k % 2 == 0, "Sofia").alias("location"), F.when(k % 3 == 0, none).otherwise(F.array(F.lit("a@d.bg"), F.lit("b@d.bg"))).alias("emails"), F.lit(None).cast("array<string>").alias("phones"), F.array(F.lit("x")).alias("services"),
+        F.when(k % 4 == 0, team).alias("team"), F.when(k % 5 == 0, F.create_map(*map(F.lit, ("youtube", "yt", "facebook", "fb", "twitter", "tw", "instagram", "")))).alias("social"), (k % 101).alias("completion_score"), F.col("c_mktsegment").alias("crawl_status"), (k % 6 == 0).alias("login_protected"), k.alias("created_at"),
+    )
+    return discovery.enrichment_rows(rows)
+
+
 @query("SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= 2")
 def top2_pages_by_score(spark: SparkSession, sf: str) -> DataFrame:
     return relational.first_of(_read(spark, sf, "documents").select("source", "doc_id", "n_chars"), ["source"], [F.desc("n_chars"), F.asc("doc_id")], 2)

@@ -16,8 +16,20 @@ MOST_BYTES = 4 * 1024 * 1024
 ENDINGS = (".csv", ".xls", ".xlsx")
 
 
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A Parquet table of a folder, for work that is heavy a row.
+
+    A table of fewer splits than the cluster has cores, such as one small file, is dealt out to all cores first. Larger ones are
+    read as they are: nothing is shuffled.
+    """
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def check_upload(name: str, size: int) -> None:
-    """Refuses other endings and files over the limit."""
+    """Refuses other endings and files over the limit. A file of the old binary workbook format has an ending that is let in,
+    and is refused when it is read, by its first bytes."""
     if not name.lower().endswith(ENDINGS):
         raise ValueError(f"only {', '.join(ENDINGS)} are read")
     if size > MOST_BYTES:
@@ -35,6 +47,8 @@ def csv_cells(spark: SparkSession, path: str) -> DataFrame:
 
 def _sheet(raw: bytes) -> list[str]:
     """The cells of the first sheet as text."""
+    if raw[:2] != b"PK":
+        raise ValueError("only workbooks of the zipped format are read; save the old one as .xlsx")
     with zipfile.ZipFile(io.BytesIO(raw)) as book:
         tag = lambda e: e.tag.rpartition("}")[2]
         words = []
@@ -50,10 +64,11 @@ def _sheet(raw: bytes) -> list[str]:
 
 
 def xlsx_cells(spark: SparkSession, path: str) -> DataFrame:
-    """(cell) of the first sheet of each workbook, read where the file lies; files are small by ``MOST_BYTES``."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= MOST_BYTES).select("content")
+    """(cell) of the first sheet of each workbook, read where the file lies; one over ``MOST_BYTES`` is an error."""
+    files = spark.read.format("binaryFile").load(path)
+    large = F.raise_error(F.concat(F.lit("over the limit of an upload: "), "path"))
     read = F.udf(_sheet, "array<string>")
-    return files.select(F.explode(read("content")).alias("cell"))
+    return files.select(F.explode(read(F.when(F.col("length") > MOST_BYTES, large.cast("binary")).otherwise(F.col("content")))).alias("cell"))
 
 
 def domains(cells: DataFrame) -> DataFrame:
