@@ -192,7 +192,8 @@ def services_in_text(body: Column) -> Column:
 
 
 PERSON = r"^\p{Lu}[\p{Ll}'’\-]+(?:\s+\p{Lu}[\p{Ll}'’\-]+){1,3}$"
-ROLES = r"(?iu)^(?:(?:account|assistant|business|chief|co|commercial|deputy|development|executive|finance|financial|general|hr|it|managing|marketing|office|operations|procurement|product|production|project|quality|regional|sales|senior|technical|изпълнителен|търговски|технически|финансов|генерален|главен|офис)[\s\-]+)*(?:accountant|ceo|cfo|chairman|coo|cto|designer|developer|director|engineer|founder|head of [^,]+|lawyer|manager|officer|owner|partner|president|управител|директор|собственик|мениджър|счетоводител|инженер|адвокат|председател|основател)\b"
+_ROLE = r"(?:(?:account|assistant|business|chief|co|commercial|deputy|development|executive|finance|financial|general|hr|it|managing|marketing|office|operations|procurement|product|production|project|quality|regional|sales|senior|technical|изпълнителен|търговски|технически|финансов|генерален|главен|офис)[\s\-]+)*(?:accountant|administrator|bookkeeper|ceo|cfo|chairman|coo|cto|designer|developer|director|engineer|founder|head of [^,]+|lawyer|manager|officer|owner|partner|president|representative|vice president|vp|управител|директор|собственик|мениджър|счетоводител|инженер|адвокат|председател|основател|партньор|представител|съдружник|съсобственик|съуправител|финансист)"
+ROLES = rf"(?iu)^{_ROLE}\b"
 
 
 def team(facts: Column) -> Column:
@@ -215,7 +216,7 @@ def team(facts: Column) -> Column:
     return contacts.let(F.concat(headed, said, carded), first)
 
 
-_ROLE_IN = r"(?iu)(?:^|[\s,.:;(\-])(" + ROLES[ROLES.index("(?:(?:chief") : ROLES.rindex(r"\b")] + r")(?:[\s,.:;)\-]|$)"
+_ROLE_IN = rf"(?iu)(?:^|[\s,.:;(\-])({_ROLE})(?:[\s,.:;)\-]|$)"
 
 
 def mailed_team(facts: Column) -> Column:
