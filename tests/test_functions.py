@@ -73,7 +73,8 @@ def test_addresses(spark):
 def test_small_ones(spark):
     assert values(spark, text.csv_cell, ['a"b', "a,b", "a\nb", "a\rb", None]) == ['"a""b"', '"a,b"', '"a\nb"', "a\rb", ""]
     assert values(spark, text.truncated, ["x" * 8000, "x" * 8001])[1] == "x" * 4000 + "\n…\n" + "x" * 4000
-    assert values(spark, text.website_language, ["д" * 300, "a" * 300, "a" * 10, "д" * 100 + "a" * 200]) == ["bg", "en", "mixed", "mixed"]
+    assert values(spark, text.site_script, ["д" * 300, "a" * 300, "a" * 10, "д" * 100 + "a" * 200]) == ["cyrillic", "latin", "mixed", "mixed"]
+    assert values(spark, text.website_language, ["д" * 300, "a" * 300, "a" * 10, "д" * 100 + "a" * 200]) == ["bg", "en", "en", "en"]  # never mixed
     assert values(spark, text.name_of_domain, ["tashev-trans.bg", "www.acme-ltd.com", "ab.bg"]) == ["Tashev Trans", "Acme", None]
     assert values(spark, text.safe_filename, ["отчет 1/2.csv"]) == ["отчет_1_2.csv"]
     assert values(spark, text.clean_search_text, ["&#x1F600;&#1046;&eacute;"]) == ["😀Ж&eacute;"]
