@@ -448,9 +448,16 @@ def discovery_key(spark: SparkSession, sf: str) -> DataFrame:
 _NAMES = [("Враца", "vratsa"), ("Щастлив Юли", "shtastliv yuli"), ("Жълтуша", "zhaltusha"), ("Plovdiv 7", "plovdiv 7"), ("ЦЪРКВИЩЕ", "tsarkvishte")]
 
 
-@query("SELECT name, latin FROM " + _values("name, latin", *_NAMES))
+_CYRILLIC = list(zip("абвгдежзийклмнопрстуфхцчшщъьюя", "a b v g d e zh z i y k l m n o p r s t u f h ts ch sh sht a y yu ya".split()))
+_LATIN_TEXT = "lower(text)"
+for _letter, _latin in _CYRILLIC:
+    _LATIN_TEXT = f"replace({_LATIN_TEXT}, '{_letter}', '{_latin}')"
+
+
+@query("SELECT name, latin FROM " + _values("name, latin", *_NAMES) + f" UNION ALL SELECT text, {_LATIN_TEXT} FROM documents")
 def transliterate(spark: SparkSession, sf: str) -> DataFrame:
-    return _rows(spark, "name string", *((n,) for n, _ in _NAMES)).select("name", text.transliterated(F.col("name")).alias("latin"))
+    names = _rows(spark, "name string", *((n,) for n, _ in _NAMES)).unionByName(_heavy(spark, sf, "documents").select(F.col("text").alias("name")))
+    return names.select("name", text.transliterated(F.col("name")).alias("latin"))
 
 
 _PLACES = [
