@@ -128,8 +128,8 @@ def _shard(ends: str, at: str):
     return F.size(heads) * width + F.size(F.filter(F.slice(ends, F.size(heads) * width + 1, width), lambda end: end <= F.col(at)))
 
 
-def _mix(rows: DataFrame, weights: dict | None, shards: int | None, block: int, seed: int, epochs: int, total: int | None) -> DataFrame:
-    """(key, source, block, shard, place) from (key, source); sources aren't null."""
+def _mix(rows: DataFrame, weights: dict | None, shards: int | None, block: int, seed: int, epochs: int, total: int | None) -> tuple[DataFrame, int, int]:
+    """(key, source, block, shard, place) from (key, source), the number of shards, and the most documents of one; sources aren't null."""
     spark = rows.sparkSession
     own = durable(rows.groupBy("key").agg(F.min("source").alias("source")))
     count = {r[0]: r[1] for r in own.groupBy("source").count().collect()}
@@ -151,7 +151,7 @@ def _mix(rows: DataFrame, weights: dict | None, shards: int | None, block: int,
     local = durable(drawn.withColumn("_order", _key(seed, 3, "block")).withColumn("_bucket", F.pmod(_key(seed, 4, "block"), F.lit(fine))))
     before = local.groupBy("shard", "_bucket").count().withColumn("_before", F.sum("count").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("count")).drop("count")
     placed = local.withColumn("_nth", F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_order", "key")) - 1).join(before, ["shard", "_bucket"])
-    return placed.select("key", "source", "block", "shard", (F.col("_before") + F.col("_nth")).alias("place"))
+    return placed.select("key", "source", "block", "shard", (F.col("_before") + F.col("_nth")).alias("place")), shards, -(-sum(quotas.values()) // shards) * block
 
 
 def mix_sources(docs: DataFrame, weights: dict | None = None, shards: int | None = None, block: int = BLOCK, seed: int = SEED, epochs: int = 1, total: int | None = None) -> DataFrame:
@@ -172,19 +172,25 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, shards: int | None
     source and by source and shard, as many for any number of documents of a shard.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("key"), F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source"))
-    mixed = _mix(rows, weights, shards, block, seed, epochs, total)
+    mixed, _, _ = _mix(rows, weights, shards, block, seed, epochs, total)
     return mixed.select(F.col("key").alias("doc_id"), F.when(F.col("source") != NONE, F.col("source")).alias("source"), "block", "shard", "place")
 
 
 def mixed_documents(docs: DataFrame, weights: dict | None = None, shards: int | None = None, block: int = BLOCK, seed: int = SEED, epochs: int = 1, total: int | None = None) -> DataFrame:
-    """The documents drawn, with all their columns and mix_shard and mix_place, which replace columns of these names.
+    """The documents drawn, with all their columns and mix_shard and mix_place, which replace columns of these names, laid out as
+    the mix says: each partition, and so each file written, is a run of at most BUCKET places of one shard, in order, and the
+    partitions follow each other by shard and place.
 
     As ``mix_sources``, but no row is left out: one with a null doc_id goes by a hash of its text. Rows of one doc_id are one
-    document and all there, at one place, once a pass. An empty table stays empty; other columns of any name are carried along.
+    document and all there, at one place, once a pass, by a hash of their texts. An empty table stays empty; other columns of
+    any name are carried along.
     """
     kept = [c for c in docs.columns if c.lower() not in ("mix_shard", "mix_place")]
     (key,) = free_names(docs.columns, "key")
     ident = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
-    plan = _mix(docs.select(ident.alias("key"), F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source")), weights, shards, block, seed, epochs, total)
+    plan, shards, most = _mix(docs.select(ident.alias("key"), F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source")), weights, shards, block, seed, epochs, total)
     plan = plan.select(F.col("key").alias(key), F.col("shard").alias("mix_shard"), F.col("place").alias("mix_place"))
-    return docs.select(kept).join(plan, ident == F.col(key)).drop(key)
+    runs = max(1, -(-most // BUCKET))
+    run = (F.col("mix_shard") * runs + F.floor(F.col("mix_place") / BUCKET)).cast("int")
+    out = docs.select(kept).join(plan, ident == F.col(key)).drop(key)
+    return out.repartitionById(shards * runs, run).sortWithinPartitions("mix_place", F.xxhash64(F.col("text").cast("string")))

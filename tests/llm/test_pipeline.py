@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,18 @@ def test_an_empty_corpus_stays_empty(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize(("bucket", "files"), [(50_000, 16), (10, 64)])
+def test_the_mix_sets_the_order_of_the_rows(spark, tmp_path, monkeypatch, bucket, files):
+    monkeypatch.setattr(mixing, "BUCKET", bucket)
+    rows = [(k, f"text {k}", "en", f"src{k // 300}", 9) for k in range(600)]  # by source, as they come
+    rows += [(5, "another text", "en", "src0", 12), (None, "no id", "en", None, 5)]
+    dict(corpus_pipeline.STAGES)["mixing"](spark, spark.createDataFrame(rows, DOCS), "").write.parquet(out := str(tmp_path / "mixed"))
+    parts = [p for f in sorted((tmp_path / "mixed").glob("part-*.parquet")) if (p := pq.read_table(f).to_pylist())]
+    assert len(parts) == files and all(len({r["mix_shard"] for r in p}) == 1 and len({r["mix_place"] // bucket for r in p}) == 1 for p in parts)
+    read = [(r["mix_shard"], r["mix_place"]) for p in parts for r in p]
+    assert read == sorted(read) and Counter((r["doc_id"], r["text"]) for p in parts for r in p) == Counter((i, t) for i, t, *_ in rows)
+    source = [r["source"] for p in parts for r in p]
+    assert sum(x != y for x, y in zip(source, source[1:])) > 200  # no longer by source
+    assert spark.read.parquet(out).count() == len(rows)
