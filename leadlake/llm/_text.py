@@ -35,12 +35,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers below ``n``. Those of a slice are kept; more, for a span of more than half a slice, only while they are used,
+    as a worker lives on and would hold them through all later tasks."""
     if len(_tables.get("up", ())) < n:
-        size = max(n, SLICE + 1)
+        made = {}
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            full = np.full(size, base, U)
+            full = np.full(max(n, SLICE + 1), base, U)
             full[0] = 1
-            _tables[name] = np.multiply.accumulate(full)
+            made[name] = np.multiply.accumulate(full)
+        if n > SLICE + 1:
+            return made["up"], made["down"]
+        _tables.update(made)
     return _tables["up"][:n], _tables["down"][:n]
 
 
@@ -128,7 +133,21 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, equal for equal bytes wherever they stand."""
+    """A 64-bit hash of the bytes of each span, equal for equal bytes wherever they stand. More than a slice is hashed in windows
+    of spans that start within half a slice, so memory goes by the slice and the longest span."""
+    if len(data) <= SLICE or not len(starts):
+        return _window_hashes(data, starts, ends)
+    out, order = np.empty(len(starts), U), np.argsort(starts, kind="stable")
+    starts, ends, low = starts[order], ends[order], 0
+    while low < len(starts):
+        base = starts[low]
+        high = int(np.searchsorted(starts, base + SLICE // 2))
+        out[order[low:high]] = _window_hashes(data[base : ends[low:high].max()], starts[low:high] - base, ends[low:high] - base)
+        low = high
+    return out
+
+
+def _window_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, U)
     np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=total[1:])

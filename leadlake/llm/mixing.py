@@ -14,6 +14,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,7 +143,9 @@ def _mix(rows: DataFrame, weights: dict | None, shards: int | None, block: int,
     numbered = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("source", "_bucket").orderBy("_order", "key")) - 1).join(sizes, ["source", "_bucket"])
     numbered = numbered.select("key", "source", F.floor((F.col("_before") + F.col("_nth")) / block).alias("block"))
     plan = deal_blocks(quotas, blocks, shards, seed)
-    table = spark.createDataFrame(plan, "source string, _blocks long, _factor long, _offset long, _ends array<long>")
+    # as Arrow: rows would start Python workers of another kind, which stay beside those of the other stages
+    types = [("source", pa.string()), ("_blocks", pa.int64()), ("_factor", pa.int64()), ("_offset", pa.int64()), ("_ends", pa.list_(pa.int64()))]
+    table = spark.createDataFrame(pa.table([pa.array([row[k] for row in plan], kind) for k, (_, kind) in enumerate(types)], [name for name, _ in types]))
     first = numbered.join(table, "source").withColumn("_at", F.pmod(F.col("_factor") * F.col("block") + F.col("_offset"), F.col("_blocks")))
     last = F.floor((F.element_at("_ends", -1) - 1) / F.col("_blocks"))
     drawn = first.withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumns({"_at": F.col("_at") + F.col("_pass") * F.col("_blocks"), "block": F.col("block") + F.col("_pass") * F.col("_blocks")})

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from leadlake.llm import chat, decontaminate, exactdedup, langid, linededup, mixing, neardup, quality, queries, tokens, urlfilter
+from leadlake.llm import _text, chat, decontaminate, exactdedup, langid, linededup, mixing, neardup, quality, queries, tokens, urlfilter
 from leadlake.llm._text import buffers, lower, span_hashes, word_bounds
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -757,3 +757,22 @@ def test_only_bounded_rank_files_are_handed_out(monkeypatch):
     monkeypatch.setattr(tokens, "MOST_RANKS", 10)
     with pytest.raises(ValueError):
         tokens.rank_file(tokens.RANKS)
+
+
+def test_no_task_leaves_tables_of_its_largest_text_behind():
+    random_ = np.random.default_rng(3)
+    data = random_.integers(97, 101, 3 * _text.SLICE).astype(np.uint8)
+    starts = random_.permutation(len(data) - 50)[:20_000]
+    spans = [*zip(starts.tolist(), (starts + random_.integers(0, 50, len(starts))).tolist()), (7, 7 + 2 * _text.SLICE), (9, 9)]
+    starts, ends = np.array(spans).T
+    got = _text.span_hashes(data, starts, ends)
+    assert all(len(table) <= _text.SLICE + 1 for table in _text._tables.values())
+    few = [*range(50), len(spans) - 2, len(spans) - 1]
+    assert got[few].tolist() == [int(_text.span_hashes(data[a:b], np.array([0]), np.array([b - a]))[0]) for a, b in (spans[k] for k in few)]
+    assert len(_text.span_hashes(data, starts[:0], ends[:0])) == 0
+
+
+def test_the_plan_of_the_mix_starts_no_python(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "durable", lambda df: df)
+    mixed = mixing.mix_sources(spark.range(40).selectExpr("id AS doc_id", "concat('s', id % 3) AS source"))
+    assert "ExistingRDD" not in mixed._jdf.queryExecution().toString() and mixed.count() == 40
