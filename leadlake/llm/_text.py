@@ -6,8 +6,9 @@ A *word* is a maximal run of ASCII letters and digits and of characters from U+0
 
 from __future__ import annotations
 
+import ctypes
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -154,6 +155,19 @@ def _window_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over the batches of a task, after which what it freed goes back to the system: a worker lives on, beside the JVM's
+    later stages, and allocators would keep the most that it ever used."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc
+            trim(0)
+
+    return task
+
+
 def binary_rows(matrix: np.ndarray) -> pa.Array:
     """Each row of a contiguous matrix as one binary value."""
     matrix = np.ascontiguousarray(matrix)

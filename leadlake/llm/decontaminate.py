@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadlake.llm._text import buffers, lower, slices, span_hashes, word_bounds
+from leadlake.llm._text import buffers, lower, released, slices, span_hashes, word_bounds
 
 #: Words of a test phrase; an item of fewer words is one phrase.
 PHRASE = 8
@@ -251,7 +251,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRA
     spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text <> ''")
     held = [spark.sparkContext.broadcast(part) for part in _parts(benchmark, phrase)]
-    return narrow.mapInArrow(_finder(held), "doc_id long, first_word long, end_word long, start long, stop long")
+    return narrow.mapInArrow(released(_finder(held)), "doc_id long, first_word long, end_word long, start long, stop long")
 
 
 def _cutter(held: list, text: int, chars: int | None):
@@ -292,4 +292,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE) -
     """
     held = [docs.sparkSession.sparkContext.broadcast(part) for part in _parts(benchmark, phrase)]
     chars = docs.columns.index("n_chars") if dict(docs.dtypes).get("n_chars") in ("int", "bigint") else None
-    return docs.mapInArrow(_cutter(held, docs.columns.index("text"), chars), docs.schema)
+    return docs.mapInArrow(released(_cutter(held, docs.columns.index("text"), chars)), docs.schema)

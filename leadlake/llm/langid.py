@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from leadlake.llm._text import WORD_RE, buffers, draw_bound, free_names, lower, slices, span_hashes, word_bounds
+from leadlake.llm._text import WORD_RE, buffers, draw_bound, free_names, lower, released, slices, span_hashes, word_bounds
 
 #: Labelled documents of each language that the model is fitted on, about; a hash of the id draws them.
 TRAIN_DOCS = 600
@@ -163,7 +163,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(_guess(held, 0, 1, False, ["lang", "lead", "words"]), "doc_id long, lang string, lead double, words long")
+    return narrow.mapInArrow(released(_guess(held, 0, 1, False, ["lang", "lead", "words"])), "doc_id long, lang string, lead double, words long")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -175,5 +175,5 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = free_names(docs.columns, "lang", "lead", "words")
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` long").fields])
-    guessed = docs.mapInArrow(_guess(held, docs.columns.index("doc_id"), docs.columns.index("text"), True, names), schema)
+    guessed = docs.mapInArrow(released(_guess(held, docs.columns.index("doc_id"), docs.columns.index("text"), True, names)), schema)
     return guessed.where(F.col(names[0]).isNotNull()).select(docs.columns)

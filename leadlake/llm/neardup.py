@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadlake.llm._graph import connected_components, durable
-from leadlake.llm._text import U, binary_rows, free_names, lower, mix, slices, span_hashes, word_bounds
+from leadlake.llm._text import U, binary_rows, free_names, lower, mix, released, slices, span_hashes, word_bounds
 
 CHUNKS, WIDTH = 13, 5
 K = CHUNKS * WIDTH
@@ -162,7 +162,7 @@ def _search(distance: int):
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, row, sig) of documents that have a word and an id; row is a hash of the text, which tells rows of one id apart."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text <> ''")
-    return own.withColumn("row", F.xxhash64("text")).mapInArrow(_sign, "doc_id long, row long, sig binary")
+    return own.withColumn("row", F.xxhash64("text")).mapInArrow(released(_sign), "doc_id long, row long, sig binary")
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,14 +220,14 @@ def hot_edges(hot: DataFrame, copies: DataFrame, distance: int) -> DataFrame:
     sig = copies.select("rep", "sig")
     pivots = hot.groupBy("key").agg(F.min("rep").alias("pivot"))
     named = hot.join(pivots, "key").join(sig, "rep").join(sig.select(F.col("rep").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
-    told = durable(named.select("key", "rep", "sig", "pivot", "pivot_sig").mapInArrow(_apart, "key long, rep long, pivot long, far int"))
+    told = durable(named.select("key", "rep", "sig", "pivot", "pivot_sig").mapInArrow(released(_apart), "key long, rep long, pivot long, far int"))
     star = told.where((F.col("far") <= distance) & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("u"), F.col("rep").alias("v"))
     rest = told.where(F.col("far") > distance)
     cells = rest.groupBy("key").agg(F.ceil(F.count("*") / BUCKET).alias("cells"), F.min("far").alias("least"))
     one = rest.join(cells, "key").select("key", F.pmod(F.xxhash64("rep"), "cells").alias("cell"), F.lit(0).alias("side"), "rep")
     two = told.join(cells, "key").where((F.col("far") > distance) | (F.col("far") >= F.col("least") - distance)).select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"), F.lit(1).alias("side"), "rep")
     met = one.unionByName(two).join(sig, "rep").select("key", "cell", "side", "rep", "sig").repartition("key", "cell").sortWithinPartitions("key", "cell", "side", "rep")
-    return star.unionByName(met.mapInArrow(_cross(distance), "u long, v long"))
+    return star.unionByName(met.mapInArrow(released(_cross(distance)), "u long, v long"))
 
 
 def _groups(docs: DataFrame, distance: int) -> DataFrame:
@@ -236,12 +236,12 @@ def _groups(docs: DataFrame, distance: int) -> DataFrame:
         raise ValueError(f"distance must be 0 to {MAX_DISTANCE}: one error a chunk guarantees no more")
     signed = durable(signatures(docs).withColumn("rid", F.monotonically_increasing_id()))  # written down, so it stays
     copies = durable(signed.groupBy("sig").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")))
-    filed = copies.select("rep", "sig").mapInArrow(_file, "key long, rep long")
+    filed = copies.select("rep", "sig").mapInArrow(released(_file), "key long, rep long")
     # counted on the map side first; only the keys of more than one representative meet their rows again
     often = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = durable(filed.join(often, "key").select("key", "rep", "n"))
     few = shared.where(F.col("n") <= BUCKET).join(copies, "rep").select("key", "rep", "sig").repartition("key").sortWithinPartitions("key", "rep")
-    found = few.mapInArrow(_search(distance), "u long, v long")
+    found = few.mapInArrow(released(_search(distance)), "u long, v long")
     hot = shared.where(F.col("n") > BUCKET)
     if not hot.isEmpty():
         found = found.unionByName(hot_edges(hot, copies, distance))

@@ -776,3 +776,19 @@ def test_the_plan_of_the_mix_starts_no_python(spark, monkeypatch):
     monkeypatch.setattr(mixing, "durable", lambda df: df)
     mixed = mixing.mix_sources(spark.range(40).selectExpr("id AS doc_id", "concat('s', id % 3) AS source"))
     assert "ExistingRDD" not in mixed._jdf.queryExecution().toString() and mixed.count() == 40
+
+
+def test_what_a_task_freed_goes_back():
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    kept, seen = [], []
+
+    def run(batches):
+        for batch in batches:
+            held = [np.ones(12_000) for _ in range(2500)]  # 240 MB in pieces that malloc keeps
+            kept.append(held[-1])  # and that stays on top of them
+            seen.append(resident())
+            del held
+            yield batch
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2])], ["x"])
+    assert list(_text.released(run)(iter([batch]))) == [batch] and seen[0] - resident() > 150 << 20
