@@ -31,9 +31,9 @@ BOTS = (
 LOGIN_WORDS = "login|log in|sign in|signin|sign-in|вход|парола|потребител|username|password|forgot password".split("|")
 
 
-def page_facts(pages: DataFrame) -> DataFrame:
-    """``pages`` (page_id, url, html) with ``facts``, parsed once a page."""
-    return pages.withColumn("facts", html_facts(F.col("html")))
+def page_facts(pages: DataFrame, unclosed: bool = True) -> DataFrame:
+    """``pages`` (page_id, url, html) with ``facts``, parsed once a page; ``unclosed`` as in ``html_facts``."""
+    return pages.withColumn("facts", html_facts(F.col("html"), unclosed))
 
 
 def is_generic_name(name: Column) -> Column:

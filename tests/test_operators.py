@@ -122,3 +122,13 @@ def test_jobs(spark, tmp_path):
     out = jobs.run_once(jobs.job_states(jobs.read_stream(spark, str(tmp_path / "in"), events.schema.simpleString()[7:-1].replace(":", " "))), "job_states", "update", str(tmp_path / "c"))
     got = {r.company_id: (r.status, r.tries) for r in out.collect()}
     assert got == {1: ("COMPLETED", 0), 2: ("FAILED", 4), 3: ("PENDING", 1), 4: ("BLOCKED", 0)}
+
+
+CUT = "<title>Ivan &amp; Sons &lt;Sofia&gt; &copy; R&D &amphetamine; and&amp</title><a href='/x?a=1&amp;b=2&copy=3'>x</a><p>" + "a" * 60 + "&amp &#65; &#66 &quo</p><script>var t = '&amp;&amp';</script>"
+
+
+def test_references_without_a_semicolon():
+    facts = parse(CUT, unclosed=False)
+    assert facts["title"] == "Ivan & Sons <Sofia> © R&D &amphetamine; and&amp" and facts["anchors"][0]["href"] == "/x?a=1&b=2&copy=3"
+    assert facts["paragraphs"] == ["a" * 60 + "&amp A &#66 &quo"]
+    assert parse(CUT)["title"] == "Ivan & Sons <Sofia> © R&D &hetamine; and&" and parse(CUT)["paragraphs"] == ["a" * 60 + "& A B &quo"]
