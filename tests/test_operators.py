@@ -3,10 +3,11 @@
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from leadlake.functions.html import parse
+from leadlake.functions.html import SLICE, parse, slices
 from leadlake.operators import decide, profile, progress, relational, resolve
 from leadlake.operators.graph import connected_components
 from leadlake.sources import sinks, tables
@@ -132,3 +133,13 @@ def test_references_without_a_semicolon():
     assert facts["title"] == "Ivan & Sons <Sofia> © R&D &amphetamine; and&amp" and facts["anchors"][0]["href"] == "/x?a=1&b=2&copy=3"
     assert facts["paragraphs"] == ["a" * 60 + "&amp A &#66 &quo"]
     assert parse(CUT)["title"] == "Ivan & Sons <Sofia> © R&D &hetamine; and&" and parse(CUT)["paragraphs"] == ["a" * 60 + "& A B &quo"]
+
+
+def test_facts_are_read_in_slices_of_a_batch(spark):
+    pages = ["<p>" + "x" * n for n in (0, SLICE // 2, SLICE // 2, 3 * SLICE, 5, 0)] + [None, ""]
+    runs = [[len(p) if p is not None else None for p in s.to_pylist()] for s in slices(pa.array(pages))]
+    assert runs == [[3, SLICE // 2 + 3], [SLICE // 2 + 3], [3 * SLICE + 3], [8, 3, None, 0]]
+    assert [len(s) for s in slices(pa.array([None] * 3000, pa.string()))] == [1024, 1024, 952] and not list(slices(pa.array([], pa.string())))
+    rows = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1)
+    got = profile.page_facts(rows).select("page_id", F.length("facts.text").alias("n"), F.size("facts.paragraphs").alias("p"), F.col("facts.items").alias("i")).orderBy("page_id").collect()
+    assert [(r.n, r.i) for r in got] == [(None, None) if p is None else (max(0, len(p) - 3), 0) for p in pages] and [r.p for r in got[:6]] == [1] * 6
