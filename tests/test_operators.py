@@ -143,3 +143,11 @@ def test_facts_are_read_in_slices_of_a_batch(spark):
     rows = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1)
     got = profile.page_facts(rows).select("page_id", F.length("facts.text").alias("n"), F.size("facts.paragraphs").alias("p"), F.col("facts.items").alias("i")).orderBy("page_id").collect()
     assert [(r.n, r.i) for r in got] == [(None, None) if p is None else (max(0, len(p) - 3), 0) for p in pages] and [r.p for r in got[:6]] == [1] * 6
+
+
+def test_queues_of_one_batch_of_many_slices(spark):
+    rows = [(k, f"https://h{k}.bg/", f"<nav><a href='/p{k}'>p</a></nav>" + " " * (SLICE // 3) * (k % 7 == 0)) for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r.q for r in profile.page_facts(pages).select("page_id", profile.url_queue(F.col("facts"), F.regexp_replace("url", "/$", "")).alias("q")).collect()}
+    assert len(list(slices(pa.array([h for _, _, h in rows])))) == 3
+    assert got == {k: [f"https://h{k}.bg{p}" for p in (f"/p{k}", *profile.CONTACT_PATHS, *profile.TEAM_PATHS, *profile.OTHER_PATHS)][:18] for k, _, _ in rows}
