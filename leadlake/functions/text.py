@@ -242,22 +242,26 @@ def error_note(code: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for pair in NOTES.items() for x in pair)), code)
 
 
-def _letters(text: Column) -> tuple[Column, Column]:
-    return F.length(F.regexp_replace(text, r"[^\x{400}-\x{4FF}]", "")), F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
+def letters(text: Column) -> Column:
+    """struct(cyrillic, latin): how many letters of each, by cutting out runs of them: that takes fewer steps than cutting out each other character."""
+    count = lambda kind: F.length(text) - F.length(F.regexp_replace(text, kind, ""))
+    return F.struct(count(r"[\x{400}-\x{4FF}]+").alias("cyrillic"), count("[A-Za-z]+").alias("latin"))
+
+
+def _script(n: Column) -> Column:
+    share = n["cyrillic"] / F.nullif(n["cyrillic"] + n["latin"], F.lit(0))
+    return F.when(n["cyrillic"] + n["latin"] < 200, "mixed").when(share > 0.5, "cyrillic").when(share < 0.25, "latin").otherwise("mixed")
 
 
 def site_script(text: Column) -> Column:
     """cyrillic, latin or mixed by the share of Cyrillic among letters; under 200 letters it is mixed."""
-    cyrillic, latin = _letters(text)
-    share = cyrillic / F.nullif(cyrillic + latin, F.lit(0))
-    return F.when(cyrillic + latin < 200, "mixed").when(share > 0.5, "cyrillic").when(share < 0.25, "latin").otherwise("mixed")
+    return let(letters(text), _script)
 
 
 def website_language(text: Column) -> Column:
-    """bg or en, by the script; a mixed text is bg where Cyrillic letters are as many as Latin ones at least."""
-    cyrillic, latin = _letters(text)
-    script = site_script(text)
-    return F.when(script == "cyrillic", "bg").when(script == "latin", "en").when(cyrillic >= latin, "bg").otherwise("en")
+    """bg or en, by the script; a mixed text is bg where Cyrillic letters are as many as Latin ones at least. Letters are counted once a text."""
+    language = lambda n: F.when(_script(n) == "cyrillic", "bg").when(_script(n) == "latin", "en").when(n["cyrillic"] >= n["latin"], "bg").otherwise("en")
+    return let(letters(text), language)
 
 
 def email_language(preference: Column, detected: Column) -> Column:

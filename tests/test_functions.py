@@ -78,3 +78,16 @@ def test_small_ones(spark):
     assert values(spark, text.name_of_domain, ["tashev-trans.bg", "www.acme-ltd.com", "ab.bg"]) == ["Tashev Trans", "Acme", None]
     assert values(spark, text.safe_filename, ["отчет 1/2.csv"]) == ["отчет_1_2.csv"]
     assert values(spark, text.clean_search_text, ["&#x1F600;&#1046;&eacute;"]) == ["😀Ж&eacute;"]
+
+
+def test_letters_are_counted_once_a_text(spark):
+    texts = ["", "12 .,", "aZ@[`{é", "ЀӿϿԀ ж\U0001f600x" * 3, "д" * 101 + "a" * 100, "д" * 99 + "a" * 100 + "\n", "a" * 160 + "д" * 40, "a" * 151 + "д" * 50, None]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", text.letters(F.col("t")).alias("n"), text.website_language(F.col("t")).alias("w"), text.site_script(F.col("t")).alias("s")).orderBy("k").collect()
+    for t, r in zip(texts, got):
+        cyrillic, latin = (None, None) if t is None else (sum("Ѐ" <= c <= "ӿ" for c in t), sum(c.isascii() and c.isalpha() for c in t))
+        share = cyrillic / (cyrillic + latin) if t and cyrillic + latin >= 200 else 0.4
+        script = "cyrillic" if share > 0.5 else "latin" if share < 0.25 else "mixed"
+        assert (r.n.cyrillic, r.n.latin, r.s) == (cyrillic, latin, script)
+        assert r.w == ("bg" if script == "cyrillic" or script == "mixed" and t is not None and cyrillic >= latin else "en")
+    asked = spark.createDataFrame([("website", "a")], "p string, t string").select(text.email_language(F.col("p"), text.website_language(F.col("t"))).alias("x"))
+    assert asked._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 2
